@@ -173,7 +173,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             p = _scores(b.column("text").to_pylist(), chain)
-            flagged = p[:, -1] >= chain.cut if chain.weights else np.zeros(len(texts), bool)
+            flagged = p[:, -1] >= chain.cut if chain.weights else np.zeros(len(p), bool)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(p[:, i]) for i in range(p.shape[1])], pa.array(flagged)], names=["doc_id", *[f"p_{c}" for c in chain.categories], "rejected"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
