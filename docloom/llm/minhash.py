@@ -1,8 +1,8 @@
 """Near-duplicate documents by MinHash.
 
 1. Each text becomes a set of word shingles, and the set a signature: the minima of
-   many universal hashes, cut into bands.  Equal sets collapse to their smallest id.
-2. Representatives that agree on a band share a bucket.  In each bucket the member
+   many universal hashes, cut into bands.  Equal sets collapse to one node.
+2. Nodes that agree on a band share a bucket.  In each bucket the member
    that meets most others over all bands is the hub; every member is held against the
    hub it shares most bands with: signature first, then the full sets.
 3. Components come from alternating large-star and small-star.
@@ -60,10 +60,10 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
             np.not_equal(s[1:], s[:-1], out=keep[1:])
             out.append(s[keep])
         elif b > a:
-            h = np.uint64(b - a)
+            h = np.array([b - a], np.uint64)
             for w in words[a:b]:
-                h = mix(np.array([h * np.uint64(0xE7037ED1A0B428DB) + w]))[0]
-            out.append(np.array([h], np.uint64))
+                h = mix(h * np.uint64(0xE7037ED1A0B428DB) + w)
+            out.append(h)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -82,8 +82,18 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return mix((rows * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def set_key(s: np.ndarray) -> int:
+    """A 64-bit key of a whole set: its size, sum and mixed exclusive or."""
+    parts = np.array([len(s), s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + np.uint64(0x1B873593)))], np.uint64)
+    key = np.array([0], np.uint64)
+    for x in parts:
+        key = mix(key * np.uint64(0xE7037ED1A0B428DB) + x)
+    return int(key.view(np.int64)[0])
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
 
 
 def _sketch(docs: DataFrame, width: int) -> DataFrame:
@@ -91,25 +101,24 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
         for b in slices(batches, "text"):
             sets = shingle_sets(b.column("text"), width)
             n = pa.array([len(s) for s in sets], pa.int64())
-            one = pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else None for s in sets], pa.int64())
-            two = pa.array([int(np.bitwise_xor.reduce(mix(s + np.uint64(0x1B873593))).view(np.int64)) if len(s) else None for s in sets], pa.int64())
+            node = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
             marks = np.stack([bands(signature(s)) if len(s) else np.zeros(BANDS, np.int64) for s in sets])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(marks.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, one, two, lists], names=["doc_id", "n_shingles", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), n, node, lists], names=["doc_id", "version", "n_shingles", "node", "bands"])
 
-    return _rows(docs).mapInArrow(apply, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return _rows(docs).mapInArrow(apply, "doc_id long, version long, n_shingles long, node long, bands array<long>")
 
 
-def _full(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, signature, bands and sorted set of each row, as bytes."""
+def _full(rows: DataFrame, width: int) -> DataFrame:
+    """``node``, signature and sorted set of each row (node, text), as bytes."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = shingle_sets(b.column("text"), width)
             sigs = [signature(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "sig", "items"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "sig", "items"])
 
-    return _rows(docs).mapInArrow(apply, "doc_id long, sig binary, items binary")
+    return rows.select("node", "text").mapInArrow(apply, "node long, sig binary, items binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -141,12 +150,12 @@ def _verify(pairs: DataFrame, percent: int) -> DataFrame:
 def _finish_blocks(members: DataFrame, percent: int) -> DataFrame:
     """Links between components inside buckets.
 
-    ``members`` has (bucket, block, other, side, id, comp, sig, items): in each group of
+    ``members`` has (bucket, block, other, side, node, comp, sig, items): in each group of
     bucket, block and other block, rows of side 0 are held against those of side 1.
     """
 
     def apply(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in ("bucket", "side", "id", "comp", "sig", "items")}
+        cols = {c: table.column(c).to_pylist() for c in ("bucket", "side", "node", "comp", "sig", "items")}
         left = [i for i, s in enumerate(cols["side"]) if s == 0]
         right = [i for i, s in enumerate(cols["side"]) if s == 1]
         bucket = cols["bucket"][0]
@@ -156,12 +165,11 @@ def _finish_blocks(members: DataFrame, percent: int) -> DataFrame:
         if left and right:
             sr, mr = np.stack([sig[i] for i in right]), np.stack([mark[i] for i in right])
             comp = np.array([cols["comp"][i] for i in right])
-            ids = np.array([cols["id"][i] for i in right])
             band = int(np.flatnonzero(mark[left[0]] == bucket)[0])
             for i in left:
                 shared = mr[:, : band + 1] == mark[i][: band + 1]
                 agree = (sr == sig[i]).mean(axis=1)
-                todo = np.flatnonzero(shared[:, band] & ~shared[:, :band].any(axis=1) & (agree >= SIGNATURE_LEAST) & (comp != cols["comp"][i]) & (ids != cols["id"][i]))
+                todo = np.flatnonzero(shared[:, band] & ~shared[:, :band].any(axis=1) & (agree >= SIGNATURE_LEAST) & (comp != cols["comp"][i]))
                 met = set()
                 own = np.frombuffer(cols["items"][i], np.uint64)
                 for j in todo[np.argsort(-agree[todo], kind="stable")]:
@@ -180,61 +188,64 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     Documents are linked when the Jaccard similarity of their shingle sets is at least
     ``percent`` in a hundred; ``component_id`` is the smallest id reachable and ``kept``
     marks its bearer.  Null, empty and blank texts have an empty set and link with
-    nothing.  Rows that share an id are one node.  Rows with a null id link with nothing,
-    have a null component and are kept.
+    nothing.  Rows that share an id are judged each by its own text.  Rows with a null id
+    link with nothing, have a null component and are kept.
     """
+    return _near_duplicates(docs, width, percent).drop("version")
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The same with ``version``, a hash of the row's text.  Nodes of the graph are distinct sets."""
     sketch = store(_sketch(docs, width), "sketch")
     valid = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = store(valid.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
+    reps = store(valid.groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("at")), "reps")
 
-    marked = valid.join(reps, ["k1", "k2"]).where("doc_id = rep").select("rep", F.explode("bands").alias("bucket"))
+    chosen = (F.col("doc_id") == F.col("at.doc_id")) & (F.col("version") == F.col("at.version"))
+    marked = valid.join(reps, "node").where(chosen).select("node", F.explode("bands").alias("bucket"))
     sizes = store(marked.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = store(marked.join(sizes, "bucket").distinct(), "members")
-    busy = members.groupBy("rep").agg(F.sum("n").alias("met"))
-    hubs = store(members.join(busy, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("hub")), "hubs")
-    wanted = members.join(hubs, "bucket").where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("n"))
-    pairs = store(wanted.groupBy("rep").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")), "pairs")
-
-    ids = store(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    once = _rows(docs).join(checked_broadcast(ids), "doc_id", "left_semi")
-    full = store(_full(once, width).dropDuplicates(["doc_id"]), "sets")
-    side = lambda c, id_: full.select(F.col("doc_id").alias(id_), F.col("sig").alias(f"sig_{c}"), F.col("items").alias(f"items_{c}"))
-    tried = pairs.select(F.col("rep").alias("a"), F.col("hub").alias("b")).join(side("a", "a"), "a").join(side("b", "b"), "b")
+    busy = members.groupBy("node").agg(F.sum("n").alias("met"))
+    hubs = store(members.join(busy, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("hub")), "hubs")
+    wanted = members.join(hubs, "bucket").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    pairs = store(wanted.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")), "pairs")
+
+    texts = members.select("node").distinct().join(reps, "node").select(F.col("at.doc_id").alias("doc_id"), F.col("at.version").alias("version"), "node")
+    texts = store(texts, "texts")
+    full = store(_full(_rows(docs).join(checked_broadcast(texts), ["doc_id", "version"]), width).dropDuplicates(["node"]), "sets")
+    side = lambda c, key: full.select(F.col("node").alias(key), F.col("sig").alias(f"sig_{c}"), F.col("items").alias(f"items_{c}"))
+    tried = pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")).join(side("a", "a"), "a").join(side("b", "b"), "b")
     links = store(_verify(tried, percent), "links")
     comp = store(components(links), "components")
 
     # a bucket is unsettled while its members lie in several components
-    placed = members.join(comp, members["rep"] == comp["node"], "left").select("bucket", "n", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = store(placed, "placed")
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    placed = store(members.join(comp, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("comp")), "placed")
+    unsettled = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     main = hubs.join(comp, hubs["hub"] == comp["node"], "left").select("bucket", F.coalesce("component", "hub").alias("main"))
-    todo = placed.join(store(open_.join(main, "bucket"), "open"), "bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    todo = store(todo.select("bucket", "rep", "comp", (F.col("comp") != F.col("main")).alias("stray"), own.alias("own"), blocks.alias("blocks")), "todo")
-    # strays of one block meet the members of every block, so a member is sent to each block that has a stray
-    strays = todo.where("stray").select("bucket", F.col("own").alias("block")).distinct()
-    left = todo.where("stray").select("bucket", F.col("own").alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), F.lit(0).alias("side"), "rep", "comp")
-    right = todo.join(strays, "bucket").select("bucket", "block", F.col("own").alias("other"), F.lit(1).alias("side"), "rep", "comp")
-    work = left.unionAll(right).join(full, F.col("rep") == full["doc_id"]).select("bucket", "block", "other", "side", F.col("rep").alias("id"), "comp", "sig", "items")
-    more = store(_finish_blocks(work, percent), "links")
-    last = components(more).select(F.col("node").alias("component"), F.col("component").alias("final"))
-
-    where = reps.join(comp, reps["rep"] == comp["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    where = where.join(last, "component", "left").select("k1", "k2", F.coalesce("final", "component").alias("component"))
-    return _resolve(sketch, store(where, "classes"))
-
-
-def _resolve(sketch: DataFrame, where: DataFrame) -> DataFrame:
-    """The component of each row by the class of its set."""
-    rows = sketch.select("doc_id", "n_shingles", "k1", "k2").join(where, ["k1", "k2"], "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    todo = placed.join(store(unsettled.join(main, "bucket"), "unsettled"), "bucket")
+    todo = store(todo.select("bucket", "n", "node", "comp", (F.col("comp") != F.col("main")).alias("stray")), "todo")
+    # strays and members are blocked each by their own number; every stray block meets every member block
+    split = todo.where("stray").groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("stray_blocks"))
+    todo = todo.join(store(split, "split"), "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = todo.where("stray").select("bucket", part("stray_blocks").alias("block"), every("blocks").alias("other"), F.lit(0).alias("side"), "node", "comp")
+    right = todo.select("bucket", every("stray_blocks").alias("block"), part("blocks").alias("other"), F.lit(1).alias("side"), "node", "comp")
+    work = left.unionAll(right).join(full, "node").select("bucket", "block", "other", "side", "node", "comp", "sig", "items")
+    last = components(store(_finish_blocks(work, percent), "links")).select(F.col("node").alias("comp"), F.col("component").alias("final"))
+
+    classes = reps.join(comp, "node", "left").select("node", "at", F.coalesce("component", "node").alias("comp"))
+    classes = store(classes.join(last, "comp", "left").select("node", "at", F.coalesce("final", "comp").alias("class")), "classes")
+    # a class is named by its smallest id
+    names = store(classes.groupBy("class").agg(F.min("at.doc_id").alias("first")), "names")
+    where = store(classes.join(names, "class").select("node", "first"), "where")
+    rows = sketch.select("doc_id", "version", "n_shingles", "node").join(where, "node", "left")
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("first", "doc_id"))
+    return rows.select("doc_id", "version", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component; of rows with equal id one stays."""
-    found = near_duplicates(docs, width=width, percent=percent)
-    lost = store(found.where("NOT kept").select("doc_id").distinct(), "lost")
-    rest = docs.join(checked_broadcast(lost), "doc_id", "left_anti")
-    return rest.select(*docs.columns)
+    """The rows of ``docs`` that bear the smallest id of their component; rows equal in id and text stay or go together."""
+    lost = _near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
+    lost = store(lost, "lost")
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_version"))
+    return docs.join(checked_broadcast(lost), same, "left_anti")
