@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import slices
 
 #: Chunks that one worker remembers, some 150 bytes each; those met later are encoded each time.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Chunks that go through the library as one text.
 JOINED = 64
 #: Longer chunks are not remembered.
@@ -42,22 +42,31 @@ def byte_table() -> dict[str, int]:
     return table | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id of a vocabulary file; added tokens stand for their own text."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    table = byte_table()
+    vocabulary = spec["model"]["vocab"]
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    out = [b""] * (max([*vocabulary.values(), *added.values()]) + 1)
+    for token, i in vocabulary.items():
+        out[i] = bytes(table[c] for c in token) if all(c in table for c in token) else token.encode()
+    for token, i in added.items():
+        out[i] = token.encode()
+    return out
+
+
 class Codec:
-    """One vocabulary file, loaded once in each worker."""
+    """One vocabulary file, loaded once in each worker that encodes."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        table = byte_table()
-        size = max(spec["model"]["vocab"].values()) + 1
-        self.bytes: list[bytes] = [b""] * max(size, self.tokenizer.get_vocab_size())
-        for token, i in spec["model"]["vocab"].items():
-            self.bytes[i] = bytes(table[c] for c in token) if all(c in table for c in token) else token.encode()
-        self.lengths = np.array([len(x) for x in self.bytes], np.int64)
+        self.lengths = np.array([len(x) for x in token_bytes(path)], np.int64)
         self.known: dict[str, bytes] = {}
 
     def _merge(self, chunks: list[str]) -> list[bytes]:
@@ -124,9 +133,6 @@ class Codec:
             return _EMPTY, _EMPTY
         return of_byte[ends - self.lengths[ids]].astype(np.int32), (of_byte[ends - 1] + 1).astype(np.int32)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join([self.bytes[i] for i in ids])
-
 
 @lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
@@ -166,7 +172,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary)
+        table = token_bytes(vocabulary)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
@@ -175,7 +181,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
                 ends = np.cumsum(np.nan_to_num(np.array([0 if n is None else n for n in pa.compute.list_value_length(col).to_pylist()])))
                 raw, at_id = [], 0
                 for e in ends.astype(np.int64):
-                    raw.append(own.decode(flat[at_id:e]))
+                    raw.append(b"".join([table[i] for i in flat[at_id:e]]))
                     at_id = e
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), col, pa.array(raw, pa.binary())], names=["doc_id", "ids", "raw"])
 
