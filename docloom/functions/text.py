@@ -86,7 +86,7 @@ def slug(title: Column) -> Column:
 
 def split_list(text: Column, separator: str = ",") -> Column:
     """Trimmed, non-empty items; null gives an empty list."""
-    items = F.transform(F.split(text, separator), F.trim)
+    items = F.transform(F.split(text, separator), lambda x: F.trim(x))
     return F.coalesce(F.filter(items, lambda x: x != ""), F.array().cast("array<string>"))
 
 

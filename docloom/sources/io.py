@@ -7,9 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StringType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-INDEX = StructType.fromDDL("date string, title string, tags array<string>")
+INDEX = StructType([StructField("date", StringType()), StructField("title", StringType()), StructField("tags", ArrayType(StringType()))])
 
 
 def work_path(spark: SparkSession, name: str) -> str:
