@@ -53,6 +53,15 @@ def src4_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("date", "title", F.array_join("tags", ",").alias("tags"))
 
 
+def snk2_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of the index, each written whole beside the other; the reader takes the second."""
+    entries = index.upsert(logs.entry_log(spark, sf_dir), "d", "k", "entry").select(F.col("d").alias("date"), F.concat(F.lit("AI 日报 "), F.col("entry")).alias("title"), F.array(F.lit("标签")).alias("tags"))
+    root = io.work_path(spark, "snapshots")
+    io.write_snapshot(entries.where("date < '1995-01-01'"), root, 1)
+    good, _ = io.read_index(spark, io.write_snapshot(entries, root, 2))
+    return good.select("date", "title", F.array_join("tags", ",").alias("tags"))
+
+
 def snk1_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly reports; the second write replaces the months of the first half-years only."""
     path = io.work_path(spark, "reports")
@@ -86,7 +95,7 @@ def snk5_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (str1_final, str2_final, str3_pages, str4_status, src3_texts, src4_index, snk1_reports, snk3_append, snk4_stages, snk5_notes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (str1_final, str2_final, str3_pages, str4_status, src3_texts, src4_index, snk2_snapshot, snk1_reports, snk3_append, snk4_stages, snk5_notes)}
 ORACLES = {
     "str1_final": logs.ORACLES["agg4_upsert"],
     "str2_final": logs.ORACLES["agg5_assemble"],
@@ -94,6 +103,7 @@ ORACLES = {
     "str4_status": "SELECT user_id AS op_id, CASE WHEN arg_max(event_type, (ts, event_id)) = 'purchase' THEN 'done' ELSE 'pending' END AS status FROM events GROUP BY user_id",
     "src3_texts": "SELECT count(*)::INTEGER AS lines, sum(length(doc_id || ' ' || lang) + 1)::INTEGER AS chars FROM documents GROUP BY source",
     "src4_index": logs._INDEX + "SELECT d AS date, 'AI 日报 ' || entry AS title, 'a,' || d AS tags FROM x",
+    "snk2_snapshot": logs._INDEX + "SELECT d AS date, 'AI 日报 ' || entry AS title, '标签' AS tags FROM x",
     "snk1_reports": "SELECT CASE WHEN month(o_orderdate) <= 6 THEN 'second' ELSE 'first' END AS body, count(*) AS orders, strftime(o_orderdate, '%Y-%m') AS report_date FROM orders GROUP BY ALL",
     "snk3_append": "SELECT doc_id, left(text, 30) AS summary, '2024-01-31 10-00-00' AS run_ts FROM documents UNION ALL SELECT doc_id, left(text, 30), '2024-02-01 10-00-00' FROM documents WHERE doc_id % 2 = 0",
     "snk4_stages": pages._BODIES + f"SELECT 'raw' AS stage, count(*) AS pages, sum(length(html))::BIGINT AS chars FROM x UNION ALL SELECT 'clean', count(*), sum(length({pages._COMPACT}))::BIGINT FROM x",
