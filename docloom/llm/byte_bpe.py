@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import slices
 
 #: Chunks that one worker remembers, some 150 bytes each; those met later are encoded each time.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Chunks that go through the library as one text.
 JOINED = 64
 #: Longer chunks are not remembered.
