@@ -17,7 +17,9 @@ is gathered by group in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +29,37 @@ from pyspark.sql import functions as F
 from docloom.llm.common import LOWER, checked_broadcast, mix, range_hashes, slices, store, utf8, words_of
 from docloom.llm.components import components
 
-#: Bands of ROWS minima each: a pair at similarity 0.8 shares no band once in 8 million times.
-BANDS, ROWS = 40, 5
-#: Below this share of equal minima a pair is dropped before its sets are compared (at 0.8 this is 7 deviations off).
-SIGNATURE_LEAST = 0.6
+#: A pair at the wanted similarity shares no band at most so often: once in 8 million times.
+MISSED = 1.25e-7
 #: Members of a bucket that are compared in one block.
 BLOCK = 256
-_RNG = np.random.Generator(np.random.PCG64(7919))
-_A = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-_BAND = _RNG.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """``bands`` of ``rows`` minima each, and the share of equal minima below which a pair is dropped before its sets are compared."""
+
+    bands: int
+    rows: int
+    least: float
+
+    def __post_init__(self) -> None:
+        rng = np.random.Generator(np.random.PCG64(7919))
+        a = rng.integers(0, 2**63, self.bands * self.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        b = rng.integers(0, 2**63, self.bands * self.rows, dtype=np.uint64)
+        band = rng.integers(0, 2**63, self.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for name, value in (("a", a), ("b", b), ("band", band)):
+            object.__setattr__(self, name, value)
+
+
+def scheme(percent: int) -> Scheme:
+    """The scheme for a similarity: 5 minima a band from 0.8 up, 3 from 0.5 up, else 2; a pair at it is 7 deviations above ``least``."""
+    p = percent / 100
+    if percent == 80:
+        return Scheme(40, 5, 0.6)
+    rows = 5 if percent > 80 else 3 if percent >= 50 else 2
+    bands = 1 if percent >= 100 else math.ceil(math.log(MISSED) / math.log(1 - p**rows))
+    return Scheme(bands, rows, max(0.0, p - 7 * math.sqrt(p * (1 - p) / (bands * rows))))
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -69,17 +92,17 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def signature(s: np.ndarray, by: Scheme) -> np.ndarray:
     """The minima of all hashes over one set, as 32-bit numbers."""
-    low = np.full(len(_A), np.uint64(2**64 - 1))
+    low = np.full(len(by.a), np.uint64(2**64 - 1))
     for at in range(0, len(s), 1024):
-        np.minimum(low, (s[at : at + 1024, None] * _A + _B).min(axis=0), out=low)
+        np.minimum(low, (s[at : at + 1024, None] * by.a + by.b).min(axis=0), out=low)
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    return mix((rows * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+def bands(sig: np.ndarray, by: Scheme) -> np.ndarray:
+    rows = sig.reshape(by.bands, by.rows).astype(np.uint64)
+    return mix((rows * by.band).sum(axis=1, dtype=np.uint64) + np.arange(by.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def set_key(s: np.ndarray) -> int:
@@ -96,26 +119,26 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
 
 
-def _sketch(docs: DataFrame, width: int) -> DataFrame:
+def _sketch(docs: DataFrame, width: int, by: Scheme) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = shingle_sets(b.column("text"), width)
             n = pa.array([len(s) for s in sets], pa.int64())
             node = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
-            marks = np.stack([bands(signature(s)) if len(s) else np.zeros(BANDS, np.int64) for s in sets])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(marks.ravel()))
+            marks = np.stack([bands(signature(s, by), by) if len(s) else np.zeros(by.bands, np.int64) for s in sets])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * by.bands), pa.array(marks.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), n, node, lists], names=["doc_id", "version", "n_shingles", "node", "bands"])
 
     return _rows(docs).mapInArrow(apply, "doc_id long, version long, n_shingles long, node long, bands array<long>")
 
 
-def _full(rows: DataFrame, width: int) -> DataFrame:
+def _full(rows: DataFrame, width: int, by: Scheme) -> DataFrame:
     """``node``, signature and sorted set of each row (node, text), as bytes."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = shingle_sets(b.column("text"), width)
-            sigs = [signature(s) for s in sets]
+            sigs = [signature(s, by) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "sig", "items"])
 
     return rows.select("node", "text").mapInArrow(apply, "node long, sig binary, items binary")
@@ -131,7 +154,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _verify(pairs: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, percent: int, by: Scheme) -> DataFrame:
     """The pairs (a, b) of rows (a, b, sig_a, items_a, sig_b, items_b) that are similar."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,13 +164,13 @@ def _verify(pairs: DataFrame, percent: int) -> DataFrame:
                 hit = []
                 for sa, ia, sb, ib in zip(*[part.column(c).to_pylist() for c in ("sig_a", "items_a", "sig_b", "items_b")], strict=True):
                     agree = (np.frombuffer(sa, np.uint32) == np.frombuffer(sb, np.uint32)).mean()
-                    hit.append(bool(agree >= SIGNATURE_LEAST and similar(np.frombuffer(ia, np.uint64), np.frombuffer(ib, np.uint64), percent)))
+                    hit.append(bool(agree >= by.least and similar(np.frombuffer(ia, np.uint64), np.frombuffer(ib, np.uint64), percent)))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     return pairs.mapInArrow(apply, "a long, b long")
 
 
-def _finish_blocks(members: DataFrame, percent: int) -> DataFrame:
+def _finish_blocks(members: DataFrame, percent: int, by: Scheme) -> DataFrame:
     """Links between components inside buckets.
 
     ``members`` has (bucket, block, other, side, node, comp, sig, items): in each group of
@@ -160,7 +183,7 @@ def _finish_blocks(members: DataFrame, percent: int) -> DataFrame:
         right = [i for i, s in enumerate(cols["side"]) if s == 1]
         bucket = cols["bucket"][0]
         sig = {i: np.frombuffer(cols["sig"][i], np.uint32) for i in {*left, *right}}
-        mark = {i: bands(s) for i, s in sig.items()}
+        mark = {i: bands(s, by) for i, s in sig.items()}
         found: list[tuple[int, int]] = []
         if left and right:
             sr, mr = np.stack([sig[i] for i in right]), np.stack([mark[i] for i in right])
@@ -169,7 +192,7 @@ def _finish_blocks(members: DataFrame, percent: int) -> DataFrame:
             for i in left:
                 shared = mr[:, : band + 1] == mark[i][: band + 1]
                 agree = (sr == sig[i]).mean(axis=1)
-                todo = np.flatnonzero(shared[:, band] & ~shared[:, :band].any(axis=1) & (agree >= SIGNATURE_LEAST) & (comp != cols["comp"][i]))
+                todo = np.flatnonzero(shared[:, band] & ~shared[:, :band].any(axis=1) & (agree >= by.least) & (comp != cols["comp"][i]))
                 met = set()
                 own = np.frombuffer(cols["items"][i], np.uint64)
                 for j in todo[np.argsort(-agree[todo], kind="stable")]:
@@ -196,7 +219,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
 
 def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The same with ``version``, a hash of the row's text.  Nodes of the graph are distinct sets."""
-    sketch = store(_sketch(docs, width), "sketch")
+    by = scheme(percent)
+    sketch = store(_sketch(docs, width, by), "sketch")
     valid = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = store(valid.groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("at")), "reps")
 
@@ -211,10 +235,10 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     texts = members.select("node").distinct().join(reps, "node").select(F.col("at.doc_id").alias("doc_id"), F.col("at.version").alias("version"), "node")
     texts = store(texts, "texts")
-    full = store(_full(_rows(docs).join(checked_broadcast(texts), ["doc_id", "version"]), width).dropDuplicates(["node"]), "sets")
+    full = store(_full(_rows(docs).join(checked_broadcast(texts), ["doc_id", "version"]), width, by).dropDuplicates(["node"]), "sets")
     side = lambda c, key: full.select(F.col("node").alias(key), F.col("sig").alias(f"sig_{c}"), F.col("items").alias(f"items_{c}"))
     tried = pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")).join(side("a", "a"), "a").join(side("b", "b"), "b")
-    links = store(_verify(tried, percent), "links")
+    links = store(_verify(tried, percent, by), "links")
     comp = store(components(links), "components")
 
     # a bucket is unsettled while its members lie in several components
@@ -231,7 +255,7 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     left = todo.where("stray").select("bucket", part("stray_blocks").alias("block"), every("blocks").alias("other"), F.lit(0).alias("side"), "node", "comp")
     right = todo.select("bucket", every("stray_blocks").alias("block"), part("blocks").alias("other"), F.lit(1).alias("side"), "node", "comp")
     work = left.unionAll(right).join(full, "node").select("bucket", "block", "other", "side", "node", "comp", "sig", "items")
-    last = components(store(_finish_blocks(work, percent), "links")).select(F.col("node").alias("comp"), F.col("component").alias("final"))
+    last = components(store(_finish_blocks(work, percent, by), "links")).select(F.col("node").alias("comp"), F.col("component").alias("final"))
 
     classes = reps.join(comp, "node", "left").select("node", "at", F.coalesce("component", "node").alias("comp"))
     classes = store(classes.join(last, "comp", "left").select("node", "at", F.coalesce("final", "comp").alias("class")), "classes")

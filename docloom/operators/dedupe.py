@@ -1,10 +1,13 @@
-"""Merging of equal items, and verified near-duplicate pairs of short texts."""
+"""Merging of equal items, and classes of near-duplicate items."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm import minhash
+from docloom.llm.common import checked_broadcast, store
+
 
 def merge_equal(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", links: str = "source") -> DataFrame:
     """Documents of equal text as one: smallest id, number merged, sorted union of ``links``."""
@@ -12,24 +15,18 @@ def merge_equal(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", lin
     return docs.groupBy(key.alias("item_key")).agg(F.min(id_).alias("first_id"), F.count("*").alias("merged"), F.array_join(F.sort_array(F.collect_set(links)), "|").alias("links"))
 
 
-def near_items(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", width: int = 3, least: float = 0.5, bands: int = 24, rows: int = 2) -> DataFrame:
-    """Groups of similar items as links of each item to the smallest member that it was verified against.
+def near_items(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", width: int = 3, percent: int = 50) -> DataFrame:
+    """Classes of similar items, one row per item: ``id``, ``n_shingles``, ``class_id``, ``members``, ``linked``, ``head``.
 
-    Items are sets of word shingles; MinHash bands, all built in, give buckets; in a
-    bucket every item is held against its smallest member only, on the full sets.  So
-    a group of n items makes n comparisons a band, never n squared.
+    Items are sets of word shingles; two are linked when the Jaccard similarity of their
+    sets is at least ``percent`` in a hundred, and a class is all that links join.  An
+    item of fewer words than ``width`` is one shingle, one without words is alone.
+    ``class_id`` is the smallest id of the class, ``members`` its number of rows,
+    ``linked`` says whether it has others and ``head`` whether the row bears that id.
     """
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), " "))))
-    sets = docs.select(F.col(id_).alias("id"), words.alias("w")).where(F.size("w") >= width).select("id", shingles.alias("s"))
-    # equal sets meet first: only their smallest id is compared further
-    sets = sets.withColumn("s", F.sort_array("s")).groupBy("s").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    band = lambda n: F.xxhash64(F.lit(n), *[F.array_min(F.transform("s", lambda x, m=m: F.xxhash64(x, F.lit(m)))) for m in range(n * rows, (n + 1) * rows)])
-    buckets = sets.select("id", F.explode(F.array(*[band(n) for n in range(bands)])).alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
-    pairs = buckets.join(heads, "bucket").where("id <> head").select("id", "head").distinct()
-    left = sets.select("id", F.col("s").alias("a"))
-    right = sets.select(F.col("id").alias("head"), F.col("s").alias("b"))
-    both = pairs.join(left, "id").join(right, "head")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.withColumn("jaccard", F.round(shared / (F.size("a") + F.size("b") - shared), 6)).where(F.col("jaccard") >= least).select("head", "id", "jaccard")
+    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
+    found = store(minhash.near_duplicates(docs.select(F.col(id_).alias("doc_id"), words.alias("text")), width=width, percent=percent), "near-items")
+    many = store(found.groupBy("component_id").agg(F.count("*").alias("members")).where("members > 1 AND component_id IS NOT NULL"), "near-sizes")
+    rows = found.join(checked_broadcast(many), "component_id", "left")
+    members = F.coalesce("members", F.lit(1).cast("long"))
+    return rows.select(F.col("doc_id").alias("id"), "n_shingles", F.col("component_id").alias("class_id"), members.alias("members"), (members > 1).alias("linked"), F.col("kept").alias("head"))

@@ -69,7 +69,7 @@ def agg6_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verified links of items to their group's head; its recall is tested against brute force."""
+    """Every document with its class of near duplicates; tested against brute force."""
     return dedupe.near_items(table(spark, sf_dir, "documents"))
 
 
