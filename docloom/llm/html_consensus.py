@@ -33,6 +33,11 @@ NOISE_NAMES = frozenset(
     "search share sharing sidebar sidenav signup social sponsor sponsored subscribe tags toolbar topbar widget".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: A first word that says something about another element, and a last one that names a layout wrapper: neither makes noise.
+ABOUT = frozenset("has with no without".split())
+WRAPPERS = frozenset("wrap wrapper container layout".split())
+#: Readers' talk can be longer than the page's own text, so only an article or main inside frees it.
+TALK = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: Elements whose own class never makes them noise: themes put all kinds of names there.
 TRUSTED = frozenset("html body main article".split())
 _NAME = re.compile(r"[a-z]+")
@@ -41,38 +46,53 @@ _DIGITS = re.compile(r"\d+")
 
 
 class _Open:
-    __slots__ = ("tag", "path", "noise", "container", "link")
+    __slots__ = ("tag", "path", "noise", "container", "link", "doubt", "main")
 
-    def __init__(self, tag: str, path: str, noise: bool, container: int, link: bool) -> None:
-        self.tag, self.path, self.noise, self.container, self.link = tag, path, noise, container, link
+    def __init__(self, tag: str, path: str, noise: bool, container: int, link: bool, doubt: int = 0, main: int = 0) -> None:
+        self.tag, self.path, self.noise, self.container, self.link, self.doubt, self.main = tag, path, noise, container, link, doubt, main
+
+
+def _names(attributes: dict[str, str]) -> Iterator[list[str]]:
+    """The words of each class and of the id."""
+    for key in ("class", "id"):
+        for name in attributes.get(key, "").split():
+            if words := _NAME.findall(_CAMEL.sub(" ", name).lower()):
+                yield words
+
+
+def _doubtful(tag: str, attributes: dict[str, str], inside_article: bool) -> tuple[bool, bool]:
+    """Whether a name says that the element is noise, and whether one says that it is readers' talk."""
+    noise = talk = False
+    for words in _names(attributes):
+        if words[0] in ABOUT or words[-1] in WRAPPERS or (inside_article and words[-1] == "header"):
+            continue
+        noise = noise or not NOISE_NAMES.isdisjoint(words)
+        talk = talk or not TALK.isdisjoint(words)
+    return noise and tag not in TRUSTED, talk
 
 
 def _is_noise(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
     if tag in NOISE_TAGS or (tag == "header" and not inside_article):
         return True
-    if attributes.get("role", "").lower() in NOISE_ROLES:
-        return True
-    if tag in TRUSTED:
-        return False
-    return any(w in NOISE_NAMES for key in ("class", "id") if key in attributes for w in _NAME.findall(_CAMEL.sub(" ", attributes[key]).lower()))
+    return attributes.get("role", "").lower() in NOISE_ROLES
 
 
 def parse(html: str) -> tuple[list[tuple[int, str, int]], list[tuple[str, int]]]:
-    """Blocks (container, text, characters in links) outside noise in page order, and containers (generalised path, parent)."""
-    blocks: list[tuple[int, str, int]] = []
+    """Blocks (container, text, characters in links) outside noise in page order, and containers (generalised path, parent).
+
+    An element that is noise by its name only is judged when the page is read: it stays if it
+    holds most of the text of the page's articles or main, or (readers' talk apart) of the page.
+    """
+    found: list[tuple[int, list[tuple[str, int, bool, int]]]] = []
+    doubts: list[tuple[int, bool]] = [(-1, False)]
     containers: list[tuple[str, int]] = [("", -1)]
     stack = [_Open("", "", False, 0, False)]
-    pieces: list[str] = []
-    linked = 0
+    pieces: list[tuple[str, int, bool, int]] = []
 
     def flush() -> None:
-        nonlocal linked
         if pieces:
-            text = " ".join("".join(pieces).split())
-            if text:
-                blocks.append((stack[-1].container, text, linked))
+            found.append((stack[-1].container, pieces.copy()))
             pieces.clear()
-        linked = 0
 
     def close(depth: int) -> None:
         if any(o.tag in BLOCKS for o in stack[depth:]):
@@ -91,14 +111,12 @@ def parse(html: str) -> tuple[list[tuple[int, str, int]], list[tuple[str, int]]]
             if raw[0] != "<" or len(raw) == 1:
                 if not top.noise:
                     text = unescape(raw) if "&" in raw else raw
-                    pieces.append(text)
-                    if top.link:
-                        linked += len(text)
+                    pieces.append((text, top.doubt, top.link, top.main))
             continue
         tag = tag.lower()
         closing = bool(m[1] or m[4])
         if tag == "br":
-            pieces.append("\n")
+            pieces.append(("\n", top.doubt, False, top.main))
             continue
         if closing:
             for depth in range(len(stack) - 1, 0, -1):
@@ -143,16 +161,51 @@ def parse(html: str) -> tuple[list[tuple[int, str, int]], list[tuple[str, int]]]
         if tag in VOID:
             continue
         attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(body)} if "=" in body else {}
-        noise = top.noise or _is_noise(tag, attributes, any(o.tag == "article" for o in stack))
+        inside_article = any(o.tag == "article" for o in stack)
+        noise = top.noise or _is_noise(tag, attributes, inside_article)
+        named, talk = (False, False) if noise or not attributes else _doubtful(tag, attributes, inside_article)
+        doubt = top.doubt
+        if named:
+            doubts.append((doubt, talk))
+            doubt = len(doubts) - 1
+        main = top.main
+        # an article of readers' talk, as a comment may be, is none of the page's
+        if tag in ("article", "main") and not talk:
+            main = 1
         path, container = top.path, top.container
         if tag in CONTAINERS:
             names = sorted(_DIGITS.sub("#", c) for c in attributes.get("class", "").split())
             path = f"{path}/{tag}" + "".join(f".{c}" for c in names)
             containers.append((path, container))
             container = len(containers) - 1
-        stack.append(_Open(tag, path, noise, container, top.link or tag == "a"))
+        stack.append(_Open(tag, path, noise, container, top.link or tag == "a", doubt, main))
     flush()
-    return blocks, containers
+    return _judged(found, doubts), containers
+
+
+def _judged(found: list[tuple[int, list[tuple[str, int, bool, int]]]], doubts: list[tuple[int, bool]]) -> list[tuple[int, str, int]]:
+    """The blocks without the pieces of doubtful elements that hold too little of the page."""
+    whole, main = [0] * len(doubts), [0] * len(doubts)
+    for _, pieces in found:
+        for text, doubt, _, inside in pieces:
+            n = sum(map(len, text.split()))
+            whole[doubt] += n
+            main[doubt] += n * inside
+    for d in range(len(doubts) - 1, 0, -1):
+        whole[doubts[d][0]] += whole[d]
+        main[doubts[d][0]] += main[d]
+    noise = [False] * len(doubts)
+    for d in range(1, len(doubts)):
+        above, talk = doubts[d]
+        most = 2 * main[d] > main[0] if main[0] else not talk and 2 * whole[d] > whole[0]
+        noise[d] = noise[above] or not most
+    blocks = []
+    for container, pieces in found:
+        kept = [p for p in pieces if not noise[p[1]]]
+        text = " ".join("".join(p[0] for p in kept).split())
+        if text:
+            blocks.append((container, text, sum(len(p[0]) for p in kept if p[2])))
+    return blocks
 
 
 def scores(blocks: list[tuple[int, str, int]], containers: list[tuple[str, int]]) -> list[float]:

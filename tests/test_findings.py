@@ -3,6 +3,9 @@
 import random
 import re
 
+import pytest
+
+from docloom.llm import html_consensus
 from docloom.operators import dedupe
 
 
@@ -49,3 +52,25 @@ def test_near_items_equal_brute_force(spark):
     assert {i: (r.n_shingles, r.class_id) for i, r in got.items()} == want
     sizes = [c for _, c in want.values()]
     assert {i: (r.members, r.linked, r.head) for i, r in got.items()} == {i: (sizes.count(c), sizes.count(c) > 1, c == i) for i, (_, c) in want.items()}
+
+
+LEAD = "The lead says in a few words what the page is about and why. " * 3
+BODY = "The body goes on about the same matter at some length. " * 18
+
+
+def lines(html, path=None):
+    return [" ".join(x.split()) for x in html_consensus.extract(html, path).split("\n")]
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "content-sidebar-wrap", "no-header", "page with-nav", "sidebar-layout", "site-header-main", "search"])
+def test_wrappers_named_after_noise_keep_their_page(name):
+    html = f'<body><div class="{name}"><article><div class="post-header"><h1>Head</h1></div><p>{BODY}</p></article><div class="sidebar"><p>Side</p></div></div></body>'
+    assert lines(html) == ["Head", BODY.strip()]
+    plain = html.replace("<article>", "<div>").replace("</article>", "</div>").replace("post-header", "top")
+    assert BODY.strip() in lines(plain) and "Side" not in lines(plain)
+
+
+def test_noise_by_name_still_goes():
+    talk = f'<section id="comments"><article class="comment-body"><p>{BODY}{BODY}</p></article></section>'
+    assert lines(f'<div><p>{BODY}</p></div>{talk}<div class="related-posts"><p>More</p></div>') == [BODY.strip()]
+    assert lines(f'<article><p>One <span class="share">Share</span> two.</p><p>{BODY}</p></article>{talk}') == ["One two.", BODY.strip()]
