@@ -1,8 +1,9 @@
 """Main text of web pages by host-wide consensus on the container that holds it.
 
 Each page scores its containers by the text that they hold outside links and boilerplate
-and votes for the generalised tag-class path of its best one; Spark adds the votes up by
-host; every page is then extracted again from the path that won on its host.
+and votes for the generalised tag-class path of the region around its best one; Spark adds
+the votes up by host; every page is then extracted again from the path that won on its host,
+with what its own region holds besides.
 """
 
 from __future__ import annotations
@@ -218,35 +219,73 @@ def scores(blocks: list[tuple[int, str, int]], containers: list[tuple[str, int]]
     return own
 
 
+def region(blocks: list[tuple[int, str, int]], containers: list[tuple[str, int]]) -> tuple[int, list[int]]:
+    """The container of the page's main text, and the characters outside links that each container holds in all.
+
+    From the best-scored container the way goes up: to the outermost article or main around it
+    and, where other articles hold a tenth of that one's text or more, to what holds them all.
+    Without any it goes up to the outermost container that holds text of its own, or of
+    several children, beside the one below: a lead, a second section or what surrounds a quotation.
+    """
+    own = [0] * len(containers)
+    for c, text, linked in blocks:
+        own[c] += max(0, len(text) - 2 * linked)
+    held = own.copy()
+    for c in range(len(containers) - 1, 0, -1):
+        held[containers[c][1]] += held[c]
+    half = scores(blocks, containers)
+    way = [max(range(len(half)), key=lambda i: (half[i], -i))]
+    while containers[way[-1]][1] >= 0:
+        way.append(containers[way[-1]][1])
+    last = lambda c: containers[c][0].rpartition("/")[2].partition(".")[0]
+    named = [c for c in way if last(c) in ("article", "main")]
+    if named:
+        at = way.index(named[-1])
+        rest = {c for c in range(len(containers)) if last(c) in ("article", "main") and 10 * held[c] >= held[way[at]]}
+        inside: set[int] = set()
+        while True:
+            inside = {way[at]}
+            for c in range(way[at] + 1, len(containers)):
+                if containers[c][1] in inside:
+                    inside.add(c)
+            if rest <= inside:
+                return way[at], held
+            at += 1
+    return next((c for below, c in list(zip(way, way[1:], strict=False))[::-1] if held[c] > held[below]), way[0]), held
+
+
 def best_path(html: str | None) -> tuple[str, float] | None:
-    """The path of the best container and the share of the page's text that it holds; None without text."""
+    """The path of the page's main region and the share of the page's text that it holds; None without text."""
     blocks, containers = parse(html or "")
     if not blocks:
         return None
-    own = scores(blocks, containers)
-    c = max(range(len(own)), key=lambda i: (own[i], -i))
+    c, held = region(blocks, containers)
     total = sum(len(t) for _, t, _ in blocks)
-    return containers[c][0], min(1.0, own[c] / total)
+    return containers[c][0], min(1.0, held[c] / total)
 
 
 def extract(html: str | None, path: str | None) -> str:
-    """The blocks of all containers with ``path`` and of those inside them; of the page's best container if none has text."""
+    """The blocks of all containers with ``path`` and of those inside them.
+
+    The page's own main region joins them where it holds text that they lack.
+    """
     blocks, containers = parse(html or "")
     if not blocks:
         return ""
-    inside = [False] * len(containers)
-    for pick in (path, None):
-        if pick is None:
-            own = scores(blocks, containers)
-            chosen = {max(range(len(own)), key=lambda i: (own[i], -i))}
-        else:
-            chosen = {i for i, (p, _) in enumerate(containers) if p == pick}
+    own, held = region(blocks, containers)
+
+    def marked(chosen: set[int]) -> list[bool]:
+        inside = [False] * len(containers)
         for i, (_, parent) in enumerate(containers):
             inside[i] = i in chosen or (parent >= 0 and inside[parent])
-        found = [t for c, t, _ in blocks if inside[c]]
-        if found:
-            return "\n".join(found)
-    return ""
+        return inside
+
+    mine, voted = marked({own}), marked({i for i, (p, _) in enumerate(containers) if path is not None and p == path})
+    if not any(voted[c] for c, _, _ in blocks):
+        voted = mine
+    elif any(mine[c] and not voted[c] and len(t) > 2 * n for c, t, n in blocks):
+        voted = [a or b for a, b in zip(mine, voted, strict=True)]
+    return "\n".join(t for c, t, _ in blocks if voted[c])
 
 
 def host_paths(pages: DataFrame) -> DataFrame:

@@ -74,3 +74,35 @@ def test_noise_by_name_still_goes():
     talk = f'<section id="comments"><article class="comment-body"><p>{BODY}{BODY}</p></article></section>'
     assert lines(f'<div><p>{BODY}</p></div>{talk}<div class="related-posts"><p>More</p></div>') == [BODY.strip()]
     assert lines(f'<article><p>One <span class="share">Share</span> two.</p><p>{BODY}</p></article>{talk}') == ["One two.", BODY.strip()]
+
+
+H, P, Q = "Head", LEAD.strip(), BODY.strip()
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f'<article class="a"><h1>{H}</h1><p>{P}</p><div class="body"><p>{Q}</p></div></article>', [H, P, Q]),
+        (f'<div class="a"><h1>{H}</h1><p>{P}</p><div class="body"><p>{Q}</p></div></div>', [H, P, Q]),
+        (f'<main><section class="one"><p>{Q}</p></section><section class="two"><p>{P}</p></section></main>', [Q, P]),
+        (f'<div><section class="one"><p>{Q}</p></section><section class="two"><p>{P}</p></section></div>', [Q, P]),
+        (f'<article><p>{P}</p><blockquote><p>{Q}</p></blockquote><p>End.</p></article>', [P, Q, "End."]),
+        (f'<div><p>{P}</p><blockquote><p>{Q}</p></blockquote><p>End.</p></div>', [P, Q, "End."]),
+        (f'<div class="l"><article class="x"><p>{Q}</p></article><article class="y"><p>{P}</p></article></div>', [Q, P]),
+        (f'<div><table><tr><td class="s"><p>{P}</p></td><td class="t"><p>{Q}</p></td></tr></table></div>', [P, Q]),
+    ],
+)
+def test_main_text_is_the_whole_region(html, want):
+    page = f'<html><body><nav><a href="/">Home</a></nav>{html}<footer>Foot</footer></body></html>'
+    assert lines(page) == want
+    path, share = html_consensus.best_path(page)
+    assert lines(page, path) == want and share > 0.9
+    # a vote for an inner container takes nothing away
+    assert lines(page, "/html/body/article.a/div.body") == want
+
+
+def test_a_host_vote_takes_no_text_away(spark):
+    flat, split = f'<article><div class="body"><p>{Q}</p></div></article>', f'<article><h1>{H}</h1><p>{P}</p><div class="body"><p>{Q}</p></div></article>'
+    rows = [(i, f"http://h.org/{i}", split if i == 3 else flat) for i in range(5)]
+    got = {r.page_id: r.text.split("\n") for r in html_consensus.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: [H, P, Q] if i == 3 else [Q] for i in range(5)}
