@@ -2,7 +2,8 @@
 
 Personalised PageRank spreads trust from hosts that rules allow along links, and
 distrust from hosts that rules block against links: who links to a blocked host
-inherits distrust.  All of it is DataFrame work on host edges.
+inherits distrust.  Verdicts use exposure, distrust weighted by the share of a host's own
+links, so that it is the same however many others link to the same place.  All of it is DataFrame work on host edges.
 """
 
 from __future__ import annotations
@@ -46,20 +47,26 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def host_scores(pages: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
-    """``host``, ``trust``, ``distrust`` of each host that any seed reaches.
+def host_scores(pages: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """``host``, ``trust``, ``distrust``, ``exposure`` of each host that any seed reaches.
 
     ``seeds`` has ``host``, ``trusted`` and ``blocked`` weights; each kind is scaled to
-    the number of its seeds, so scores do not depend on the size of the web.  Rounds
-    stop when no score moves more than ``tolerance`` in sum.
+    the number of its seeds, so scores do not depend on the size of the web.  A host shares
+    out its trust over its links and its distrust over those that lead to it; its exposure
+    is what the hosts that it links to have, weighted by its links.  Rounds stop when
+    scores move by no more than ``tolerance`` of their sum.
     """
     kinds = seeds.select(F.explode(F.array(F.struct(F.lit("trust").alias("kind"), "host", F.col("trusted").cast("double").alias("weight")), F.struct(F.lit("distrust").alias("kind"), "host", F.col("blocked").cast("double").alias("weight")))).alias("s")).select("s.*").where("weight > 0")
+    kinds = kinds.unionAll(kinds.where("kind = 'distrust'").withColumn("kind", F.lit("exposure")))
     start = store(kinds, "seeds")
     edges = store(host_edges(pages), "host-edges")
     # trust follows links, distrust goes against them; a sender divides its score by its links of that direction
     moves = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").unionAll(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "n"))
     totals = moves.groupBy("kind", "host").agg(F.sum("n").alias("all"))
-    moves = store(moves.join(totals, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("all")).alias("part")), "host-moves")
+    parts = moves.join(totals, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("all")).alias("part"))
+    # exposure goes the way of distrust, but is divided by all links of the host that takes it
+    given = edges.join(edges.groupBy("src").agg(F.sum("n").alias("all")), "src").select(F.lit("exposure").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("all")).alias("part"))
+    moves = store(parts.unionAll(given), "host-moves")
     scores = start.select("kind", "host", ((1 - damping) * F.col("weight")).alias("score"))
     if moves.isEmpty():
         rounds = 0
@@ -68,19 +75,20 @@ def host_scores(pages: DataFrame, seeds: DataFrame, *, damping: float = 0.85, ro
         base = start.select("kind", "host", ((1 - damping) * F.col("weight")).alias("own"))
         new = gained.join(base, ["kind", "host"], "full").select("kind", "host", (F.coalesce("own", F.lit(0.0)) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
         new = store(new, "host-scores")
-        change = new.join(scores.withColumnRenamed("score", "old"), ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
+        both = new.join(scores.withColumnRenamed("score", "old"), ["kind", "host"], "full")
+        change, total = both.agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))), F.sum("score")).first()
         scores = new
-        if not change or change <= tolerance:
+        if not change or change <= tolerance * total:
             break
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
-    return scores.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
+    return scores.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"), of("exposure").alias("exposure"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, *, least_distrust: float = 0.05) -> DataFrame:
     """One row per page: ``page_id``, ``host``, ``path``, ``rule``, ``verdict``.
 
     A fitting rule decides.  Seeds are hosts by the share of their pages that rules
-    allow or block.  A page without a rule is blocked if its host's distrust reaches
+    allow or block.  A page without a rule is blocked if its host's exposure reaches
     ``least_distrust`` and exceeds its trust, else allowed.  A url that is null or has no
     ``://`` has an empty host and path, and is allowed.  Ids may be null or repeated.
     """
@@ -89,7 +97,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, *, least_d
     share = lambda verdict: F.avg(F.when(F.col("fit.verdict") == verdict, 1.0).otherwise(0.0))
     seeds = placed.where("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked"))
     scores = store(host_scores(pages, seeds), "scores")
-    bad = store(scores.where((F.col("distrust") >= least_distrust) & (F.col("distrust") > F.col("trust"))).select("host", F.lit(True).alias("bad")), "bad-hosts")
+    bad = store(scores.where((F.col("exposure") >= least_distrust) & (F.round("exposure", 9) > F.round("trust", 9))).select("host", F.lit(True).alias("bad")), "bad-hosts")
     rows = placed.join(bad, "host", "left")
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("bad"), "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))

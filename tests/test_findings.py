@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from docloom.llm import html_consensus
+from docloom.llm import html_consensus, url_graph
 from docloom.operators import dedupe
 
 
@@ -106,3 +106,11 @@ def test_a_host_vote_takes_no_text_away(spark):
     rows = [(i, f"http://h.org/{i}", split if i == 3 else flat) for i in range(5)]
     got = {r.page_id: r.text.split("\n") for r in html_consensus.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: [H, P, Q] if i == 3 else [Q] for i in range(5)}
+
+
+def test_all_who_link_to_a_blocked_host_are_blocked(spark):
+    farms = [f"farm{i}.net" for i in range(7)]
+    pages = [(f"http://{h}/", '<a href="http://bad.com/">x</a>') for h in farms] + [("http://bad.com/de/1", ""), ("http://wide.net/", '<a href="http://bad.com/">x</a>' + "".join(f'<a href="http://h{i}.net/">x</a>' for i in range(9)))]
+    rows = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    verdicts = {r.host: r.verdict for r in url_graph.judge(rows).collect()}
+    assert verdicts == {h: "block" for h in [*farms, "bad.com"]} | {"wide.net": "allow"}
