@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import markdown, text
@@ -59,21 +59,26 @@ def voc7_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotated_corpus(spark, sf_dir).select("doc_id", vocab.faithful(F.col("text"), F.col("annotated")).alias("faithful"))
 
 
-def inf1_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _requests(spark: SparkSession, sf_dir: str, prompt: Column) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    hosted = infer.requests(docs.where("lang = 'en'"), "doc_id", F.left("text", F.lit(60)), model=None, default_model="m-1")
-    strict = infer.requests(docs.where("lang = 'de'"), "doc_id", F.left("text", F.lit(60)), model="m-2", default_model="m-1", temperature=0.0, json_mode=True)
-    missing = infer.requests(docs.where("lang NOT IN ('en', 'de')"), "doc_id", F.left("text", F.lit(60)), model=None, default_model=None, temperature=0.3)
+    hosted = infer.requests(docs.where("lang = 'en'"), "doc_id", prompt, model=None, default_model="m-1")
+    strict = infer.requests(docs.where("lang = 'de'"), "doc_id", prompt, model="m-2", default_model="m-1", temperature=0.0, json_mode=True)
+    missing = infer.requests(docs.where("lang NOT IN ('en', 'de')"), "doc_id", prompt, model=None, default_model=None, temperature=0.3)
     return hosted.unionByName(strict).unionByName(missing)
 
 
+def inf1_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests over the first 60 characters, as in the twin."""
+    return _requests(spark, sf_dir, F.left("text", F.lit(60)))
+
+
 def inf2_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.complete(inf1_requests(spark, sf_dir), infer.digest_backend)
+    return infer.complete(_requests(spark, sf_dir, F.col("text")), infer.digest_backend)
 
 
 def inf3_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report, then a title made from it; each pass reads the stored result of the one before."""
-    first = infer.complete(inf1_requests(spark, sf_dir), infer.digest_backend).where("status = 'ok'").checkpoint()
+    first = inf2_complete(spark, sf_dir).where("status = 'ok'").checkpoint()
     titles = infer.requests(first, "request_id", text.prompt_suffix(F.col("response"), F.lit("Give a title.")), model=None, default_model="m-1", temperature=0.3)
     second = infer.complete(titles, infer.digest_backend)
     return first.select("request_id", F.col("response").alias("report")).join(second.select("request_id", F.get_json_object("response", "$.title").alias("title"), "status"), "request_id")

@@ -1,5 +1,6 @@
 """Cases in which an operator did less than the whole job, against brute force or by hand."""
 
+import json
 import random
 import re
 
@@ -7,6 +8,7 @@ import pytest
 
 from docloom.llm import html_consensus, url_graph
 from docloom.operators import dedupe
+from docloom.plans import learning
 
 
 def classes(texts, width, percent):
@@ -114,3 +116,12 @@ def test_all_who_link_to_a_blocked_host_are_blocked(spark):
     rows = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
     verdicts = {r.host: r.verdict for r in url_graph.judge(rows).collect()}
     assert verdicts == {h: "block" for h in [*farms, "bad.com"]} | {"wide.net": "allow"}
+
+
+def test_inference_sees_whole_texts(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    sent = {i: len(json.dumps([{"role": "user", "content": t}], ensure_ascii=False, separators=(",", ":"))) for i, t in texts.items()}
+    seen = {r.request_id: json.loads(r.response)["chars"] for r in learning.inf2_complete(spark, sf_dir).where("status = 'ok'").collect()}
+    assert seen and seen == {i: sent[i] for i in seen}
+    told = {r.request_id: json.loads(r.report)["chars"] for r in learning.inf3_chain(spark, sf_dir).collect()}
+    assert told and told == {i: sent[i] for i in told}
