@@ -50,8 +50,8 @@ def _terms(text: str) -> tuple[set[str], list[float]]:
 def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text"):
         rows = [_terms(x or "") for x in b.column("text").to_pylist()]
-        arrays = [b.column("doc_id"), pa.array([sorted(t) for t, _ in rows], pa.list_(pa.string())), pa.array([s for _, s in rows], pa.list_(pa.float64())), b.column("targets")]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "terms", "style", "targets"])
+        arrays = [b.column("doc_id"), pa.array([sorted(t) for t, _ in rows], pa.list_(pa.string())), pa.array([s for _, s in rows], pa.list_(pa.float64())), b.column("targets"), b.column("version")]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "terms", "style", "targets", "version"])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 12) -> np.ndarray:
@@ -80,7 +80,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, sample
 
     ``labels`` has ``doc_id`` and one 0/1 column per category; a null label counts as
     0, several rows of one document as their maximum.  The sample takes documents by a
-    hash of the id.  Without any labelled document every probability is 0.5 or below
+    hash of the id, and rows equal in id and text once; where one id bears so many
+    texts that it is still too large, it takes those by a hash of both.  Without any labelled document every probability is 0.5 or below
     and nothing is flagged.
     """
     target = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in categories])
@@ -90,8 +91,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, sample
     share = min(1.0, sample_rows / max(1, labels.count()))
     picked = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # the sample has a fixed bound on its rows, so it may be broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    sample = store(rows.mapInArrow(_sample_terms, "doc_id long, terms array<string>, style array<double>, targets array<double>"), "toxicity-sample")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").withColumn("version", F.xxhash64("text"))
+    sample = rows.mapInArrow(_sample_terms, "doc_id long, terms array<string>, style array<double>, targets array<double>, version long")
+    sample = store(sample.dropDuplicates(["doc_id", "version"]), "toxicity-sample")
+    # ids are picked by chance, so their number may exceed the bound by a little
+    if (held := sample.count()) > 1.1 * sample_rows:
+        sample = sample.where(F.pmod(F.xxhash64("version", "doc_id"), F.lit(1_000_000)) < int(sample_rows / held * 1_000_000))
     words = _select_words(sample, len(categories), words_per_category, min_z)
     chain = Chain(tuple(categories), tuple(words))
     got = sample.select("doc_id", F.array_intersect("terms", F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")).alias("terms"), "style", "targets")

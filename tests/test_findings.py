@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from docloom.llm import html_consensus, url_graph
+from docloom.llm import html_consensus, toxicity, url_graph
 from docloom.operators import dedupe
 from docloom.plans import learning
 
@@ -125,3 +125,13 @@ def test_inference_sees_whole_texts(spark, sf_dir):
     assert seen and seen == {i: sent[i] for i in seen}
     told = {r.request_id: json.loads(r.report)["chars"] for r in learning.inf3_chain(spark, sf_dir).collect()}
     assert told and told == {i: sent[i] for i in told}
+
+
+def test_repeated_rows_do_not_weigh_in_the_toxicity_sample(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=30) + ["vexor"] * (i % 5 == 0))) for i in range(200)]
+    labels = toxicity.targets(spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int"))
+    once, often = (toxicity.fit(spark.createDataFrame(r, "doc_id long, text string"), labels, toxicity.CATEGORIES) for r in (rows, rows + [rows[1]] * 300))
+    assert once.words == often.words and once.cut == often.cut
+    assert all((a == b).all() for a, b in zip(once.weights, often.weights, strict=True))
