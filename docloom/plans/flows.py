@@ -36,13 +36,18 @@ def str4_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.status_stream(operations, io.work_path(spark, "status"))
 
 
-def src3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts by source, written one file each and read whole."""
+def src3_texts(spark: SparkSession, sf_dir: str, file_rows: int = 2000) -> DataFrame:
+    """Texts by source, written as files of about ``file_rows`` lines each, read whole and added up by source."""
     path = io.work_path(spark, "texts")
-    lines = table(spark, sf_dir, "documents").select("source", F.concat_ws(" ", "doc_id", "lang").alias("value"))
-    lines.repartition(F.col("source")).write.partitionBy("source").text(path)
-    rows = io.read_texts(spark, path)
-    return rows.select(F.size(F.split(F.regexp_replace("text", r"\n$", ""), "\n")).alias("lines"), F.length("text").alias("chars"))
+    docs = table(spark, sf_dir, "documents")
+    buckets = docs.count() // file_rows + 1
+    # a source of any size falls into buckets by its ids
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
+    lines = docs.select("source", bucket, F.concat_ws(" ", "doc_id", "lang").alias("value"))
+    lines.repartition("source", "bucket").write.partitionBy("source", "bucket").text(path)
+    rows = spark.read.schema("text string, source string, bucket long").text(path, wholetext=True)
+    counts = rows.select("source", F.size(F.split(F.regexp_replace("text", r"\n$", ""), "\n")).alias("lines"), F.length("text").alias("chars"))
+    return counts.groupBy("source").agg(F.sum("lines").cast("int").alias("lines"), F.sum("chars").cast("int").alias("chars")).select("lines", "chars")
 
 
 def src4_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import html_consensus, toxicity, url_graph
 from docloom.operators import dedupe
-from docloom.plans import learning
+from docloom.plans import flows, learning
 
 
 def classes(texts, width, percent):
@@ -135,3 +136,12 @@ def test_repeated_rows_do_not_weigh_in_the_toxicity_sample(spark):
     once, often = (toxicity.fit(spark.createDataFrame(r, "doc_id long, text string"), labels, toxicity.CATEGORIES) for r in (rows, rows + [rows[1]] * 300))
     assert once.words == often.words and once.cut == often.cut
     assert all((a == b).all() for a, b in zip(once.weights, often.weights, strict=True))
+
+
+def test_a_hot_source_is_read_in_bounded_files(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(flows.io, "work_path", lambda *_: str(tmp_path / "texts"))
+    hot = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("source", F.lit("hot"))
+    monkeypatch.setattr(flows, "table", lambda *_: hot)
+    rows = flows.src3_texts(spark, sf_dir, file_rows=20).collect()
+    files = [p.read_text().count("\n") for p in (tmp_path / "texts").rglob("*.txt")]
+    assert [r.lines for r in rows] == [hot.count()] == [sum(files)] and max(files) <= 60
