@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm import minhash
-from docloom.llm.common import checked_broadcast, store
+from docloom.operators.graph import groups
+from docloom.operators.lookups import small
+from docloom.sources.io import stored
 
 
 def merge_equal(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", links: str = "source") -> DataFrame:
@@ -15,6 +16,23 @@ def merge_equal(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", lin
     return docs.groupBy(key.alias("item_key")).agg(F.min(id_).alias("first_id"), F.count("*").alias("merged"), F.array_join(F.sort_array(F.collect_set(links)), "|").alias("links"))
 
 
+def shingles(docs: DataFrame, id_: str, text: str, width: int) -> DataFrame:
+    """``id`` and ``s``, the sorted distinct hashes of the text's word n-grams; fewer words than ``width`` are one, none give an empty list."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
+    # the generator of one row keeps the optimizer from splitting the text anew for each n-gram
+    rows = docs.select(F.col(id_).cast("long").alias("id"), F.inline(F.array(F.struct(words.alias("w")))))
+    last = F.greatest(F.size("w") - width + 1, F.least(F.size("w"), F.lit(1)))
+    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return rows.select("id", F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), " "))))).alias("s"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of ``percent`` in a hundred or more."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("s").alias(f"s_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("s_a", "s_b")))
+    return both.where(100 * F.col("shared") >= percent * (F.size("s_a") + F.size("s_b") - F.col("shared"))).select("a", "b")
+
+
 def near_items(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", width: int = 3, percent: int = 50) -> DataFrame:
     """Classes of similar items, one row per item: ``id``, ``n_shingles``, ``class_id``, ``members``, ``linked``, ``head``.
 
@@ -23,10 +41,58 @@ def near_items(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", widt
     item of fewer words than ``width`` is one shingle, one without words is alone.
     ``class_id`` is the smallest id of the class, ``members`` its number of rows,
     ``linked`` says whether it has others and ``head`` whether the row bears that id.
+    Rows with a null id are alone; rows that share an id are judged each by its text.
+
+    No link is lost: with shingles ordered from rare to frequent, two sets that are
+    similar enough share one among the first of each (prefix filter).  Equal sets are
+    one node.  In each bucket of such a shingle all nodes are held against its smallest
+    node first, so a group of n copies costs about n comparisons; only where members
+    then still lie in different groups are they compared with each other.
+    """
+    rows = stored(shingles(docs, id_, text, width), "near-rows").withColumn("n_shingles", F.size("s").cast("long"))
+    rows = rows.withColumn("key", F.when(F.col("id").isNotNull() & (F.size("s") > 0), F.sha2(F.array_join(F.col("s").cast("array<string>"), " "), 256)))
+    reps = rows.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "s")).alias("at"))
+    # a node is a distinct set; ids can repeat, so its number is a hash of the set's key
+    sets = stored(reps.select(F.xxhash64("key").alias("node"), "key", F.col("at.id").alias("first"), F.col("at.s").alias("s")), "near-sets")
+
+    tokens = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("x"))
+    often = tokens.groupBy("x").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("node").orderBy("df", "x")
+    first = tokens.join(often, "x").withColumn("place", F.row_number().over(order))
+    kept = F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    members = stored(first.where(kept & (F.col("df") > 1)).select("x", "node", "n"), "near-buckets")
+
+    heads = members.groupBy("x").agg(F.min("node").alias("a"))
+    tried = members.join(heads, "x").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    links = stored(_similar(tried, sets, percent), "near-links")
+    found = groups(links)
+
+    placed = stored(members.join(found, "node", "left").select("x", "node", "n", F.coalesce("group", "node").alias("g")), "near-placed")
+    open_ = placed.groupBy("x").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("x")
+    todo = stored(placed.join(open_, "x"), "near-open")
+    side = lambda c: todo.select("x", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("g").alias(f"g_{c}"))
+    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b"))
+    rest = side("a").join(side("b"), "x").where(near).select("a", "b").distinct()
+    more = stored(_similar(rest, sets, percent), "near-links")
+    found = groups(links.unionByName(more))
+
+    classes = sets.join(found, "node", "left").select("key", "first", F.coalesce("group", "node").alias("group"))
+    names = classes.groupBy("group").agg(F.min("first").alias("class_id"))
+    rows = rows.join(classes.join(names, "group").select("key", "class_id"), "key", "left")
+    rows = stored(rows.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id")), "near-items")
+    many = stored(rows.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("members")).where("members > 1"), "near-sizes")
+    out = rows.join(small(many), "class_id", "left").withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
+    return out.select("id", "n_shingles", "class_id", "members", (F.col("members") > 1).alias("linked"), F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("head"))
+
+
+def merge_near(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", links: str = "source", width: int = 3, percent: int = 50) -> DataFrame:
+    """Similar items as one: ``class_id``, ``merged`` (rows), ``links`` (their sorted distinct union).
+
+    Rows with a null id are left out.  Distinct links are found first, so a class of any
+    number of rows brings no more than its distinct links together.
     """
-    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
-    found = store(minhash.near_duplicates(docs.select(F.col(id_).alias("doc_id"), words.alias("text")), width=width, percent=percent), "near-items")
-    many = store(found.groupBy("component_id").agg(F.count("*").alias("members")).where("members > 1 AND component_id IS NOT NULL"), "near-sizes")
-    rows = found.join(checked_broadcast(many), "component_id", "left")
-    members = F.coalesce("members", F.lit(1).cast("long"))
-    return rows.select(F.col("doc_id").alias("id"), "n_shingles", F.col("component_id").alias("class_id"), members.alias("members"), (members > 1).alias("linked"), F.col("kept").alias("head"))
+    found = near_items(docs, id_=id_, text=text, width=width, percent=percent)
+    of_id = found.where("id IS NOT NULL").groupBy("id").agg(F.min("class_id").alias("class_id"))
+    rows = docs.select(F.col(id_).cast("long").alias("id"), F.col(links).alias("link")).join(of_id, "id")
+    each = rows.groupBy("class_id", "link").agg(F.count("*").alias("n"))
+    return each.groupBy("class_id").agg(F.sum("n").alias("merged"), F.array_join(F.sort_array(F.collect_list("link")), "|").alias("links"))

@@ -69,11 +69,16 @@ def agg6_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its class of near duplicates; tested against brute force."""
+    """Every document with its class of near duplicates."""
     return dedupe.near_items(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (src5_ingest, rag1_chunks, rag1_terms, rag2_lexical, rag3_vector, rag4_scoped, rag5_grounded, rag6_citations, rag7_summary, agg6_merge, agg7_near)}
+def agg7_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each class of near duplicates as one item with all its sources."""
+    return dedupe.merge_near(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (src5_ingest, rag1_chunks, rag1_terms, rag2_lexical, rag3_vector, rag4_scoped, rag5_grounded, rag6_citations, rag7_summary, agg6_merge, agg7_near, agg7_merge)}
 _SPLIT = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: w <> '')"
 
 
@@ -85,6 +90,13 @@ def _bm25(source: str) -> str:
  hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM h) WHERE rank <= 3) """
 
 
+# shingles of three words (fewer words are one), pairs by the whole sets, and the smallest id that links reach
+_NEAR = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, {_SPLIT} AS ws FROM documents),
+ s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS x FROM d, unnest(range(1, greatest(len(ws) - 1, least(len(ws), 1) + 1))) AS u(i)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+ l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 50 * (x.n + y.n - shared)),
+ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+ c AS (SELECT r.a AS doc_id, min(r.b) AS class_id FROM r GROUP BY r.a), m AS (SELECT class_id, count(*) AS members FROM c GROUP BY class_id) """
 _CITED = _bm25("documents") + ", c AS (SELECT item_id, rank, CASE WHEN doc_id % 5 <> 0 THEN source END AS title, CASE WHEN doc_id % 2 = 0 THEN left(text, 40) END AS text, CASE WHEN doc_id % 3 <> 0 THEN left(text, 40) END AS content, 'kb/' || doc_id AS uri FROM hits JOIN documents USING (doc_id)) "
 _DOT = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[])"
 ORACLES = {
@@ -97,5 +109,7 @@ ORACLES = {
     "rag5_grounded": _bm25("documents") + ", p AS (SELECT item_id, string_agg('[' || rank || '] ' || left(text, 200), chr(10) ORDER BY rank) AS p FROM hits JOIN documents USING (doc_id) GROUP BY item_id) SELECT b.item_id, 'Answer only from the passages below. If they do not hold the answer, say so.' || chr(10) || chr(10) || coalesce(p, '') || chr(10) || chr(10) || b.text AS prompt, p IS NULL AS no_grounding FROM benchmark b LEFT JOIN p ON p.item_id = b.item_id",
     "rag6_citations": _CITED + "SELECT item_id, rank AS number, coalesce(title, 'N/A') AS title, coalesce(text, content, 'no text') AS text, uri FROM c WHERE item_id % 8 < 6 UNION ALL SELECT DISTINCT item_id, NULL, NULL, NULL, NULL FROM c WHERE item_id % 8 >= 6",
     "rag7_summary": _CITED + "SELECT item_id, CASE item_id % 8 WHEN 7 THEN 'no_metadata' WHEN 6 THEN 'no_chunks' ELSE 'ok' END AS status, CASE WHEN item_id % 8 < 6 THEN coalesce(arg_min(coalesce(title, 'N/A'), rank)) END AS first_title, CASE WHEN item_id % 8 < 6 THEN count(*) ELSE 0 END AS n_chunks FROM c GROUP BY item_id",
+    "agg7_near": _NEAR + "SELECT c.doc_id AS id, coalesce(n.n, 0) AS n_shingles, class_id, members, members > 1 AS linked, c.doc_id = class_id AS head FROM c JOIN m USING (class_id) LEFT JOIN n ON n.doc_id = c.doc_id",
+    "agg7_merge": _NEAR + "SELECT class_id, count(*) AS merged, array_to_string(list_sort(list_distinct(list(source))), '|') AS links FROM c JOIN d USING (doc_id) GROUP BY class_id",
     "agg6_merge": "SELECT sha256(text) AS item_key, min(doc_id) AS first_id, count(*) AS merged, array_to_string(list_sort(list_distinct(list(source))), '|') AS links FROM documents GROUP BY text",
 }
