@@ -11,9 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast.  Sides are a few longs wide, so
-#: this is some tens of megabytes at most; above it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of Parquet, and rows, up to which a stored side may be broadcast; above either the join shuffles.
+BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,9 +45,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if ``df`` (stored, narrow) is counted to be small, else ``df`` itself."""
-    return F.broadcast(df) if df.count() <= rows else df
+def stored_bytes(df: DataFrame) -> int:
+    """The bytes of the files that a stored frame is read from."""
+    hadoop = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    paths = [df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    return sum(p.getFileSystem(hadoop).getFileStatus(p).getLen() for p in paths)
+
+
+def checked_broadcast(df: DataFrame, size: int = BROADCAST_BYTES, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint if ``df`` (a stored frame) is small in bytes and rows, else ``df`` itself."""
+    return F.broadcast(df) if stored_bytes(df) <= size and df.count() <= rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

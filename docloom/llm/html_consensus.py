@@ -8,218 +8,37 @@ with what its own region holds besides.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import checked_broadcast, slices, store
+from docloom.llm.html_tree import Page, parse
 from docloom.llm.url_graph import host_of
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|[^<]+|<""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
-# HTML elements by their part in a page.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title select option object svg math canvas audio video".split())
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-CONTAINERS = frozenset("html body main article section div td center blockquote".split())
-CLOSES_P = BLOCKS - {"caption", "legend", "summary", "td", "th", "tr", "tbody", "thead", "tfoot"}
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-NOISE_TAGS = frozenset("nav footer aside form menu search dialog button head".split())
-NOISE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies respond "
-    "search share sharing sidebar sidenav signup social sponsor sponsored subscribe tags toolbar topbar widget".split()
-)
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-#: A first word that says something about another element, and a last one that names a layout wrapper: neither makes noise.
-ABOUT = frozenset("has with no without".split())
-WRAPPERS = frozenset("wrap wrapper container layout".split())
-#: Readers' talk can be longer than the page's own text, so only an article or main inside frees it.
-TALK = frozenset("comment comments commentlist disqus reply replies respond".split())
-#: Elements whose own class never makes them noise: themes put all kinds of names there.
-TRUSTED = frozenset("html body main article".split())
-_NAME = re.compile(r"[a-z]+")
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_DIGITS = re.compile(r"\d+")
+#: Widest table of winning paths that is broadcast, in bytes; above it pages and paths meet by host.
+PATH_BYTES = 32 << 20
 
 
-class _Open:
-    __slots__ = ("tag", "path", "noise", "container", "link", "doubt", "main")
-
-    def __init__(self, tag: str, path: str, noise: bool, container: int, link: bool, doubt: int = 0, main: int = 0) -> None:
-        self.tag, self.path, self.noise, self.container, self.link, self.doubt, self.main = tag, path, noise, container, link, doubt, main
-
-
-def _names(attributes: dict[str, str]) -> Iterator[list[str]]:
-    """The words of each class and of the id."""
-    for key in ("class", "id"):
-        for name in attributes.get(key, "").split():
-            if words := _NAME.findall(_CAMEL.sub(" ", name).lower()):
-                yield words
-
-
-def _doubtful(tag: str, attributes: dict[str, str], inside_article: bool) -> tuple[bool, bool]:
-    """Whether a name says that the element is noise, and whether one says that it is readers' talk."""
-    noise = talk = False
-    for words in _names(attributes):
-        if words[0] in ABOUT or words[-1] in WRAPPERS or (inside_article and words[-1] == "header"):
-            continue
-        noise = noise or not NOISE_NAMES.isdisjoint(words)
-        talk = talk or not TALK.isdisjoint(words)
-    return noise and tag not in TRUSTED, talk
-
-
-def _is_noise(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
-    if tag in NOISE_TAGS or (tag == "header" and not inside_article):
-        return True
-    return attributes.get("role", "").lower() in NOISE_ROLES
-
-
-def parse(html: str) -> tuple[list[tuple[int, str, int]], list[tuple[str, int]]]:
-    """Blocks (container, text, characters in links) outside noise in page order, and containers (generalised path, parent).
-
-    An element that is noise by its name only is judged when the page is read: it stays if it
-    holds most of the text of the page's articles or main, or (readers' talk apart) of the page.
-    """
-    found: list[tuple[int, list[tuple[str, int, bool, int]]]] = []
-    doubts: list[tuple[int, bool]] = [(-1, False)]
-    containers: list[tuple[str, int]] = [("", -1)]
-    stack = [_Open("", "", False, 0, False)]
-    pieces: list[tuple[str, int, bool, int]] = []
-
-    def flush() -> None:
-        if pieces:
-            found.append((stack[-1].container, pieces.copy()))
-            pieces.clear()
-
-    def close(depth: int) -> None:
-        if any(o.tag in BLOCKS for o in stack[depth:]):
-            flush()
-        del stack[depth:]
-
-    at, end = 0, len(html)
-    lower = None
-    while at < end:
-        m = TOKEN.match(html, at)
-        at = m.end()
-        tag = m[2] or m[5]
-        top = stack[-1]
-        if tag is None:
-            raw = m[0]
-            if raw[0] != "<" or len(raw) == 1:
-                if not top.noise:
-                    text = unescape(raw) if "&" in raw else raw
-                    pieces.append((text, top.doubt, top.link, top.main))
-            continue
-        tag = tag.lower()
-        closing = bool(m[1] or m[4])
-        if tag == "br":
-            pieces.append(("\n", top.doubt, False, top.main))
-            continue
-        if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close(depth)
-                    break
-                if tag not in BLOCKS and stack[depth].tag in BLOCKS:
-                    break
-            else:
-                if tag in BLOCKS:
-                    flush()
-            continue
-        body = m[3] if m[2] else m[6]
-        if tag in RAW:
-            if not body.rstrip().endswith("/"):
-                lower = lower if lower is not None else html.lower()
-                stop = lower.find(f"</{tag}", at)
-                if stop < 0:
-                    at = end
-                else:
-                    stop = html.find(">", stop)
-                    at = end if stop < 0 else stop + 1
-            continue
-        if tag in CLOSES_P:
-            flush()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    close(depth)
-                    break
-                if stack[depth].tag in BLOCKS:
-                    break
-        elif tag in BLOCKS:
-            flush()
-        if tag in SIBLINGS:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in SIBLINGS[tag]:
-                    close(depth)
-                    break
-                if stack[depth].tag in ("ul", "ol", "dl", "table"):
-                    break
-        top = stack[-1]
-        if tag in VOID:
-            continue
-        attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(body)} if "=" in body else {}
-        inside_article = any(o.tag == "article" for o in stack)
-        noise = top.noise or _is_noise(tag, attributes, inside_article)
-        named, talk = (False, False) if noise or not attributes else _doubtful(tag, attributes, inside_article)
-        doubt = top.doubt
-        if named:
-            doubts.append((doubt, talk))
-            doubt = len(doubts) - 1
-        main = top.main
-        # an article of readers' talk, as a comment may be, is none of the page's
-        if tag in ("article", "main") and not talk:
-            main = 1
-        path, container = top.path, top.container
-        if tag in CONTAINERS:
-            names = sorted(_DIGITS.sub("#", c) for c in attributes.get("class", "").split())
-            path = f"{path}/{tag}" + "".join(f".{c}" for c in names)
-            containers.append((path, container))
-            container = len(containers) - 1
-        stack.append(_Open(tag, path, noise, container, top.link or tag == "a", doubt, main))
-    flush()
-    return _judged(found, doubts), containers
-
-
-def _judged(found: list[tuple[int, list[tuple[str, int, bool, int]]]], doubts: list[tuple[int, bool]]) -> list[tuple[int, str, int]]:
-    """The blocks without the pieces of doubtful elements that hold too little of the page."""
-    whole, main = [0] * len(doubts), [0] * len(doubts)
-    for _, pieces in found:
-        for text, doubt, _, inside in pieces:
-            n = sum(map(len, text.split()))
-            whole[doubt] += n
-            main[doubt] += n * inside
-    for d in range(len(doubts) - 1, 0, -1):
-        whole[doubts[d][0]] += whole[d]
-        main[doubts[d][0]] += main[d]
-    noise = [False] * len(doubts)
-    for d in range(1, len(doubts)):
-        above, talk = doubts[d]
-        most = 2 * main[d] > main[0] if main[0] else not talk and 2 * whole[d] > whole[0]
-        noise[d] = noise[above] or not most
-    blocks = []
-    for container, pieces in found:
-        kept = [p for p in pieces if not noise[p[1]]]
-        text = " ".join("".join(p[0] for p in kept).split())
-        if text:
-            blocks.append((container, text, sum(len(p[0]) for p in kept if p[2])))
-    return blocks
+def _own(page: Page) -> list[int]:
+    """The characters outside links of each container's own blocks; a block of links counts against them."""
+    own = [0] * len(page.labels)
+    for c, text, linked in page.blocks:
+        own[c] += max(0, len(text) - 2 * linked)
+    return own
 
 
-def scores(blocks: list[tuple[int, str, int]], containers: list[tuple[str, int]]) -> list[float]:
+def scores(page: Page) -> list[float]:
     """Each container's text outside links, with half of what its children have."""
-    own = [0.0] * len(containers)
-    for c, text, linked in blocks:
-        own[c] += max(0, len(text) - 2 * linked)
-    for c in range(len(containers) - 1, 0, -1):
-        own[containers[c][1]] += own[c] / 2
+    own = [float(x) for x in _own(page)]
+    for c in range(len(own) - 1, 0, -1):
+        own[page.parents[c]] += own[c] / 2
     return own
 
 
-def region(blocks: list[tuple[int, str, int]], containers: list[tuple[str, int]]) -> tuple[int, list[int]]:
+def region(page: Page) -> tuple[int, list[int]]:
     """The container of the page's main text, and the characters outside links that each container holds in all.
 
     From the best-scored container the way goes up: to the outermost article or main around it
@@ -227,41 +46,51 @@ def region(blocks: list[tuple[int, str, int]], containers: list[tuple[str, int]]
     Without any it goes up to the outermost container that holds text of its own, or of
     several children, beside the one below: a lead, a second section or what surrounds a quotation.
     """
-    own = [0] * len(containers)
-    for c, text, linked in blocks:
-        own[c] += max(0, len(text) - 2 * linked)
-    held = own.copy()
-    for c in range(len(containers) - 1, 0, -1):
-        held[containers[c][1]] += held[c]
-    half = scores(blocks, containers)
+    held = _own(page)
+    for c in range(len(held) - 1, 0, -1):
+        held[page.parents[c]] += held[c]
+    half = scores(page)
     way = [max(range(len(half)), key=lambda i: (half[i], -i))]
-    while containers[way[-1]][1] >= 0:
-        way.append(containers[way[-1]][1])
-    last = lambda c: containers[c][0].rpartition("/")[2].partition(".")[0]
-    named = [c for c in way if last(c) in ("article", "main")]
-    if named:
-        at = way.index(named[-1])
-        rest = {c for c in range(len(containers)) if last(c) in ("article", "main") and 10 * held[c] >= held[way[at]]}
-        inside: set[int] = set()
-        while True:
-            inside = {way[at]}
-            for c in range(way[at] + 1, len(containers)):
-                if containers[c][1] in inside:
-                    inside.add(c)
-            if rest <= inside:
-                return way[at], held
-            at += 1
+    while page.parents[way[-1]] >= 0:
+        way.append(page.parents[way[-1]])
+    named = [label.partition(".")[0] in ("article", "main") for label in page.labels]
+    if outer := [c for c in way if named[c]]:
+        rest = [c for c, n in enumerate(named) if n and 10 * held[c] >= held[outer[-1]]]
+        # containers are numbered in page order, so those inside one follow it without a gap
+        return next(c for c in way[way.index(outer[-1]) :] if c <= rest[0] and rest[-1] <= page.last[c]), held
     return next((c for below, c in list(zip(way, way[1:], strict=False))[::-1] if held[c] > held[below]), way[0]), held
 
 
+def path_of(page: Page, container: int) -> str:
+    """The generalised tag-class path of a container: labels from the root, with runs of digits as ``#``."""
+    labels = []
+    while container > 0:
+        labels.append(page.labels[container])
+        container = page.parents[container]
+    return " ".join(reversed(labels))
+
+
+def on_path(page: Page, path: str | None) -> list[bool]:
+    """Whether each container has ``path`` or lies inside one that has."""
+    wanted = path.split(" ") if path else []
+    met, inside = [-1] * len(page.labels), [False] * len(page.labels)
+    met[0], inside[0] = 0, path == ""
+    for c in range(1, len(met)):
+        above = page.parents[c]
+        if 0 <= met[above] < len(wanted) and page.labels[c] == wanted[met[above]]:
+            met[c] = met[above] + 1
+        inside[c] = inside[above] or (met[c] > 0 and met[c] == len(wanted))
+    return inside
+
+
 def best_path(html: str | None) -> tuple[str, float] | None:
     """The path of the page's main region and the share of the page's text that it holds; None without text."""
-    blocks, containers = parse(html or "")
-    if not blocks:
+    page = parse(html or "")
+    if not page.blocks:
         return None
-    c, held = region(blocks, containers)
-    total = sum(len(t) for _, t, _ in blocks)
-    return containers[c][0], min(1.0, held[c] / total)
+    c, held = region(page)
+    total = sum(len(t) for _, t, _ in page.blocks)
+    return path_of(page, c), min(1.0, held[c] / total)
 
 
 def extract(html: str | None, path: str | None) -> str:
@@ -269,23 +98,15 @@ def extract(html: str | None, path: str | None) -> str:
 
     The page's own main region joins them where it holds text that they lack.
     """
-    blocks, containers = parse(html or "")
-    if not blocks:
+    page = parse(html or "")
+    if not page.blocks:
         return ""
-    own, held = region(blocks, containers)
-
-    def marked(chosen: set[int]) -> list[bool]:
-        inside = [False] * len(containers)
-        for i, (_, parent) in enumerate(containers):
-            inside[i] = i in chosen or (parent >= 0 and inside[parent])
-        return inside
-
-    mine, voted = marked({own}), marked({i for i, (p, _) in enumerate(containers) if path is not None and p == path})
-    if not any(voted[c] for c, _, _ in blocks):
-        voted = mine
-    elif any(mine[c] and not voted[c] and len(t) > 2 * n for c, t, n in blocks):
-        voted = [a or b for a, b in zip(mine, voted, strict=True)]
-    return "\n".join(t for c, t, _ in blocks if voted[c])
+    own, _ = region(page)
+    mine = lambda c: own <= c <= page.last[own]
+    voted = on_path(page, path)
+    found = any(voted[c] for c, _, _ in page.blocks)
+    join = not found or any(mine(c) and not voted[c] and len(t) > 2 * n for c, t, n in page.blocks)
+    return "\n".join(t for c, t, _ in page.blocks if voted[c] or (join and mine(c)))
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -319,5 +140,5 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     winners = store(host_paths(pages), "host-paths")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    joined = rows.join(checked_broadcast(winners, 100_000), "host", "left").select("page_id", "url", "html", "path")
+    joined = rows.join(checked_broadcast(winners, size=PATH_BYTES), "host", "left").select("page_id", "url", "html", "path")
     return joined.mapInArrow(apply, "page_id long, url string, text string, n_chars long")
