@@ -59,13 +59,17 @@ def token_bytes(path: str) -> list[bytes]:
 
 
 class Codec:
-    """One vocabulary file, loaded once in each worker that encodes."""
+    """One vocabulary file, loaded once in each worker that encodes.
 
-    def __init__(self, path: str) -> None:
+    With ``special`` the strings of special tokens in a text become those tokens, as the
+    library does by itself; without, they are ordinary text.
+    """
+
+    def __init__(self, path: str, special: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
         self.lengths = np.array([len(x) for x in token_bytes(path)], np.int64)
         self.known: dict[str, bytes] = {}
 
@@ -135,8 +139,8 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, special: bool = False) -> Codec:
+    return Codec(path, special)
 
 
 def encode(docs: DataFrame, vocabulary: str, *, offsets: bool = False) -> DataFrame:
