@@ -57,11 +57,12 @@ FILE_PLACES = 4096
 
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two replicas of the archive of all pages: the second has a changed byte in some records and lacks others."""
-    pages = table(spark, sf_dir, "pages")
-    place = [F.floor(F.col("page_id") / FILE_PLACES).alias("file"), F.pmod("page_id", F.lit(FILE_PLACES)).cast("long").alias("place")]
-    one = pages.select(*place, url_graph_record(F.col("html")).alias("record"))
-    damaged = F.when(F.pmod("page_id", F.lit(89)) == 7, F.concat(F.col("html"), F.lit("\x00"))).otherwise(F.col("html"))
-    two = pages.where("page_id % 211 <> 5").select(*place, url_graph_record(damaged).alias("record"))
+    pages = table(spark, sf_dir, "pages").withColumn("page_id", F.col("page_id").cast("long"))
+    place = F.pmod("page_id", F.lit(FILE_PLACES))
+    places = [F.call_function("div", F.col("page_id") - place, F.lit(FILE_PLACES)).alias("file"), place.alias("place")]
+    one = pages.select(*places, url_graph_record(F.col("html")).alias("record"))
+    damaged = F.when(F.pmod("page_id", F.lit(89)) == 7, F.concat(F.coalesce("html", F.lit("")), F.lit("\x00"))).otherwise(F.col("html"))
+    two = pages.where(F.coalesce(F.pmod("page_id", F.lit(211)) != 5, F.lit(True))).select(*places, url_graph_record(damaged).alias("record"))
     found = warc_fixity.audit(one, two, file_places=FILE_PLACES)
     return found.select((F.col("file") * FILE_PLACES + F.col("place")).alias("page_id"), "status", "length_one", "length_two")
 
