@@ -8,6 +8,7 @@ links, so that it is the same however many others link to the same place.  All o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -40,21 +41,34 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return fits
 
 
+#: Character references that can stand in the part of a link that names its host.
+REFERENCES = ((r"&(?:#47|#[xX]2[fF]|sol);", "/"), (r"&(?:#58|#[xX]3[aA]|colon);", ":"), (r"&(?:#46|#[xX]2[eE]|period);", "."), (r"&(?:#45|#[xX]2[dD]|hyphen|dash);", "-"))
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
-    """``src``, ``dst``, ``n``: links between different hosts in the pages' href attributes; relative links stay on their host."""
-    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)\bhref\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""), F.lit(1))).alias("link"))
+    """``src``, ``dst``, ``n``: links between different hosts in the pages' href attributes.
+
+    Absolute links and those that begin with ``//`` name a host; all others stay on their own.
+    """
+    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)\bhref\s*=\s*["']?\s*([a-z&/][^"'\s>]+)"""), F.lit(1))).alias("link"))
+    link = F.col("link")
+    for written, meant in REFERENCES:
+        link = F.regexp_replace(link, written, meant)
+    links = links.select("src", F.regexp_replace(link, r"^//", "http://").alias("link")).where(F.col("link").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"))
     links = links.select("src", host_of(F.col("link")).alias("dst")).where("src <> '' AND dst <> '' AND src <> dst")
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def host_scores(pages: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+def host_scores(pages: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """``host``, ``trust``, ``distrust``, ``exposure`` of each host that any seed reaches.
 
     ``seeds`` has ``host``, ``trusted`` and ``blocked`` weights; each kind is scaled to
     the number of its seeds, so scores do not depend on the size of the web.  A host shares
     out its trust over its links and its distrust over those that lead to it; its exposure
-    is what the hosts that it links to have, weighted by its links.  Rounds stop when
-    scores move by no more than ``tolerance`` of their sum.
+    is what the hosts that it links to have, weighted by its links.  Rounds go on until no more
+    than ``tolerance`` of the mass is left to spread, or scores move by no more than that
+    share of their sum.  Only hosts and links are moved, summed up by pairs of hosts; a host
+    with very many links is split by Spark's skew join, as sums are formed before the next shuffle.
     """
     kinds = seeds.select(F.explode(F.array(F.struct(F.lit("trust").alias("kind"), "host", F.col("trusted").cast("double").alias("weight")), F.struct(F.lit("distrust").alias("kind"), "host", F.col("blocked").cast("double").alias("weight")))).alias("s")).select("s.*").where("weight > 0")
     kinds = kinds.unionAll(kinds.where("kind = 'distrust'").withColumn("kind", F.lit("exposure")))
@@ -68,8 +82,7 @@ def host_scores(pages: DataFrame, seeds: DataFrame, *, damping: float = 0.85, ro
     given = edges.join(edges.groupBy("src").agg(F.sum("n").alias("all")), "src").select(F.lit("exposure").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("all")).alias("part"))
     moves = store(parts.unionAll(given), "host-moves")
     scores = start.select("kind", "host", ((1 - damping) * F.col("weight")).alias("score"))
-    if moves.isEmpty():
-        rounds = 0
+    rounds = 0 if moves.isEmpty() else math.ceil(math.log(tolerance) / math.log(damping))
     for _ in range(rounds):
         gained = scores.join(moves, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("score") * F.col("part")).alias("got"))
         base = start.select("kind", "host", ((1 - damping) * F.col("weight")).alias("own"))
@@ -90,7 +103,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, *, least_d
     A fitting rule decides.  Seeds are hosts by the share of their pages that rules
     allow or block.  A page without a rule is blocked if its host's exposure reaches
     ``least_distrust`` and exceeds its trust, else allowed.  A url that is null or has no
-    ``://`` has an empty host and path, and is allowed.  Ids may be null or repeated.
+    ``://`` has an empty host and path, and is allowed.  Ids may be null or repeated; an empty
+    table gives no row, null html has no link, and other columns are not looked at.
     """
     placed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     placed = placed.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))

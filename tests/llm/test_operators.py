@@ -305,7 +305,7 @@ def test_distrust_flows_against_links(spark):
     rows = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
     verdicts = {r.host: r.verdict for r in url_graph.judge(rows).collect()}
     assert verdicts == {"farm.net": "block", "bad.com": "block", "good.org": "allow", "friend.net": "allow", "lone.net": "allow"}
-    scores = {r.host: (r.trust, r.distrust) for r in url_graph.host_scores(rows, spark.createDataFrame([("good.org", 1.0, 0.0), ("bad.com", 0.0, 1.0)], "host string, trusted double, blocked double"), rounds=60, tolerance=1e-12).collect()}
+    scores = {r.host: (r.trust, r.distrust) for r in url_graph.host_scores(rows, spark.createDataFrame([("good.org", 1.0, 0.0), ("bad.com", 0.0, 1.0)], "host string, trusted double, blocked double"), tolerance=1e-12).collect()}
     trust, distrust = Counter(), Counter()
     out = {"farm.net": ["bad.com"], "good.org": ["friend.net"], "friend.net": ["bad.com"]}
     back = {"bad.com": ["farm.net", "friend.net"], "friend.net": ["good.org"]}
