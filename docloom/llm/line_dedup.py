@@ -2,16 +2,17 @@
 
 A gram is the shortest run of lines from some line on that has GRAM_WORDS words, a
 window the shortest that has MIN_WORDS.  Every window selects its smallest gram hash
-(the last among equals) as a fingerprint.  Two equal runs of MIN_WORDS words contain an
-equal window and so select the same gram: no such run is missed.  A fingerprint
-is joined, by the content of its window, to the first place where that
-occurs; from there the match is extended line by line both ways, and the later run is
-deleted.
+(the last among equals); the places selected in a document are its fingerprints, each once.
+Two equal runs of MIN_WORDS words contain an equal window and so select the same gram: no
+such run is missed.  Places are joined by gram; where a gram repeats, its windows name
+the first place that has the same one, from there the match is extended line by line both
+ways, and the later run is deleted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,10 @@ from docloom.llm.common import checked_broadcast, mix, range_hashes, slices, sto
 
 #: Words of a gram, and of a run that is deleted.
 GRAM_WORDS, MIN_WORDS = 25, 50
-LINES = "doc_id long, version long, lines array<long>, words array<int>, marks array<struct<window:long,line:int>>"
+#: Lines beyond the matched ones that are compared first; a match that goes on further is looked at again, REACH_STEP times as far.
+REACH, REACH_STEP = 64, 16
+LINES = "doc_id long, version long, lines array<long>, words array<int>, marks array<struct<gram:long,line:int,windows:array<long>>>"
+PAIR = ["doc_id", "version", "other", "other_version"]
 
 
 def line_table(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,57 +41,76 @@ def line_table(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return range_hashes(data, begin, end), words, np.concatenate([[0], np.cumsum(n_lines)])
 
 
-def _runs(total: np.ndarray, prefix: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each line, the end of the shortest run from it with ``least`` words, and the hash of that run (end -1: none)."""
-    n = len(total) - 1
-    end = np.searchsorted(total, total[:-1] + least, side="left")
-    ok = end <= n
-    at = np.minimum(end, n)
-    i = np.arange(n)
-    inverse = _inverse_powers(n + 1)
-    value = mix((prefix[at] - prefix[i]) * inverse[i] + (at - i).astype(np.uint64))
-    return np.where(ok, end, -1), value
-
-
 _BASE = 0xC2B2AE3D27D4EB4F
 _INV = pow(_BASE, -1, 2**64)
 
 
-def _inverse_powers(n: int) -> np.ndarray:
-    out = np.full(n, _INV, np.uint64)
-    out[0] = 1
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
-def fingerprints(lines: np.ndarray, words: np.ndarray, gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """(window hash, line of its selected gram) of each window of one text; windows start at lines with words."""
+def _last_smallest(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The place of the smallest value of each range [low, high], the last among equals."""
+    best = np.arange(len(values))
+    out = np.zeros(len(low), np.int64)
+    depth = np.frexp((high - low + 1).astype(float))[1] - 1
+    for k in range(int(depth.max()) + 1 if len(low) else 0):
+        mine = np.flatnonzero(depth == k)
+        a, b = best[low[mine]], best[high[mine] - (1 << k) + 1]
+        out[mine] = np.where(values[b] <= values[a], b, a)
+        if len(best) > 1 << k:
+            a, b = best[: len(best) - (1 << k)], best[1 << k :]
+            best = np.where(values[b] <= values[a], b, a)
+    return out
+
+
+def fingerprints(lines: np.ndarray, words: np.ndarray, first: np.ndarray, gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of all texts its hash, the line of the gram that it selects, and the hash of that.
+
+    ``first`` has the first line of each text; windows start at lines with words.
+    """
     n = len(lines)
     total = np.concatenate([[0], np.cumsum(words)])
-    if total[-1] < min_words:
-        return []
-    power = np.full(n, _BASE, np.uint64)
-    power[0] = 1
-    power = np.cumprod(power, dtype=np.uint64)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines * power, dtype=np.uint64)])
-    gram_end, gram = _runs(total, prefix, gram_words)
-    window_end, window = _runs(total, prefix, min_words)
-    out = []
-    for i in np.flatnonzero((window_end > 0) & (words > 0)):
-        inside = np.flatnonzero((gram_end[i : window_end[i]] > 0) & (gram_end[i : window_end[i]] <= window_end[i]) & (words[i : window_end[i]] > 0)) + i
-        least = gram[inside].min()
-        out.append((int(window[i].view(np.int64)), int(inside[gram[inside] == least][-1])))
-    return out
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines * _powers(_BASE, n), dtype=np.uint64)])
+    inverse = _powers(_INV, n + 1)
+    stop = np.repeat(first[1:], np.diff(first))
+    at = np.arange(n)
+
+    def runs(least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The end of the shortest run from each line with ``least`` words (past all lines if its text has none), and its hash."""
+        end = np.searchsorted(total, total[:-1] + least, side="left")
+        inside = np.minimum(end, n)
+        return np.where(end <= stop, end, n + 1), mix((prefix[inside] - prefix[at]) * inverse[at] + (inside - at).astype(np.uint64))
+
+    gram_end, gram = runs(gram_words)
+    window_end, window = runs(min_words)
+    begin = np.flatnonzero((window_end <= n) & (words > 0))
+    value = np.where((words > 0) & (gram_end <= n), gram, np.uint64(2**64 - 1))
+    # grams end the later the later they begin, up to the next text
+    reach = np.maximum.accumulate(np.where(gram_end <= n, gram_end, 0))
+    last = np.searchsorted(reach, window_end[begin], side="right") - 1
+    chosen = _last_smallest(value, begin, np.minimum(last, window_end[begin] - 1))
+    return window[begin], chosen, gram[chosen]
 
 
 def _index(docs: DataFrame) -> DataFrame:
+    """Lines, word counts and fingerprints (gram, line, hashes of the windows that select it) of each row."""
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             hashes, words, first = line_table(b.column("text"))
-            rows = [(hashes[i:j], words[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
-            marks = [[{"window": w, "line": k} for w, k in fingerprints(h, c)] for h, c in rows]
+            window, chosen, gram = fingerprints(hashes, words, first)
+            order = np.argsort(chosen, kind="stable")
+            places, begin = np.unique(chosen[order], return_index=True)
+            windows = pa.ListArray.from_arrays(pa.array(np.append(begin, len(order)).astype(np.int32)), pa.array(window[order].view(np.int64)))
+            owner = np.searchsorted(first, places, side="right") - 1
+            marks = pa.StructArray.from_arrays([pa.array(gram[order][begin].view(np.int64)), pa.array((places - first[owner]).astype(np.int32)), windows], names=["gram", "line", "windows"])
             off = pa.array(first.astype(np.int32))
+            mark_off = pa.array(np.searchsorted(places, first).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("version"), pa.ListArray.from_arrays(off, pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(off, pa.array(words.astype(np.int32))), pa.array(marks, pa.list_(pa.struct([("window", pa.int64()), ("line", pa.int32())])))],
+                [b.column("doc_id"), b.column("version"), pa.ListArray.from_arrays(off, pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(off, pa.array(words.astype(np.int32))), pa.ListArray.from_arrays(mark_off, marks)],
                 names=["doc_id", "version", "lines", "words", "marks"],
             )
 
@@ -95,18 +118,23 @@ def _index(docs: DataFrame) -> DataFrame:
 
 
 def _extend(matches: DataFrame, min_words: int) -> DataFrame:
-    """Deleted runs (doc_id, version, first, stop) of rows with the lines of both sides and the anchored positions."""
+    """Repeated runs (first, stop) of rows with stretches of lines of both sides and the anchored positions.
+
+    ``cut`` marks a run that reaches the end of a stretch and may go on behind it.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, versions, first, stop = [], [], [], []
+            out: list[tuple] = []
             for r in range(b.num_rows):
                 row = {c: b.column(c)[r] for c in b.schema.names}
                 x, y = (np.asarray(row[c].values) for c in ("lines", "other_lines"))
                 words = np.asarray(row["words"].values)
+                base, other_base, n_lines, n_other = (row[c].as_py() for c in ("base", "other_base", "n_lines", "n_other"))
+                key = [row[c].as_py() for c in PAIR]
                 done: dict[int, int] = {}
                 for pos in sorted(row["places"].as_py(), key=lambda p: (p["other_line"] - p["line"], p["line"])):
-                    i, j = pos["line"], pos["other_line"]
+                    i, j = pos["line"] - base, pos["other_line"] - other_base
                     if done.get(j - i, -1) > i:
                         continue
                     n = min(len(x) - i, len(y) - j)
@@ -116,14 +144,32 @@ def _extend(matches: DataFrame, min_words: int) -> DataFrame:
                     differ = np.flatnonzero(x[i - n : i] != y[j - n : j])
                     back = n - 1 - int(differ[-1]) if len(differ) else n
                     done[j - i] = i + ahead
-                    if words[i - back : i + ahead].sum() >= min_words:
-                        ids.append(row["doc_id"].as_py())
-                        versions.append(row["version"].as_py())
-                        first.append(i - back)
-                        stop.append(i + ahead)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(first, pa.int32()), pa.array(stop, pa.int32())], names=["doc_id", "version", "first", "stop"])
+                    # a run ends with either text, but not where only a stretch ends
+                    begins = (i == back and base == 0) or (j == back and other_base == 0)
+                    ends = (i + ahead == len(x) and base + len(x) == n_lines) or (j + ahead == len(y) and other_base + len(y) == n_other)
+                    cut = (back == min(i, j) and not begins) or (ahead == min(len(x) - i, len(y) - j) and not ends)
+                    if cut or words[i - back : i + ahead].sum() >= min_words:
+                        out.append((*key, base + i - back, base + i + ahead, cut))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*PAIR, "first", "stop", "cut"])
+
+    return matches.mapInArrow(apply, "doc_id long, version long, other long, other_version long, first int, stop int, cut boolean")
 
-    return matches.mapInArrow(apply, "doc_id long, version long, first int, stop int")
+
+def _stretches(places: DataFrame, index: DataFrame, reach: int) -> DataFrame:
+    """``places`` with the lines of both documents around them, ``reach`` lines to either side."""
+
+    def around(rows: DataFrame, lines: DataFrame, key: list[str], at: str, prefix: str, *more: str) -> DataFrame:
+        low = F.greatest(F.array_min(F.transform("places", lambda p: p[at])) - reach, F.lit(0))
+        high = F.array_max(F.transform("places", lambda p: p[at])) + reach + 1
+        found = rows.join(lines, key).withColumns({"low": low, "high": high})
+        cut = lambda c: F.slice(c, F.col("low") + 1, F.col("high") - F.col("low"))
+        return found.select(*PAIR, "places", *more, cut("lines").alias(f"{prefix}lines"), *([cut("words").alias("words")] if not prefix else []), F.col("low").alias(f"{prefix}base"), F.size("lines").alias(f"n_{prefix.rstrip('_') or 'lines'}"))
+
+    theirs = index.select(F.col("doc_id").alias("other"), F.col("version").alias("other_version"), "lines")
+    both = around(places, theirs, ["other", "other_version"], "other_line", "other_")
+    return around(both, index.select("doc_id", "version", "lines", "words"), ["doc_id", "version"], "line", "", "other_lines", "other_base", "n_other")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -131,48 +177,75 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
     ``docs`` has ``doc_id``, ``version`` and ``text``.  Places are ordered by id, version and line.
     """
-    index = store(_index(docs.dropDuplicates(["doc_id", "version"])), "lines")
-    marks = index.select("doc_id", "version", F.explode("marks").alias("m")).select("doc_id", "version", "m.window", "m.line")
-    first = marks.groupBy("window").agg(F.min(F.struct("doc_id", "version", "line")).alias("at"), F.count("*").alias("n")).where("n > 1")
-    first = store(first.select("window", "at"), "anchors")
-    later = marks.join(first, "window").where(F.struct("doc_id", "version", "line") > F.col("at"))
+    index = store(_index(docs), "lines")
+    marks = index.select("doc_id", "version", F.explode("marks").alias("m")).select("doc_id", "version", "m.gram", "m.line", "m.windows")
+    again = store(marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
+    met = marks.join(checked_broadcast(again), "gram").select("doc_id", "version", "line", F.explode("windows").alias("window"))
+    met = store(met.distinct(), "windows")
+    place = F.struct("doc_id", "version", "line")
+    first = store(met.groupBy("window").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1").select("window", "at"), "anchors")
+    later = met.join(first, "window").where(place > F.col("at"))
     places = later.groupBy("doc_id", "version", F.col("at.doc_id").alias("other"), F.col("at.version").alias("other_version")).agg(F.collect_set(F.struct("line", F.col("at.line").alias("other_line"))).alias("places"))
-    places = store(places, "places")
-    others = index.select(F.col("doc_id").alias("other"), F.col("version").alias("other_version"), F.col("lines").alias("other_lines"))
-    both = places.join(others, ["other", "other_version"]).join(index.select("doc_id", "version", "lines", "words"), ["doc_id", "version"])
-    runs = _extend(both, MIN_WORDS)
+    todo = store(places, "places")
+    # only documents that take part in a match are looked at again; rows equal in id and text are one
+    parts = todo.select("doc_id", "version").unionAll(todo.select("other", "other_version")).distinct()
+    lines = store(index.select("doc_id", "version", "lines", "words").join(parts, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"]), "matched")
+    found, reach = [], REACH
+    while True:
+        runs = store(_extend(_stretches(todo, lines, reach), MIN_WORDS), "extended")
+        found.append(runs.where("NOT cut"))
+        rest = runs.where("cut").select(*PAIR).distinct()
+        if rest.isEmpty():
+            break
+        todo, reach = store(todo.join(rest, PAIR, "left_semi"), "places"), reach * REACH_STEP
+    runs = reduce(DataFrame.unionAll, found)
     return store(runs.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "stop")).alias("runs")), "runs")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with later repeated runs removed from ``text``, plus ``n_lines`` and ``n_removed``.
-
-    Lines are the pieces between newlines, compared whole; a run counts from
-    MIN_WORDS words on, within one document or across several, and its first place, by
-    id and line, stays.  Null and empty texts come back as they are.  Rows equal in id
-    and text are one document and are changed alike; rows with a null id keep
-    their text.  A text that repeats entirely becomes empty.
-    """
-    reserved = {"version", "runs", "n_lines", "n_removed"}
-    names = [c for c in docs.columns if c not in reserved]
-    rows = docs.select(*names).withColumn("version", F.xxhash64(F.col("text").cast("string")))
-    basis = rows.where("doc_id IS NOT NULL AND length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "version", F.col("text").cast("string").alias("text"))
-    runs = repeated_runs(basis)
+def _marked(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` whole as ``row``, with its key, its text and the runs to delete; so no column of the input can clash."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("version", F.xxhash64("text"))
+    runs = repeated_runs(rows.where("doc_id IS NOT NULL AND length(text) > 0").select("doc_id", "version", "text"))
+    rows = rows.join(checked_broadcast(runs), ["doc_id", "version"], "left")
     pieces = F.split("text", "\n", -1)
     inside = lambda i: F.exists("runs", lambda r: (r["first"] <= i) & (i < r["stop"]))
     cut = F.array_join(F.filter(pieces, lambda _, i: ~inside(i)), "\n")
-    rows = rows.join(checked_broadcast(runs, 200_000), ["doc_id", "version"], "left")
     rows = rows.withColumn("n_lines", F.when(F.length("text") > 0, F.size(pieces)).otherwise(F.lit(0)).cast("long"))
     gone = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["stop"] - 1)))))
     rows = rows.withColumn("n_removed", F.when(F.col("runs").isNull(), 0).otherwise(gone).cast("long"))
-    rows = rows.withColumn("text", F.when(F.col("runs").isNull(), F.col("text")).otherwise(cut))
-    return rows.select(*names, "n_lines", "n_removed")
+    return rows.withColumn("text", F.when(F.col("runs").isNull(), F.col("text")).otherwise(cut))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with later repeated runs removed from ``text``, plus ``n_lines`` and ``n_removed``.
+
+    Lines are the pieces between newlines, compared whole; a run counts from
+    MIN_WORDS words on, within one document or across several, and its first place, by
+    id and line, stays.  Null and empty texts come back as they are, an empty table as an
+    empty one.  Rows equal in id and text are one document and are changed alike; rows with
+    a null id keep their text.  A text that repeats entirely becomes empty.  Columns of the
+    input stay, whatever their names, but for ``n_lines`` and ``n_removed``, which are replaced.
+    """
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    done = _marked(docs)
+    return done.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names], "n_lines", "n_removed")
 
 
 def strip(docs: DataFrame) -> DataFrame:
-    """``docs`` in its own columns, texts without repeated runs; a text left without a word is dropped if lines were removed from it."""
-    done = dedup(docs)
+    """``docs`` in its own columns, texts without repeated runs; a text left without a word is dropped if lines were removed from it.
+
+    Nulls, empty texts and repeated rows are treated as in ``dedup``; every column keeps its
+    values, whatever its name, but for ``text`` and ``n_chars``, which is counted anew where lines went.
+    """
+    done = _marked(docs)
     done = done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    columns = []
+    for c in docs.columns:
+        given = F.col("row").getField(c)
+        if c == "text":
+            given = F.col("text")
+        elif c == "n_chars":
+            given = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(given)
+        columns.append(given.alias(c))
+    return done.select(*columns)
