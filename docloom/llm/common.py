@@ -61,7 +61,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = 512, size: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds few rows and a bounded amount of text.
 
     A row larger than ``size`` comes alone; no text is ever cut.

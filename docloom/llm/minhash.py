@@ -1,14 +1,16 @@
 """Near-duplicate documents by MinHash.
 
 1. Each text becomes a set of word shingles, and the set a signature: the minima of
-   many universal hashes, cut into bands.  Equal sets collapse to one node.
+   many universal hashes, cut into bands.  Equal sets, told by 128 bits, collapse to one node.
 2. Nodes that agree on a band share a bucket.  In each bucket the member
    that meets most others over all bands is the hub; every member is held against the
    hub it shares most bands with: signature first, then the full sets.
 3. Components come from alternating large-star and small-star.
 4. Buckets whose members still lie in several components are finished exactly: the
-   members outside the hub's component are held against the others, in blocks, each
-   pair in the first band it shares only.
+   members outside the hub's component are held against the others by signature, in blocks,
+   each pair in the first band it shares only.  Sets are fetched for pairs whose signatures
+   agree enough: first the best one of each member and component, then, where that left
+   components apart, all of them.
 5. Components again over what was found.
 
 So a group of n copies costs about n comparisons, no pair is left out, and nothing
@@ -17,6 +19,7 @@ is gathered by group in one task.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -105,13 +108,10 @@ def bands(sig: np.ndarray, by: Scheme) -> np.ndarray:
     return mix((rows * by.band).sum(axis=1, dtype=np.uint64) + np.arange(by.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def set_key(s: np.ndarray) -> int:
-    """A 64-bit key of a whole set: its size, sum and mixed exclusive or."""
-    parts = np.array([len(s), s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + np.uint64(0x1B873593)))], np.uint64)
-    key = np.array([0], np.uint64)
-    for x in parts:
-        key = mix(key * np.uint64(0xE7037ED1A0B428DB) + x)
-    return int(key.view(np.int64)[0])
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a digest of a whole sorted set, as two longs."""
+    a, b = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+    return int(a), int(b)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -119,17 +119,29 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
 
 
-def _sketch(docs: DataFrame, width: int, by: Scheme) -> DataFrame:
+def _sketch(docs: DataFrame, width: int, by: Scheme, key_bits: int) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = shingle_sets(b.column("text"), width)
             n = pa.array([len(s) for s in sets], pa.int64())
-            node = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
+            keys = [set_key(s) if len(s) else (None, None) for s in sets]
+            node = pa.array([a if a is None or key_bits == 64 else a % 2**key_bits for a, _ in keys], pa.int64())
+            check = pa.array([c for _, c in keys], pa.int64())
             marks = np.stack([bands(signature(s, by), by) if len(s) else np.zeros(by.bands, np.int64) for s in sets])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * by.bands), pa.array(marks.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), n, node, lists], names=["doc_id", "version", "n_shingles", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), n, node, check, lists], names=["doc_id", "version", "n_shingles", "node", "check", "bands"])
 
-    return _rows(docs).mapInArrow(apply, "doc_id long, version long, n_shingles long, node long, bands array<long>")
+    return _told_apart(store(_rows(docs).mapInArrow(apply, "doc_id long, version long, n_shingles long, node long, check long, bands array<long>"), "sketch"))
+
+
+def _told_apart(sketch: DataFrame) -> DataFrame:
+    """``sketch`` with another node for a set whose first 64 bits are those of a different set."""
+    sets = sketch.where("node IS NOT NULL").select("node", "check").distinct()
+    clash = store(sets.groupBy("node").agg(F.min("check").alias("main"), F.count("*").alias("n")).where("n > 1").select("node", "main"), "clashes")
+    if clash.isEmpty():
+        return sketch
+    moved = F.when(F.col("main") != F.col("check"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return store(sketch.join(clash, "node", "left").withColumn("node", F.coalesce(moved, "node")).drop("main"), "sketch")
 
 
 def _full(rows: DataFrame, width: int, by: Scheme) -> DataFrame:
@@ -154,8 +166,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _verify(pairs: DataFrame, percent: int, by: Scheme) -> DataFrame:
-    """The pairs (a, b) of rows (a, b, sig_a, items_a, sig_b, items_b) that are similar."""
+def _verify(pairs: DataFrame, full: DataFrame, percent: int, by: Scheme) -> DataFrame:
+    """The rows of ``pairs`` (a, b and other longs) whose sets are similar."""
+    names = pairs.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,44 +178,62 @@ def _verify(pairs: DataFrame, percent: int, by: Scheme) -> DataFrame:
                 for sa, ia, sb, ib in zip(*[part.column(c).to_pylist() for c in ("sig_a", "items_a", "sig_b", "items_b")], strict=True):
                     agree = (np.frombuffer(sa, np.uint32) == np.frombuffer(sb, np.uint32)).mean()
                     hit.append(bool(agree >= by.least and similar(np.frombuffer(ia, np.uint64), np.frombuffer(ib, np.uint64), percent)))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names], names=names).filter(pa.array(hit, pa.bool_()))
 
-    return pairs.mapInArrow(apply, "a long, b long")
+    side = lambda c: full.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("items").alias(f"items_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(apply, ", ".join(f"{c} long" for c in names))
 
 
-def _finish_blocks(members: DataFrame, percent: int, by: Scheme) -> DataFrame:
-    """Links between components inside buckets.
+def _candidates(members: DataFrame, by: Scheme, best: bool) -> DataFrame:
+    """Pairs of nodes in different components that may be similar: ``a``, ``b``, ``comp_a``, ``comp_b``.
 
-    ``members`` has (bucket, block, other, side, node, comp, sig, items): in each group of
-    bucket, block and other block, rows of side 0 are held against those of side 1.
+    ``members`` has (bucket, block, other, side, node, comp, sig): in each group of bucket,
+    block and other block, rows of side 0 are held against those of side 1.  With ``best``
+    only the pair that agrees most counts for each row of side 0 and component.
     """
 
     def apply(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in ("bucket", "side", "node", "comp", "sig", "items")}
-        left = [i for i, s in enumerate(cols["side"]) if s == 0]
-        right = [i for i, s in enumerate(cols["side"]) if s == 1]
-        bucket = cols["bucket"][0]
-        sig = {i: np.frombuffer(cols["sig"][i], np.uint32) for i in {*left, *right}}
-        mark = {i: bands(s, by) for i, s in sig.items()}
+        side, node, comp = (table.column(c).to_numpy() for c in ("side", "node", "comp"))
+        bucket = table.column("bucket")[0].as_py()
+        sig = np.stack([np.frombuffer(x, np.uint32) for x in table.column("sig").to_pylist()])
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         found: list[tuple[int, int]] = []
-        if left and right:
-            sr, mr = np.stack([sig[i] for i in right]), np.stack([mark[i] for i in right])
-            comp = np.array([cols["comp"][i] for i in right])
+        if len(left) and len(right):
+            mark = np.stack([bands(x, by) for x in sig])
             band = int(np.flatnonzero(mark[left[0]] == bucket)[0])
+            sr, mr = sig[right], mark[right]
             for i in left:
                 shared = mr[:, : band + 1] == mark[i][: band + 1]
                 agree = (sr == sig[i]).mean(axis=1)
-                todo = np.flatnonzero(shared[:, band] & ~shared[:, :band].any(axis=1) & (agree >= by.least) & (comp != cols["comp"][i]))
-                met = set()
-                own = np.frombuffer(cols["items"][i], np.uint64)
-                for j in todo[np.argsort(-agree[todo], kind="stable")]:
-                    if comp[j] not in met and similar(own, np.frombuffer(cols["items"][right[j]], np.uint64), percent):
-                        met.add(comp[j])
-                        found.append((cols["comp"][i], int(comp[j])))
-        found = sorted(set(found))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+                todo = np.flatnonzero(shared[:, band] & ~shared[:, :band].any(axis=1) & (agree >= by.least) & (comp[right] != comp[i]))
+                if best:
+                    todo = todo[np.argsort(-agree[todo], kind="stable")]
+                    todo = todo[np.unique(comp[right[todo]], return_index=True)[1]]
+                found += [(i, right[j]) for j in todo]
+        a, b = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ([], [])))
+        return pa.table({"a": node[a], "b": node[b], "comp_a": comp[a], "comp_b": comp[b]})
+
+    return members.groupBy("bucket", "block", "other").applyInArrow(apply, "a long, b long, comp_a long, comp_b long").distinct()
+
 
-    return members.groupBy("bucket", "block", "other").applyInArrow(apply, "a long, b long")
+def _blocks(members: DataFrame, home: DataFrame, hubs: DataFrame, full: DataFrame) -> DataFrame | None:
+    """The rows of unsettled buckets in blocks, for ``_candidates``; None if every bucket lies in one component."""
+    placed = store(members.join(home, "node").select("bucket", "n", "node", "comp"), "placed")
+    unsettled = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    main = hubs.join(home, hubs["hub"] == home["node"]).select("bucket", F.col("comp").alias("main"))
+    unsettled = store(unsettled.join(main, "bucket"), "unsettled")
+    if unsettled.isEmpty():
+        return None
+    todo = placed.join(unsettled, "bucket")
+    todo = store(todo.select("bucket", "n", "node", "comp", (F.col("comp") != F.col("main")).alias("stray")), "todo")
+    # strays and members are blocked each by their own number; every stray block meets every member block
+    split = todo.where("stray").groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("stray_blocks"))
+    todo = todo.join(store(split, "split"), "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = todo.where("stray").select("bucket", part("stray_blocks").alias("block"), every("blocks").alias("other"), F.lit(0).alias("side"), "node", "comp")
+    right = todo.select("bucket", every("stray_blocks").alias("block"), part("blocks").alias("other"), F.lit(1).alias("side"), "node", "comp")
+    return left.unionAll(right).join(full.select("node", "sig"), "node").select("bucket", "block", "other", "side", "node", "comp", "sig")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -212,15 +243,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     ``percent`` in a hundred; ``component_id`` is the smallest id reachable and ``kept``
     marks its bearer.  Null, empty and blank texts have an empty set and link with
     nothing.  Rows that share an id are judged each by its own text.  Rows with a null id
-    link with nothing, have a null component and are kept.
+    link with nothing, have a null component and are kept.  An empty table gives no row,
+    and other columns of the input are not looked at.
     """
     return _near_duplicates(docs, width, percent).drop("version")
 
 
-def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The same with ``version``, a hash of the row's text.  Nodes of the graph are distinct sets."""
+def _near_duplicates(docs: DataFrame, width: int, percent: int, key_bits: int = 64) -> DataFrame:
+    """The same with ``version``, a hash of the row's text.  Nodes of the graph are distinct sets; tests narrow their keys."""
     by = scheme(percent)
-    sketch = store(_sketch(docs, width, by), "sketch")
+    sketch = _sketch(docs, width, by, key_bits)
     valid = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = store(valid.groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("at")), "reps")
 
@@ -236,29 +268,21 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     texts = members.select("node").distinct().join(reps, "node").select(F.col("at.doc_id").alias("doc_id"), F.col("at.version").alias("version"), "node")
     texts = store(texts, "texts")
     full = store(_full(_rows(docs).join(checked_broadcast(texts), ["doc_id", "version"]), width, by).dropDuplicates(["node"]), "sets")
-    side = lambda c, key: full.select(F.col("node").alias(key), F.col("sig").alias(f"sig_{c}"), F.col("items").alias(f"items_{c}"))
-    tried = pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")).join(side("a", "a"), "a").join(side("b", "b"), "b")
-    links = store(_verify(tried, percent, by), "links")
+    links = store(_verify(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")), full, percent, by), "links")
     comp = store(components(links), "components")
+    home = store(members.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "home")
 
     # a bucket is unsettled while its members lie in several components
-    placed = store(members.join(comp, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("comp")), "placed")
-    unsettled = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    main = hubs.join(comp, hubs["hub"] == comp["node"], "left").select("bucket", F.coalesce("component", "hub").alias("main"))
-    todo = placed.join(store(unsettled.join(main, "bucket"), "unsettled"), "bucket")
-    todo = store(todo.select("bucket", "n", "node", "comp", (F.col("comp") != F.col("main")).alias("stray")), "todo")
-    # strays and members are blocked each by their own number; every stray block meets every member block
-    split = todo.where("stray").groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("stray_blocks"))
-    todo = todo.join(store(split, "split"), "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = todo.where("stray").select("bucket", part("stray_blocks").alias("block"), every("blocks").alias("other"), F.lit(0).alias("side"), "node", "comp")
-    right = todo.select("bucket", every("stray_blocks").alias("block"), part("blocks").alias("other"), F.lit(1).alias("side"), "node", "comp")
-    work = left.unionAll(right).join(full, "node").select("bucket", "block", "other", "side", "node", "comp", "sig", "items")
-    last = components(store(_finish_blocks(work, percent, by), "links")).select(F.col("node").alias("comp"), F.col("component").alias("final"))
-
-    classes = reps.join(comp, "node", "left").select("node", "at", F.coalesce("component", "node").alias("comp"))
-    classes = store(classes.join(last, "comp", "left").select("node", "at", F.coalesce("final", "comp").alias("class")), "classes")
+    for best in (True, False):
+        work = _blocks(members, home, hubs, full)
+        if work is None:
+            break
+        tried = store(_candidates(work, by, best), "candidates")
+        links = store(_verify(tried, full, percent, by), "links")
+        merged = store(components(links.select("comp_a", "comp_b")), "components").select(F.col("node").alias("comp"), F.col("component").alias("final"))
+        home = store(home.join(merged, "comp", "left").select("node", F.coalesce("final", "comp").alias("comp")), "home")
+
+    classes = store(reps.join(home, "node", "left").select("node", "at", F.coalesce("comp", "node").alias("class")), "classes")
     # a class is named by its smallest id
     names = store(classes.groupBy("class").agg(F.min("at.doc_id").alias("first")), "names")
     where = store(classes.join(names, "class").select("node", "first"), "where")
@@ -268,8 +292,11 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that bear the smallest id of their component; rows equal in id and text stay or go together."""
-    lost = _near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
-    lost = store(lost, "lost")
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_version"))
-    return docs.join(checked_broadcast(lost), same, "left_anti")
+    """The rows of ``docs`` that bear the smallest id of their component, with all their columns, whatever these are called.
+
+    Rows equal in id and text stay or go together; rows with a null id, and null, empty and blank texts, stay.
+    """
+    lost = store(_near_duplicates(docs, width, percent).where("NOT kept").select("doc_id", "version").distinct(), "lost")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("version"))
+    kept = rows.join(checked_broadcast(lost), ["doc_id", "version"], "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
