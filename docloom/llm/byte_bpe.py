@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -167,8 +167,8 @@ def encode(docs: DataFrame, vocabulary: str, *, offsets: bool = False) -> DataFr
     return rows.mapInArrow(apply, f"doc_id long, ids array<int>{more}")
 
 
-def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """``doc_id``, ``ids`` as given, ``raw`` (the decoded bytes) and ``text`` (those bytes as UTF-8).
+def decode(encoded: DataFrame, vocabulary: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, ``ids`` and the columns ``keep`` as given, ``raw`` (the decoded bytes) and ``text`` (those bytes as UTF-8).
 
     Decoding works on bytes, so a character that several ids split comes back whole;
     a sequence cut inside a character yields the replacement character in ``text`` only.
@@ -187,11 +187,12 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
                 for e in ends.astype(np.int64):
                     raw.append(b"".join([table[i] for i in flat[at_id:e]]))
                     at_id = e
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), col, pa.array(raw, pa.binary())], names=["doc_id", "ids", "raw"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), col, *[part.column(c) for c in keep], pa.array(raw, pa.binary())], names=["doc_id", "ids", *keep, "raw"])
 
     import pyarrow.compute  # noqa: F401
 
-    rows = encoded.select("doc_id", "ids").mapInArrow(apply, "doc_id long, ids array<int>, raw binary")
+    more = "".join(f", {c} {encoded.schema[c].dataType.simpleString()}" for c in keep)
+    rows = encoded.select("doc_id", "ids", *keep).mapInArrow(apply, f"doc_id long, ids array<int>{more}, raw binary")
     return rows.withColumn("text", F.decode(F.col("raw"), "UTF-8"))
 
 

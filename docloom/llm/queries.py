@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import byte_bpe, embedding_dedup, html_consensus, line_dedup, minhash, packing, quality_rules, toxicity, url_graph, warc_fixity
 from docloom.llm.common import table
+from docloom.llm.sql import ORACLES  # noqa: F401
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,34 +21,50 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and verdict of every document; a null or empty text has no word and fails."""
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, decoded bytes and offsets of every document as digests; a null text is empty, with no id.
+
+    ``n_split`` counts ids that begin inside a character, ``spans_crc32`` is that of the
+    decimal first and last-plus-one characters of all ids, joined by spaces.
+    """
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
-    done = byte_bpe.decode(encoded, vocabulary)
-    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary, offsets=True)
+    done = byte_bpe.decode(encoded, vocabulary, keep=("starts", "ends"))
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
+    before = F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0)))
+    split = F.size(F.filter(F.zip_with(before, F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), lambda e, s: s < e), lambda x: x))
+    return done.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined("ids"), 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"),
+        split.cast("long").alias("n_split"), F.crc32(F.concat_ws(" ", joined("starts"), joined("ends"))).alias("spans_crc32"),
+    )
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later repeats of line runs; null and empty texts stay as they are."""
     return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component at two-word shingles and 0.8; a text without words links with nothing."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict; a url without ``://`` has neither and is allowed."""
     return url_graph.judge(table(spark, sf_dir, "pages"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links and component; one without a label or a direction links with nothing."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of 2048 tokens; a null text has its end token only."""
     return packing.pack(table(spark, sf_dir, "documents"), packing.with_end(public_tokenizers.path("byte_bpe_50k.json")))
 
 
@@ -72,6 +89,7 @@ def url_graph_record(html):
 
 
 def op10_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null html gives an empty one."""
     return html_consensus.main_text(table(spark, sf_dir, "pages"))
 
 
@@ -94,6 +112,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_consensus": op10_html_consensus,
     "pipeline": pipeline,
 }
-
-#: The SQL twin of each query that SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {}

@@ -111,7 +111,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, *, least_d
     share = lambda verdict: F.avg(F.when(F.col("fit.verdict") == verdict, 1.0).otherwise(0.0))
     seeds = placed.where("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked"))
     scores = store(host_scores(pages, seeds), "scores")
-    bad = store(scores.where((F.col("exposure") >= least_distrust) & (F.round("exposure", 9) > F.round("trust", 9))).select("host", F.lit(True).alias("bad")), "bad-hosts")
+    bad = store(scores.where((F.round("exposure", 9) >= least_distrust) & (F.round("exposure", 9) > F.round("trust", 9))).select("host", F.lit(True).alias("bad")), "bad-hosts")
     rows = placed.join(bad, "host", "left")
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("bad"), "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
