@@ -8,9 +8,8 @@
 3. Components come from alternating large-star and small-star.
 4. Buckets whose members still lie in several components are finished exactly: the
    members outside the hub's component are held against the others by signature, in blocks,
-   each pair in the first band it shares only.  Sets are fetched for pairs whose signatures
-   agree enough: first the best one of each member and component, then, where that left
-   components apart, all of them.
+   each pair in the first band it shares only.  Sets are fetched for the pairs whose
+   signatures agree enough, or, where these are more than a block has members, for the block.
 5. Components again over what was found.
 
 So a group of n copies costs about n comparisons, no pair is left out, and nothing
@@ -184,36 +183,66 @@ def _verify(pairs: DataFrame, full: DataFrame, percent: int, by: Scheme) -> Data
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(apply, ", ".join(f"{c} long" for c in names))
 
 
-def _candidates(members: DataFrame, by: Scheme, best: bool) -> DataFrame:
+def _likely(table: pa.Table, by: Scheme) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of side 0 with the rows of side 1 that it has to be held against, those that agree most first."""
+    side, comp = (table.column(c).to_numpy() for c in ("side", "comp"))
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(left) or not len(right):
+        return
+    sig = np.stack([np.frombuffer(x, np.uint32) for x in table.column("sig").to_pylist()])
+    mark = np.stack([bands(x, by) for x in sig])
+    band = int(np.flatnonzero(mark[left[0]] == table.column("bucket")[0].as_py())[0])
+    sr, mr = sig[right], mark[right]
+    for i in left:
+        shared = mr[:, : band + 1] == mark[i][: band + 1]
+        agree = (sr == sig[i]).mean(axis=1)
+        todo = np.flatnonzero(shared[:, band] & ~shared[:, :band].any(axis=1) & (agree >= by.least) & (comp[right] != comp[i]))
+        yield i, right[todo[np.argsort(-agree[todo], kind="stable")]]
+
+
+BLOCK_KEY = ["bucket", "block", "other"]
+
+
+def _candidates(members: DataFrame, by: Scheme) -> DataFrame:
     """Pairs of nodes in different components that may be similar: ``a``, ``b``, ``comp_a``, ``comp_b``.
 
     ``members`` has (bucket, block, other, side, node, comp, sig): in each group of bucket,
-    block and other block, rows of side 0 are held against those of side 1.  With ``best``
-    only the pair that agrees most counts for each row of side 0 and component.
+    block and other block, rows of side 0 are held against those of side 1.  A group with
+    more such pairs than half its rows gives one row with its key and no pair.
     """
 
     def apply(table: pa.Table) -> pa.Table:
-        side, node, comp = (table.column(c).to_numpy() for c in ("side", "node", "comp"))
-        bucket = table.column("bucket")[0].as_py()
-        sig = np.stack([np.frombuffer(x, np.uint32) for x in table.column("sig").to_pylist()])
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            mark = np.stack([bands(x, by) for x in sig])
-            band = int(np.flatnonzero(mark[left[0]] == bucket)[0])
-            sr, mr = sig[right], mark[right]
-            for i in left:
-                shared = mr[:, : band + 1] == mark[i][: band + 1]
-                agree = (sr == sig[i]).mean(axis=1)
-                todo = np.flatnonzero(shared[:, band] & ~shared[:, :band].any(axis=1) & (agree >= by.least) & (comp[right] != comp[i]))
-                if best:
-                    todo = todo[np.argsort(-agree[todo], kind="stable")]
-                    todo = todo[np.unique(comp[right[todo]], return_index=True)[1]]
-                found += [(i, right[j]) for j in todo]
-        a, b = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ([], [])))
-        return pa.table({"a": node[a], "b": node[b], "comp_a": comp[a], "comp_b": comp[b]})
-
-    return members.groupBy("bucket", "block", "other").applyInArrow(apply, "a long, b long, comp_a long, comp_b long").distinct()
+        key = [table.column(c)[0].as_py() for c in BLOCK_KEY]
+        node, comp = (table.column(c).to_numpy() for c in ("node", "comp"))
+        a: list[int] = []
+        b: list[int] = []
+        for i, others in _likely(table, by):
+            a += [i] * len(others)
+            b += others.tolist()
+            if 2 * len(a) > len(node):
+                return pa.table({**{c: [v] for c, v in zip(BLOCK_KEY, key, strict=True)}, **{c: pa.array([None], pa.int64()) for c in ("a", "b", "comp_a", "comp_b")}})
+        return pa.table({**{c: pa.array([v] * len(a), pa.int64()) for c, v in zip(BLOCK_KEY, key, strict=True)}, "a": node[a], "b": node[b], "comp_a": comp[a], "comp_b": comp[b]})
+
+    keyed = members.withColumns({c: F.col(c).cast("long") for c in BLOCK_KEY})
+    return keyed.groupBy(*BLOCK_KEY).applyInArrow(apply, "bucket long, block long, other long, a long, b long, comp_a long, comp_b long")
+
+
+def _dense(members: DataFrame, percent: int, by: Scheme) -> DataFrame:
+    """Linked components of whole blocks, whose rows have their sets as ``items``; a row looks for one link to each component."""
+
+    def apply(table: pa.Table) -> pa.Table:
+        comp, items = table.column("comp").to_numpy(), table.column("items").to_pylist()
+        found: set[tuple[int, int]] = set()
+        for i, others in _likely(table, by):
+            met = set()
+            own = np.frombuffer(items[i], np.uint64)
+            for j in others:
+                if comp[j] not in met and similar(own, np.frombuffer(items[j], np.uint64), percent):
+                    met.add(comp[j])
+            found |= {(int(comp[i]), int(c)) for c in met}
+        return pa.table({"comp_a": pa.array([a for a, _ in found], pa.int64()), "comp_b": pa.array([b for _, b in found], pa.int64())})
+
+    return members.groupBy(*BLOCK_KEY).applyInArrow(apply, "comp_a long, comp_b long")
 
 
 def _blocks(members: DataFrame, home: DataFrame, hubs: DataFrame, full: DataFrame) -> DataFrame | None:
@@ -273,13 +302,14 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, key_bits: int =
     home = store(members.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "home")
 
     # a bucket is unsettled while its members lie in several components
-    for best in (True, False):
-        work = _blocks(members, home, hubs, full)
-        if work is None:
-            break
-        tried = store(_candidates(work, by, best), "candidates")
-        links = store(_verify(tried, full, percent, by), "links")
-        merged = store(components(links.select("comp_a", "comp_b")), "components").select(F.col("node").alias("comp"), F.col("component").alias("final"))
+    work = _blocks(members, home, hubs, full)
+    if work is not None:
+        tried = store(_candidates(work, by), "candidates")
+        links = store(_verify(tried.where("a IS NOT NULL").select("a", "b", "comp_a", "comp_b").distinct(), full, percent, by), "links")
+        whole = checked_broadcast(store(tried.where("a IS NULL").select(*BLOCK_KEY), "dense"))
+        dense = work.join(whole, BLOCK_KEY, "left_semi").join(full.select("node", "items"), "node")
+        links = links.select("comp_a", "comp_b").unionAll(store(_dense(dense, percent, by), "links"))
+        merged = store(components(links), "components").select(F.col("node").alias("comp"), F.col("component").alias("final"))
         home = store(home.join(merged, "comp", "left").select("node", F.coalesce("final", "comp").alias("comp")), "home")
 
     classes = store(reps.join(home, "node", "left").select("node", "at", F.coalesce("comp", "node").alias("class")), "classes")
