@@ -46,13 +46,12 @@ def complete(rows: DataFrame, open_backend: Callable[[], Backend]) -> DataFrame:
 
 
 def digest_backend() -> Backend:
-    """A deterministic stand-in: it answers with the length and a checksum of the messages, and fails on some."""
-    import zlib
+    """A deterministic stand-in: it answers with the length of the messages, and fails where that is a multiple of 50."""
 
     def answer(request: dict) -> str:
-        code = zlib.crc32(request["messages"].encode())
+        code = len(request["messages"])
         if code % 50 == 0:
             raise TimeoutError("no answer")
-        return f'{{"title":"T{code % 1000}","tags":["a","b"],"chars":{len(request["messages"])}}}'
+        return f'{{"title":"T{code % 1000}","tags":["a","b"],"chars":{code}}}'
 
     return answer

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a lookup table is broadcast; a larger one is joined by shuffle.
-LOOKUP_ROWS = 100_000
+#: Rows, and characters of all their values, up to which a lookup table is broadcast; a larger one is joined by shuffle.
+LOOKUP_ROWS, LOOKUP_CHARS = 100_000, 16 << 20
 
 
 def small(lookup: DataFrame) -> DataFrame:
-    """``lookup`` with a broadcast hint if its counted rows allow it."""
-    return F.broadcast(lookup) if lookup.count() <= LOOKUP_ROWS else lookup
+    """``lookup`` with a broadcast hint if its counted rows and characters allow it."""
+    rows, chars = lookup.agg(F.count("*"), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(lookup) if rows <= LOOKUP_ROWS and (chars or 0) <= LOOKUP_CHARS else lookup
 
 
 def resolve_provider(requests: DataFrame, providers: DataFrame, name: str) -> DataFrame:

@@ -89,8 +89,3 @@ def assign_category(docs: DataFrame, key: str, text: str, rules: Sequence[tuple[
 
 def _among(words: list[str]):
     return lambda w: w.isin(words)
-
-
-def merge_items(items: DataFrame, key: Column, id_: str, links: str) -> DataFrame:
-    """Items of equal normalised key as one: the first id, the number merged, the union of links in order."""
-    return items.groupBy(key.alias("item_key")).agg(F.min(id_).alias("first_id"), F.count("*").alias("merged"), F.array_join(F.sort_array(F.collect_set(links)), "|").alias("links"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators.lookups import small
 from docloom.operators.report import top_k
+from docloom.sources.io import stored
 
 WORDS = r"[^\p{L}]+"
 NO_TITLE, NO_TEXT = "N/A", "no text"
@@ -33,13 +34,16 @@ def bm25(docs: DataFrame, queries: DataFrame, *, doc: str = "doc_id", query: str
     are formed before the shuffle, so a frequent term costs one row per document and
     query that have it.
     """
-    asked = queries.select(query, F.explode(F.array_distinct(F.split(F.lower(text), WORDS))).alias("term")).where("term <> ''")
-    postings = terms(docs, doc, text).join(small(asked.select("term").distinct()), "term", "left_semi")
-    lengths = docs.select(doc, F.size(F.filter(F.split(F.lower(text), WORDS), lambda w: w != "")).alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    asked = stored(queries.select(query, F.explode(F.array_distinct(F.split(F.lower(text), WORDS))).alias("term")).where("term <> ''"), "asked")
+    # the generator of one row keeps the optimizer from splitting a text once for each use
+    split = docs.select(doc, F.inline(F.array(F.struct(F.filter(F.split(F.lower(text), WORDS), lambda w: w != "").alias("_w")))))
+    stats = stored(split.agg(F.count("*").alias("n"), F.avg(F.size("_w")).alias("avgdl")), "lengths")
+    wanted = small(asked.select("term").distinct())
+    postings = split.select(doc, F.size("_w").alias("dl"), F.explode("_w").alias("term")).join(wanted, "term", "left_semi").groupBy(doc, "dl", "term").agg(F.count("*").alias("tf"))
+    postings = stored(postings, "postings")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")  # one row of totals
-    weighted = postings.join(small(idf), "term").join(lengths, doc)
+    weighted = postings.join(small(stored(idf, "idf")), "term")
     weighted = weighted.select(doc, "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
     scores = weighted.join(small(asked), "term").groupBy(query, doc).agg(F.round(F.sum("w"), 6).alias("score"))
     return top_k(scores, [query], [F.desc("score"), F.asc(doc)], k)
@@ -50,37 +54,65 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+#: Queries that one round of ``vector_top_k`` sends to every task, and vectors that are multiplied at a time.
+ROUND_QUERIES, STRIP = 20_000, 2048
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """``vec_id``, ``embedding`` as doubles of the vectors that have a direction: not null, not zero, finite throughout."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(finite & F.exists("embedding", lambda x: x != 0))
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 3) -> DataFrame:
-    """The ``k`` nearest vectors of each query by cosine, itself left out.
+    """The ``k`` nearest vectors of each query by cosine, itself left out; vectors without a direction are left out too.
 
-    Each task multiplies its vectors with one block of queries after another and keeps k
-    a query, so what is shuffled is k rows per task and query.  The queries travel as blocks
-    of rows, joined on a block number that every partition holds.
+    Queries go out in rounds of about ROUND_QUERIES, so that what is sent to a task is
+    bounded however many there are; each round reads the vectors where they lie, and a task
+    gives back k rows a query at most.  Vectors of another length than a query are not compared.
     """
     import numpy as np
-    import pandas as pd
-
-    width = 256
-    blocks = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)).alias("_h"))
-    blocks = blocks.groupBy((F.col("_h") % F.greatest(F.lit(1), F.lit(queries.count() // width + 1))).alias("block")).agg(F.collect_list("vec_id").alias("q_ids"), F.collect_list("embedding").alias("q_vecs"))
-    parts = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) % F.greatest(F.lit(1), F.lit(vectors.count() // 4096 + 1)))
-    packed = parts.groupBy("part").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("embedding").alias("vecs"))
-
-    def best(batches):
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                x, q = np.stack(r.vecs), np.stack(r.q_vecs)
-                sims = (q @ x.T) / np.sqrt((q * q).sum(1)[:, None] * (x * x).sum(1)[None, :])
-                ids = np.asarray(r.ids)
-                sims[np.asarray(r.q_ids)[:, None] == ids[None, :]] = -2
-                sims = np.round(sims, 6)
-                out = []
-                for i, qid in enumerate(r.q_ids):
-                    order = np.lexsort((ids, -sims[i]))[:k]
-                    out += [(qid, int(ids[j]), float(sims[i, j])) for j in order if sims[i, j] > -2]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = packed.crossJoin(blocks).mapInPandas(best, "query_id long, vec_id long, score double")  # blocks of a stated query set against blocks of all rows
+    import pyarrow as pa
+
+    vectors, queries = usable(vectors), usable(queries)
+    spark = vectors.sparkSession
+    rounds = queries.count() // ROUND_QUERIES + 1
+    found = None
+    for turn in range(rounds):
+        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == turn).collect()
+        by_width = {}
+        for r in rows:
+            by_width.setdefault(len(r.embedding), []).append(r)
+        asked = {w: (np.array([r.vec_id for r in x], np.int64), np.array([r.embedding for r in x], float)) for w, x in by_width.items()}
+        sent = spark.sparkContext.broadcast({w: (ids, x / np.sqrt((x * x).sum(1))[:, None]) for w, (ids, x) in asked.items()})
+
+        def best(batches, sent=sent):
+            held: dict = {}
+            for batch in batches:
+                lengths = np.diff(batch.column("embedding").offsets.to_numpy())
+                for width in np.unique(lengths).tolist():
+                    if width not in sent.value:
+                        continue
+                    q_ids, q = sent.value[width]
+                    part = batch.filter(pa.array(lengths == width))
+                    for at in range(0, part.num_rows, STRIP):
+                        strip = part.slice(at, STRIP)
+                        ids, x = strip.column("vec_id").to_numpy(), np.asarray(strip.column("embedding").flatten(), float).reshape(strip.num_rows, width)
+                        sims = np.round(q @ (x / np.sqrt((x * x).sum(1))[:, None]).T, 6)
+                        sims[q_ids[:, None] == ids[None, :]] = -2
+                        # the k best so far and those of this strip, best first and ties by id
+                        old_s, old_i = held.get(width, (np.full((len(q_ids), 0), -2.0), np.full((len(q_ids), 0), -1)))
+                        s, i = np.hstack([old_s, sims]), np.hstack([old_i, np.broadcast_to(ids, sims.shape)])
+                        order = np.lexsort((i, -s), axis=1)[:, :k]
+                        held[width] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            for width, (s, i) in held.items():
+                q_ids = np.repeat(sent.value[width][0], s.shape[1])
+                real = s.ravel() > -2
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[real]), pa.array(i.ravel()[real]), pa.array(s.ravel()[real])], names=["query_id", "vec_id", "score"])
+
+        part = vectors.mapInArrow(best, "query_id long, vec_id long, score double")
+        found = part if found is None else found.unionAll(part)
     return top_k(found, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 

@@ -37,17 +37,17 @@ def str4_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src3_texts(spark: SparkSession, sf_dir: str, file_rows: int = 2000) -> DataFrame:
-    """Texts by source, written as files of about ``file_rows`` lines each, read whole and added up by source."""
+    """Whole texts by source, written as files of about ``file_rows`` texts each, read whole and added up by source."""
     path = io.work_path(spark, "texts")
     docs = table(spark, sf_dir, "documents")
     buckets = docs.count() // file_rows + 1
     # a source of any size falls into buckets by its ids
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
-    lines = docs.select("source", bucket, F.concat_ws(" ", "doc_id", "lang").alias("value"))
+    lines = docs.select("source", bucket, F.col("text").alias("value"))
     lines.repartition("source", "bucket").write.partitionBy("source", "bucket").text(path)
     rows = spark.read.schema("text string, source string, bucket long").text(path, wholetext=True)
     counts = rows.select("source", F.size(F.split(F.regexp_replace("text", r"\n$", ""), "\n")).alias("lines"), F.length("text").alias("chars"))
-    return counts.groupBy("source").agg(F.sum("lines").cast("int").alias("lines"), F.sum("chars").cast("int").alias("chars")).select("lines", "chars")
+    return counts.groupBy("source").agg(F.sum("lines").cast("long").alias("lines"), F.sum("chars").cast("long").alias("chars")).select("lines", "chars")
 
 
 def src4_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def snk1_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snk3_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = io.work_path(spark, "runs")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(30)).alias("summary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("summary"))
     io.append_run(docs, path, "2024-01-31 10-00-00")
     io.append_run(docs.where("doc_id % 2 = 0"), path, "2024-02-01 10-00-00")
     return spark.read.schema("doc_id long, summary string, run_ts string").parquet(path)
@@ -106,11 +106,11 @@ ORACLES = {
     "str2_final": logs.ORACLES["agg5_assemble"],
     "str3_pages": pages._PREPARED + "SELECT page_id, substring(c, 1, 30000) AS body FROM z",
     "str4_status": "SELECT user_id AS op_id, CASE WHEN arg_max(event_type, (ts, event_id)) = 'purchase' THEN 'done' ELSE 'pending' END AS status FROM events GROUP BY user_id",
-    "src3_texts": "SELECT count(*)::INTEGER AS lines, sum(length(doc_id || ' ' || lang) + 1)::INTEGER AS chars FROM documents GROUP BY source",
+    "src3_texts": "SELECT sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(length(text) + 1)::BIGINT AS chars FROM documents GROUP BY source",
     "src4_index": logs._INDEX + "SELECT d AS date, 'AI 日报 ' || entry AS title, 'a,' || d AS tags FROM x",
     "snk2_snapshot": logs._INDEX + "SELECT d AS date, 'AI 日报 ' || entry AS title, '标签' AS tags FROM x",
     "snk1_reports": "SELECT CASE WHEN month(o_orderdate) <= 6 THEN 'second' ELSE 'first' END AS body, count(*) AS orders, strftime(o_orderdate, '%Y-%m') AS report_date FROM orders GROUP BY ALL",
-    "snk3_append": "SELECT doc_id, left(text, 30) AS summary, '2024-01-31 10-00-00' AS run_ts FROM documents UNION ALL SELECT doc_id, left(text, 30), '2024-02-01 10-00-00' FROM documents WHERE doc_id % 2 = 0",
+    "snk3_append": "SELECT doc_id, text AS summary, '2024-01-31 10-00-00' AS run_ts FROM documents UNION ALL SELECT doc_id, text, '2024-02-01 10-00-00' FROM documents WHERE doc_id % 2 = 0",
     "snk4_stages": pages._BODIES + f"SELECT 'raw' AS stage, count(*) AS pages, sum(length(html))::BIGINT AS chars FROM x UNION ALL SELECT 'clean', count(*), sum(length({pages._COMPACT}))::BIGINT FROM x",
     "snk5_notes": r"SELECT list_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/'), -1) || '-' || page_id || '_notes.md' AS name, list_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/'), -1) AS source, '2024-01-31 10:00' AS made FROM pages",
 }

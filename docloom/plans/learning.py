@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from docloom.functions import markdown, text
 from docloom.operators import audit, infer, vocab
 from docloom.plans.support import Query, table
+from docloom.sources import io
 
 VOCABULARY_FIELDS = ("word", "ipa", "gloss", "context", "use")
 
 
 def notes_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes of each document's first words: a pipe table for even ids, a numbered list for odd ones, then phrases."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""), 1, 4).alias("w"))
+    """Notes of each document's distinct words: a pipe table for even ids, a numbered list for odd ones, then phrases."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")).alias("w"))
     row = F.transform("w", lambda w: F.concat(F.lit("| **"), w, F.lit("** | i"), w, F.lit(" | g "), w, F.lit(" | c "), w, F.lit(" | u "), w, F.lit(" |")))
     item = F.transform("w", lambda w, i: F.concat((i + 1).cast("string"), F.lit(". **"), w, F.lit("** /i"), w, F.lit("/ g "), w, F.lit("\n   - Context: c "), w, F.lit("\n   - Use: u "), w))
     words = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("| Word | IPA | Gloss | Context | Use |\n|---|---|---|---|---|\n"), F.array_join(row, "\n"))).otherwise(F.array_join(item, "\n"))
@@ -68,8 +69,7 @@ def _requests(spark: SparkSession, sf_dir: str, prompt: Column) -> DataFrame:
 
 
 def inf1_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests over the first 60 characters, as in the twin."""
-    return _requests(spark, sf_dir, F.left("text", F.lit(60)))
+    return _requests(spark, sf_dir, F.col("text"))
 
 
 def inf2_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,11 +77,14 @@ def inf2_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inf3_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report, then a title made from it; each pass reads the stored result of the one before."""
-    first = inf2_complete(spark, sf_dir).where("status = 'ok'").checkpoint()
-    titles = infer.requests(first, "request_id", text.prompt_suffix(F.col("response"), F.lit("Give a title.")), model=None, default_model="m-1", temperature=0.3)
-    second = infer.complete(titles, infer.digest_backend)
-    return first.select("request_id", F.col("response").alias("report")).join(second.select("request_id", F.get_json_object("response", "$.title").alias("title"), "status"), "request_id")
+    """Report, a title made from it, and a digest made from both; each pass reads the stored result of the one before."""
+    reports = io.stored(inf2_complete(spark, sf_dir).where("status = 'ok'").select("request_id", F.col("response").alias("report")), "reports")
+    ask = lambda rows, body, prompt: infer.complete(infer.requests(rows, "request_id", text.prompt_suffix(body, F.lit(prompt)), model=None, default_model="m-1", temperature=0.3), infer.digest_backend)
+    titles = ask(reports, F.col("report"), "Give a title.").select("request_id", F.get_json_object("response", "$.title").alias("title"), F.col("status").alias("title_status"))
+    titled = io.stored(reports.join(titles, "request_id"), "titles")
+    # a report without a title is digested under none, as its pass has failed and the chain goes on
+    digests = ask(titled, F.concat_ws("\n", F.coalesce("title", F.lit("")), "report"), "Write a digest.").select("request_id", F.col("response").alias("digest"), F.col("status").alias("digest_status"))
+    return titled.join(digests, "request_id")
 
 
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,12 +122,22 @@ def aud4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (src7_models, voc1_segments, voc2_annotations, voc3_records, voc4_phrases, voc5_words, voc6_phrases, voc7_fidelity, inf1_requests, inf2_complete, inf3_chain, aud1_capability, aud2_outcome, aud3_report, aud4_classes)}
-_W4 = r"WITH x AS (SELECT doc_id, list_slice(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: w <> ''), 1, 4) AS ws FROM documents), v AS (SELECT doc_id, w FROM x, unnest(ws) AS u(w)) "
+_W4 = r"WITH x AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: w <> '')) AS ws FROM documents), v AS (SELECT doc_id, w FROM x, unnest(ws) AS u(w)) "
 _SPLIT = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: w <> '')"
 _SEG = r"WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents), g AS (SELECT doc_id, (i - 1)::INTEGER AS seg_no, p[i] AS segment FROM s, unnest(range(1, len(p) + 1)) AS u(i)) "
 _MODELS = "WITH m AS (SELECT 'models/' || (['flash', 'vision', 'embedding', 'aqa', 'pro'])[(p_partkey % 5 + 1)::INTEGER] || '-' || p_partkey AS name, CASE WHEN p_size % 3 = 0 THEN 'embedContent' ELSE 'generateContent,countTokens' END AS actions FROM part) "
 _OUTCOME = "WITH o AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN 'usable' WHEN event_id % 4 IN (0, 1) THEN 'no_quota' WHEN event_id % 4 = 2 THEN 'no_permission' ELSE 'failed' END AS outcome FROM events) "
-_REQUEST = """'[{{"role":"user","content":' || to_json(left(text, 60)) || '}}]' AS messages, {model} AS model, {t}::DOUBLE AS temperature, {j} AS json_mode, '{s}' AS status FROM documents WHERE {where}"""
+_REQUEST = """'[{{"role":"user","content":' || to_json(text) || '}}]' AS messages, {model} AS model, {t}::DOUBLE AS temperature, {j} AS json_mode, '{s}' AS status FROM documents WHERE {where}"""
+# the stand-in backend answers with the length of the messages and fails on multiples of 50
+_ANSWER = """'{{"title":"T' || {n} % 1000 || '","tags":["a","b"],"chars":' || {n} || '}}'"""
+
+
+def _sent(prompt: str) -> str:
+    return f"""length('[{{"role":"user","content":' || to_json({prompt}) || '}}]')"""
+
+
+_DONE = f"""WITH b AS (SELECT doc_id AS request_id, {_sent("text")} AS n FROM documents WHERE lang IN ('en', 'de')),
+ a AS (SELECT request_id, CASE WHEN n % 50 <> 0 THEN {_ANSWER.format(n="n")} END AS response, CASE WHEN n % 50 = 0 THEN 'error' ELSE 'ok' END AS state, CASE WHEN n % 50 = 0 THEN 'TimeoutError: no answer' END AS error FROM b)"""
 ORACLES = {
     "src7_models": _MODELS + "SELECT name, actions FROM m",
     "voc1_segments": _SEG + "SELECT doc_id, seg_no, segment FROM g",
@@ -135,6 +148,11 @@ ORACLES = {
     "voc6_phrases": f"WITH x AS (SELECT doc_id, {_SPLIT} AS ws FROM documents), g AS (SELECT doc_id, ws[i] || ' ' || ws[i + 1] AS phrase, count(*) AS uses FROM x, unnest(range(1, len(ws))) AS u(i) GROUP BY ALL) SELECT * FROM (SELECT doc_id, phrase, uses, row_number() OVER (PARTITION BY doc_id ORDER BY uses DESC, phrase)::INTEGER AS rank FROM g) WHERE rank <= 10",
     "voc7_fidelity": "SELECT doc_id, doc_id % 10 <> 0 AS faithful FROM documents",
     "inf1_requests": "SELECT doc_id AS request_id, " + _REQUEST.format(model="'m-1'", t=0.7, j="false", s="ready", where="lang = 'en'") + " UNION ALL SELECT doc_id, " + _REQUEST.format(model="'m-2'", t=0.0, j="true", s="ready", where="lang = 'de'") + " UNION ALL SELECT doc_id, " + _REQUEST.format(model="NULL", t=0.3, j="false", s="config_missing", where="lang NOT IN ('en', 'de')"),
+    "inf2_complete": _DONE + "SELECT request_id, response, state AS status, error FROM a UNION ALL SELECT doc_id, NULL, 'config_missing', NULL FROM documents WHERE lang NOT IN ('en', 'de')",
+    "inf3_chain": _DONE + f""", p AS (SELECT request_id, response AS report FROM a WHERE state = 'ok'), t AS (SELECT *, {_sent("report || chr(10) || chr(10) || 'Give a title.'")} AS n FROM p),
+ u AS (SELECT *, CASE WHEN n % 50 <> 0 THEN 'T' || n % 1000 END AS title, CASE WHEN n % 50 = 0 THEN 'error' ELSE 'ok' END AS title_status FROM t),
+ g AS (SELECT *, {_sent("coalesce(title, '') || chr(10) || report || chr(10) || chr(10) || 'Write a digest.'")} AS m FROM u)
+ SELECT request_id, report, title, title_status, CASE WHEN m % 50 <> 0 THEN {_ANSWER.format(n="m")} END AS digest, CASE WHEN m % 50 = 0 THEN 'error' ELSE 'ok' END AS digest_status FROM g""",
     "aud1_capability": _MODELS + "SELECT list_extract(string_split(name, '/'), -1) AS model_id FROM m WHERE actions LIKE '%generateContent%' AND NOT regexp_matches(name, 'vision|embedding|aqa')",
     "aud2_outcome": _OUTCOME + "SELECT event_id, outcome FROM o",
     "aud3_report": _OUTCOME + "SELECT outcome, count(*) AS n FROM o GROUP BY outcome",

@@ -91,7 +91,7 @@ def jon2_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jon3_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     templates = spark.createDataFrame([("news", "Report on: "), ("notes", "Note: ")], "name string, body string")
     rows = lookups.with_template(table(spark, sf_dir, "documents"), templates, "news", "Summarise: ")
-    return rows.select("doc_id", F.concat("body", F.left("text", F.lit(50))).alias("prompt"))
+    return rows.select("doc_id", F.concat("body", "text").alias("prompt"))
 
 
 def jon4_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +101,8 @@ def jon4_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jon5_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.left("text", F.lit(30)).alias("text"))
-    temp = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 2).cast("string").alias("name"), F.left("text", F.lit(30)).alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), "text")
+    temp = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 2).cast("string").alias("name"), "text")
     paths = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("name"), F.concat(F.lit("label "), F.col("quality")).alias("text"))
     return lookups.replacement(docs, temp, paths, "name")
 
@@ -133,7 +133,7 @@ def win6_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set1_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.left("text", F.lit(40)).alias("summary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("summary"))
     return lookups.union_by_provider(("hosted", docs.where("lang <> 'de'")), ("local", docs.where("lang <> 'fr'")))
 
 
@@ -158,14 +158,14 @@ ORACLES = {
     "cnv4_errors": f"WITH t AS ({TURNS}), x AS (SELECT *, role = 'assistant' AND conv_id % 7 = 2 AND turn >= 2 AS bad FROM t), y AS (SELECT *, coalesce(max(bad::INTEGER) {_BEFORE}, 0) AS e FROM x) SELECT conv_id, turn, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status FROM y WHERE e = 0",
     "cnv5_pairs": "WITH x AS (SELECT conv_id, turn, role, text AS question, lead(role) OVER w AS nr, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, question, answer FROM x WHERE role = 'user' AND nr = 'assistant'",
     "jon2_provider": "SELECT doc_id, CASE lang WHEN 'en' THEN 'hosted' WHEN 'de' THEN 'local' WHEN 'fr' THEN 'hosted' END AS type, CASE lang WHEN 'en' THEN 'm-1' WHEN 'de' THEN 'm-2' WHEN 'fr' THEN 'm-3' END AS model_id, CASE lang WHEN 'en' THEN 'ok' WHEN 'de' THEN 'ok' WHEN 'fr' THEN 'config_missing' ELSE 'unknown' END AS status FROM documents",
-    "jon3_template": "SELECT doc_id, 'Report on: ' || left(text, 50) AS prompt FROM documents",
+    "jon3_template": "SELECT doc_id, 'Report on: ' || text AS prompt FROM documents",
     "jon4_retry": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
-    "jon5_replacement": "SELECT d.doc_id::VARCHAR AS name, coalesce(left(b.text, 30), 'label ' || l.quality, left(d.text, 30)) AS text, CASE WHEN b.item_id IS NOT NULL THEN 'temp' WHEN l.doc_id IS NOT NULL THEN 'path' ELSE 'original' END AS origin FROM documents d LEFT JOIN benchmark b ON b.item_id * 2 = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id",
+    "jon5_replacement": "SELECT d.doc_id::VARCHAR AS name, coalesce(b.text, 'label ' || l.quality, d.text) AS text, CASE WHEN b.item_id IS NOT NULL THEN 'temp' WHEN l.doc_id IS NOT NULL THEN 'path' ELSE 'original' END AS origin FROM documents d LEFT JOIN benchmark b ON b.item_id * 2 = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id",
     "jon6_range": "SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 10 THEN 'small' WHEN p_size BETWEEN 11 AND 30 THEN 'middle' WHEN p_size BETWEEN 31 AND 45 THEN 'large' END AS band FROM part",
     "win1_topk": "SELECT source, doc_id, n_chars, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 5",
     "win2_first": "SELECT conv_id, arg_min(text, turn) AS first_text, min(turn) AS first_turn FROM conversations GROUP BY conv_id",
     "win3_last": "SELECT doc_id, list_extract(string_split(trim(text), chr(10)), -1) AS last_line FROM documents",
     "win5_enumerate": "SELECT item_id, i::INTEGER AS number, s[i] AS sentence FROM (SELECT item_id, string_split(text, '. ') AS s FROM benchmark), unnest(range(1, len(s) + 1)) AS u(i)",
     "win6_preview": "SELECT doc_id, left(text, 500) AS preview_500, left(text, 200) AS preview_200, left(text, 100) AS preview_100 FROM documents",
-    "set1_union": "SELECT doc_id, lang, left(text, 40) AS summary, 'hosted' AS provider FROM documents WHERE lang <> 'de' UNION ALL SELECT doc_id, lang, left(text, 40), 'local' FROM documents WHERE lang <> 'fr'",
+    "set1_union": "SELECT doc_id, lang, text AS summary, 'hosted' AS provider FROM documents WHERE lang <> 'de' UNION ALL SELECT doc_id, lang, text, 'local' FROM documents WHERE lang <> 'fr'",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text
 from docloom.plans.support import Query, table
+from docloom.sources import io
 
 TEMPLATE = "Summarise the page.\n"
 
@@ -15,6 +16,13 @@ def src1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", F.length("html").alias("html_chars"))
 
 
+def src1_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a status of their fetch (by id: most succeed); failed ones give their reason and no html."""
+    status = F.element_at(F.array(F.lit(200), F.lit(200), F.lit(404), F.lit(204), F.lit(503), F.lit(None).cast("int")), (F.col("page_id") % 6 + 1).cast("int"))
+    rows = io.fetched(table(spark, sf_dir, "pages").withColumn("status", status))
+    return rows.select("page_id", "failure", F.when(F.col("failure").isNull(), F.length("html")).alias("html_chars"))
+
+
 def txt1_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.body_of(F.col("html")).alias("body"))
 
@@ -69,9 +77,10 @@ _LINKS = rf"""regexp_replace(b, '(<a\b[^>]*?\bhref=")(/[^/"][^"]*|/)"', '\1' ||
 _BODIES = f"WITH x AS (SELECT page_id, url, html, {_BODY} AS b FROM pages) "
 _PREPARED = f"WITH x AS (SELECT page_id, url, html, {_BODY} AS b FROM pages), y AS (SELECT page_id, url, html, {_LINKS} AS b FROM x), z AS (SELECT page_id, url, html, {_COMPACT} AS c FROM y) "
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (src1_pages, txt1_body, txt2_compact, txt3_links, txt4_truncate, txt6_lengths, txt7_prompt, txt13_names, page_prepare, page_hosts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (src1_pages, src1_status, txt1_body, txt2_compact, txt3_links, txt4_truncate, txt6_lengths, txt7_prompt, txt13_names, page_prepare, page_hosts)}
 ORACLES = {
     "src1_pages": "SELECT page_id, url, length(html)::INTEGER AS html_chars FROM pages",
+    "src1_status": "SELECT page_id, CASE page_id % 6 WHEN 2 THEN 'HTTP 404' WHEN 4 THEN 'HTTP 503' WHEN 5 THEN 'no response' END AS failure, CASE WHEN page_id % 6 IN (0, 1, 3) THEN length(html)::INTEGER END AS html_chars FROM pages",
     "txt1_body": _BODIES + "SELECT page_id, b AS body FROM x",
     "txt2_compact": _BODIES + f"SELECT page_id, {_COMPACT} AS body FROM x",
     "txt3_links": _BODIES + f"SELECT page_id, {_LINKS} AS body FROM x",

@@ -121,16 +121,18 @@ def agg3_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("resp_id", F.array_join(F.from_json("entry", "title string, tags array<string>")["tags"], ", ").alias("tags"))
 
 
-def _points(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), F.col("n_chars").alias("score"), F.left("text", F.lit(n)).alias("text"))
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest line with words of each whole document, scored by its characters; ties go to the smaller line."""
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: F.struct(F.length(x).alias("n"), x.alias("l")))
+    return table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), F.col("n_chars").alias("score"), F.array_min(lines)["l"].alias("text"))
 
 
 def agg8_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.digest(_points(spark, sf_dir, 60), "source")
+    return report.digest(_points(spark, sf_dir), "source")
 
 
 def agg9_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.headline(_points(spark, sf_dir, 22), "source")
+    return report.headline(_points(spark, sf_dir), "source")
 
 
 RULES = {"items": (20, None), "longest_content": (None, 150), "n_tags": (4, 6), "title_chars": (60, 80), "digest_chars": (None, 300), "vocabulary": (15, None), "phrases": (10, None)}
@@ -140,8 +142,8 @@ def agg10_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract of each source's output, taken from its documents."""
     words = F.size(F.array_distinct(F.split("text", " ")))
     observed = table(spark, sf_dir, "documents").groupBy("source").agg(
-        F.count("*").alias("items"), F.max(F.length(F.left("text", F.lit(160)))).alias("longest_content"), F.count_distinct("lang").alias("n_tags"), F.min(F.length("text")).alias("title_chars"),
-        F.sum(F.least(F.length("text"), F.lit(7))).alias("digest_chars"), F.max(words).alias("vocabulary"), F.min(words).alias("phrases"),
+        F.count("*").alias("items"), F.max(F.length("text")).alias("longest_content"), F.count_distinct("lang").alias("n_tags"), F.min(F.length("text")).alias("title_chars"),
+        F.min(F.length("text")).alias("digest_chars"), F.max(words).alias("vocabulary"), F.min(words).alias("phrases"),
     )
     return report.contract(observed, "source", RULES)
 
@@ -168,7 +170,7 @@ _WITH_REPORT = "resp_id % 8 IN (0, 1, 2, 4, 7)"
 _URL = "CASE resp_id % 7 WHEN 0 THEN '#' WHEN 1 THEN '' ELSE 'http://h/' || (resp_id % 7) END"
 # a report in an array with prose comes back as its one object, which holds no list
 _HAS = "resp_id % 8 IN (0, 1, 2, 4)"
-_TOP = "WITH x AS (SELECT source, doc_id, n_chars, left(text, {n}) AS t, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) "
+_TOP = "WITH x AS (SELECT source, doc_id, n_chars, list_sort(list_transform(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> ''), lambda l: {{'n': length(l), 'l': l}}))[1].l AS t, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) "
 _WORDS = "len(list_distinct(string_split(text, ' ')))"
 _HITS = "len(list_filter(w, lambda x: x IN ({})))"
 ORACLES = {
@@ -185,9 +187,9 @@ ORACLES = {
     "agg1_render": _R + f"SELECT resp_id, '# AI 日报' || chr(10) || chr(10) || '## 📰 ' || source || chr(10) || chr(10) || '### T' || resp_id || chr(10) || lang || chr(10) || chr(10) || '**相关链接:** ' || CASE WHEN resp_id % 7 < 2 THEN 'L' ELSE '[L](<' || {_URL} || '>)' END || chr(10) || chr(10) AS markdown FROM r WHERE {_HAS}",
     "agg2_counts": _R + f"SELECT resp_id, 1 AS categories, 1 AS items, 1 AS links FROM r WHERE {_HAS}",
     "agg3_tags": _R + "SELECT resp_id, 'a, ' || lang AS tags FROM r WHERE resp_id % 8 = 3",
-    "agg8_digest": _TOP.format(n=60) + ", y AS (SELECT *, sum(length(t)) OVER (PARTITION BY source ORDER BY r) AS s FROM x WHERE r <= 20) SELECT source, string_agg(t, '' ORDER BY r) AS digest, count(*) AS n_points FROM y WHERE s <= 300 GROUP BY source",
-    "agg9_headline": _TOP.format(n=22) + "SELECT source, string_agg(t, '；' ORDER BY r) AS headline, count(*) >= 3 AND length(string_agg(t, '；' ORDER BY r)) BETWEEN 60 AND 80 AS within_contract FROM x WHERE r <= 3 GROUP BY source",
-    "agg10_contract": f"WITH o AS (SELECT source, count(*) AS items, max(length(left(text, 160))) AS longest_content, count(DISTINCT lang) AS n_tags, min(length(text)) AS title_chars, sum(least(length(text), 7)) AS digest_chars, max({_WORDS}) AS vocabulary, min({_WORDS}) AS phrases FROM documents GROUP BY source), u AS ("
+    "agg8_digest": _TOP.format() + ", y AS (SELECT *, sum(length(t)) OVER (PARTITION BY source ORDER BY r) AS s FROM x WHERE r <= 20) SELECT source, string_agg(t, '' ORDER BY r) AS digest, count(*) AS n_points FROM y WHERE s <= 300 GROUP BY source",
+    "agg9_headline": _TOP.format() + "SELECT source, string_agg(t, '；' ORDER BY r) AS headline, count(*) >= 3 AND length(string_agg(t, '；' ORDER BY r)) BETWEEN 60 AND 80 AS within_contract FROM x WHERE r <= 3 GROUP BY source",
+    "agg10_contract": f"WITH o AS (SELECT source, count(*) AS items, max(length(text)) AS longest_content, count(DISTINCT lang) AS n_tags, min(length(text)) AS title_chars, min(length(text)) AS digest_chars, max({_WORDS}) AS vocabulary, min({_WORDS}) AS phrases FROM documents GROUP BY source), u AS ("
     + " UNION ALL ".join(f"SELECT source, '{n}' AS rule, {n}::BIGINT AS observed, {n} >= {lo if lo is not None else -1} AND {n} <= {hi if hi is not None else 10**15} AS pass FROM o" for n, (lo, hi) in RULES.items())
     + ") SELECT * FROM u",
     "agg11_category": r"WITH x AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\p{L}]+') AS w FROM documents), y AS (SELECT doc_id, " + _HITS.format("'the', 'and'") + " AS e, " + _HITS.format("'der', 'und'") + " AS g, " + _HITS.format("'la', 'de'") + " AS r FROM x) SELECT doc_id, CASE WHEN greatest(e, g, r) = 0 THEN '其他' WHEN e >= g AND e >= r THEN 'english' WHEN g >= r THEN 'german' ELSE 'romance' END AS category, greatest(e, g, r)::BIGINT AS hits FROM y",

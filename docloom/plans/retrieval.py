@@ -49,7 +49,7 @@ def rag5_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits as chunk lists with gaps: text null for odd documents, content null for ids divisible by 3."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.left("text", F.lit(40)).alias("t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("t"))
     c = F.struct(F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("t")).alias("text"), F.when(F.col("doc_id") % 3 != 0, F.col("t")).alias("content"), F.concat(F.lit("kb/"), "doc_id").alias("uri"))
     lists = _hits(spark, sf_dir).join(docs, "doc_id").groupBy("item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", c.alias("c")))), lambda x: x["c"]).alias("chunks"))
     empty = F.filter("chunks", lambda _: F.lit(False))
@@ -97,7 +97,7 @@ _NEAR = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, {_SPLIT} AS
  l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 50 * (x.n + y.n - shared)),
  r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
  c AS (SELECT r.a AS doc_id, min(r.b) AS class_id FROM r GROUP BY r.a), m AS (SELECT class_id, count(*) AS members FROM c GROUP BY class_id) """
-_CITED = _bm25("documents") + ", c AS (SELECT item_id, rank, CASE WHEN doc_id % 5 <> 0 THEN source END AS title, CASE WHEN doc_id % 2 = 0 THEN left(text, 40) END AS text, CASE WHEN doc_id % 3 <> 0 THEN left(text, 40) END AS content, 'kb/' || doc_id AS uri FROM hits JOIN documents USING (doc_id)) "
+_CITED = _bm25("documents") + ", c AS (SELECT item_id, rank, CASE WHEN doc_id % 5 <> 0 THEN source END AS title, CASE WHEN doc_id % 2 = 0 THEN text END AS text, CASE WHEN doc_id % 3 <> 0 THEN text END AS content, 'kb/' || doc_id AS uri FROM hits JOIN documents USING (doc_id)) "
 _DOT = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[])"
 ORACLES = {
     "src5_ingest": "SELECT doc_id, doc_id || '.txt' AS display_name, length(text)::INTEGER AS chars FROM documents",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import markdown
 from docloom.operators import lookups, tracker
 from docloom.plans.support import Query, table
+from docloom.sources import io
 
 _DONE = "((c_custkey * 7 + ch) % 3 = 0)"
 
@@ -38,7 +39,7 @@ def session_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.split("text", "\n").alias("l"))
     tags = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("**Tags:** #"), "lang", F.lit(" #"), "source")).otherwise(F.concat(F.lit("#"), "lang", F.lit("\n#"), "source"))
-    pts = F.array_join(F.transform(F.slice("l", 1, 3), lambda x, i: F.concat(F.lit("1."), (i + 1).cast("string"), F.lit(" "), x)), "\n")
+    pts = F.array_join(F.transform("l", lambda x, i: F.concat(F.lit("1."), (i + 1).cast("string"), F.lit(" "), x)), "\n")
     return d.select("doc_id", F.concat(F.lit("# Summary\n"), tags, F.lit("\n\n## Points\n"), pts, F.lit("\n\n## Entities\n- lang: "), "lang", F.lit("\n- source: "), "source", F.lit("\n\nLink: http://h/"), F.col("doc_id").cast("string"), F.lit("\n")).alias("text"))
 
 
@@ -85,9 +86,16 @@ def trk8_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracker.sync(_sessions(spark, sf_dir))
 
 
-def src6_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = session_corpus(spark, sf_dir)
-    return rows.select("session_id", F.length("text").alias("chars"), F.size(F.split("text", "\n")).alias("lines"))
+def src6_files(spark: SparkSession, sf_dir: str, file_notes: int = 500) -> DataFrame:
+    """The session notes written to Markdown files of about ``file_notes`` notes, read back whole, split and parsed."""
+    notes, path = session_corpus(spark, sf_dir), io.work_path(spark, "sessions")
+    buckets = notes.count() // file_notes + 1
+    notes.select(F.pmod(F.xxhash64("session_id"), F.lit(buckets)).alias("bucket"), F.col("text").alias("value")).repartition("bucket").write.partitionBy("bucket").text(path)
+    # a file holds one note after the other; each begins with its heading
+    each = io.read_texts(spark, path).select(F.explode(F.filter(F.split("text", r"(?m)^(?=# Session$)"), lambda t: F.trim(t) != "")).alias("text"))
+    rows = tracker.session_rows(each.select(F.xxhash64("text").alias("session_id"), "text"))
+    kind = lambda k: F.count(F.when(F.col("kind") == k, 1)).alias(k)
+    return rows.groupBy("learner_id", "day").agg(kind("gap"), kind("mastered"))
 
 
 def not1_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +126,7 @@ _VALUES = ", ".join(f"('D{i + 1}', {w}, {lo}, {hi})" for i, (w, (lo, hi)) in enu
 _CH = f"WITH dm AS (SELECT * FROM (VALUES {_VALUES}) v(domain, weight, lo, hi)), c AS (SELECT c_custkey AS learner_id, domain, weight, ch, {_DONE} AS done FROM customer, dm, unnest(range(lo, hi + 1)) AS u(ch)) "
 _S = f"WITH dm AS (SELECT * FROM (VALUES {_VALUES}) v(domain, weight, lo, hi)), e AS (SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS day, event_type, (event_id % 21 + 1)::INTEGER AS ch FROM events), n AS (SELECT user_id, day, min(event_id) AS session_id, count(*) FILTER (WHERE event_type = 'error') AS gaps, count(*) FILTER (WHERE event_type = 'purchase') AS mastered FROM e GROUP BY ALL) "
 ORACLES = {
+    "src6_files": _S + "SELECT user_id AS learner_id, day, gaps AS gap, mastered FROM n",
     "trk1_table": "SELECT c_custkey AS learner_id, 29::BIGINT AS n_rows, 116::BIGINT AS n_cells, 8::BIGINT AS n_domains FROM customer",
     "trk2_typed": _CH + "SELECT learner_id, domain, ch::INTEGER AS chapter, 'ch' || ch || '.md' AS file, done FROM c",
     "trk3_rollup": _CH + "SELECT learner_id, domain, sum(done::INTEGER)::BIGINT AS done, count(*) AS chapters FROM c GROUP BY GROUPING SETS ((learner_id, domain), (learner_id))",
@@ -126,8 +135,8 @@ ORACLES = {
     "trk6_severity": _S + "SELECT domain, CASE WHEN domain IN ('D1', 'D3', 'D4', 'D7') THEN 'High' ELSE 'Normal' END AS severity, count(*) AS gaps FROM e JOIN dm ON ch BETWEEN lo AND hi WHERE event_type = 'error' GROUP BY ALL",
     "trk7_sessions": _S + "SELECT session_id, user_id AS learner_id, day, CASE WHEN session_id % 2 = 0 THEN 'topic ' || session_id END AS topic, gaps, mastered FROM n",
     "trk8_sync": _S + "SELECT user_id AS learner_id, ch AS chapter, arg_max(CASE event_type WHEN 'error' THEN 'gap' ELSE 'mastered' END, day || (event_type = 'error')::INTEGER) AS state, max(day) AS day FROM e WHERE event_type IN ('error', 'purchase') GROUP BY ALL",
-    "not1_sections": "SELECT doc_id, 'Entities' AS section, 3::BIGINT AS lines FROM documents UNION ALL SELECT doc_id, 'Points', least(len(string_split(text, chr(10))), 3) FROM documents",
+    "not1_sections": "SELECT doc_id, 'Entities' AS section, 3::BIGINT AS lines FROM documents UNION ALL SELECT doc_id, 'Points', len(string_split(text, chr(10))) FROM documents",
     "not2_tags": "SELECT doc_id, lang || ',' || source AS tags FROM documents",
-    "not3_points": "SELECT doc_id, least(len(string_split(text, chr(10))), 3)::BIGINT AS n_points, array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10)) AS points FROM documents",
+    "not3_points": "SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_points, array_to_string(string_split(text, chr(10)), chr(10)) AS points FROM documents",
     "not4_entities": "SELECT doc_id, 'lang' AS term, lang AS definition, 'http://h/' || doc_id AS link FROM documents UNION ALL SELECT doc_id, 'source', source, 'http://h/' || doc_id FROM documents",
 }

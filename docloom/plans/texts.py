@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from docloom.functions import text
 from docloom.plans.support import Query, table
 
-#: Text with urls in it: documents hold none, so one of each kind is added from pages.
-REDACT_INPUT = "SELECT d.doc_id, left(d.text, 40) || ' ' || p.url || ' www.x' || d.doc_id || '.org end' AS text FROM {documents} d JOIN {pages} p ON d.doc_id % 250 = p.page_id"
+#: Text with urls in it: documents hold none, so one of each kind is added to each.
+REDACT_INPUT = "SELECT doc_id, concat('https://h.org/', doc_id, '?a=1#b ', text, ' ftp://f.net/', source, ' www.x', doc_id, '.org end') AS text FROM {documents}"
 RECIPIENTS = "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 1 THEN '' WHEN p_partkey % 5 = 2 THEN ' a@x.org , ,b' || p_partkey || '@y.org,' ELSE p_brand || ',' || p_type END AS recipients, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN 'port' ELSE ' ' || p_size || 'x' || p_partkey || ' ' END AS port FROM {part}"
 TITLES = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS title, o_orderkey % 4 AS n_tags, o_orderdate AS moment FROM {orders}"
 RECORDS = "SELECT d.doc_id, CASE WHEN d.doc_id % 7 = 0 THEN NULL ELSE d.source END AS record, CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE d.text END AS text FROM {documents} d"
 
 
 def txt5_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(REDACT_INPUT, documents=table(spark, sf_dir, "documents"), pages=table(spark, sf_dir, "pages"))
+    rows = spark.sql(REDACT_INPUT, documents=table(spark, sf_dir, "documents"))
     return rows.select("doc_id", text.redact_urls(F.col("text")).alias("text"), text.count_urls(F.col("text")).alias("n_urls"))
 
 
@@ -33,7 +33,7 @@ def txt9_framed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def txt10_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     system = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("You answer in "), F.col("lang")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(text.messages(F.left("text", F.lit(80)), system)).alias("messages"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(text.messages(F.col("text"), system)).alias("messages"))
 
 
 def txt11_datekey(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,10 +103,10 @@ _LISTS = f"WITH x AS ({_twin(RECIPIENTS, 'part')}), y AS (SELECT id, port, list_
 _JUNK = "SELECT doc_id, quality, length(text) AS n_len, round(length(regexp_replace(text, '[^#*$%&|!]', '', 'g'))::DOUBLE / greatest(length(text), 1), 6) AS symbol_share, round(1 - len(list_distinct(string_split(text, chr(10))))::DOUBLE / len(string_split(text, chr(10))), 6) AS repeat_share FROM {source}"
 _IS_JUNK = "(n_len < 40 OR symbol_share > 0.05 OR repeat_share > 0.5)"
 ORACLES = {
-    "txt5_redact": f"WITH x AS ({_twin(REDACT_INPUT, 'documents', 'pages')}) SELECT doc_id, regexp_replace(text, '{_URLS}', ' [链接已移除] ', 'g') AS text, len(regexp_extract_all(text, '{_URLS}'))::INTEGER AS n_urls FROM x",
+    "txt5_redact": f"WITH x AS ({_twin(REDACT_INPUT, 'documents')}) SELECT doc_id, regexp_replace(text, '{_URLS}', ' [链接已移除] ', 'g') AS text, len(regexp_extract_all(text, '{_URLS}'))::INTEGER AS n_urls FROM x",
     "txt8_suffix": "SELECT doc_id, text || chr(10) || chr(10) || 'Give a title.' AS prompt FROM documents",
     "txt9_framed": "SELECT doc_id, CASE lang WHEN 'en' THEN 'Summarise.' WHEN 'de' THEN 'Fasse zusammen.' ELSE 'Summarise the text.' END || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text AS prompt FROM documents",
-    "txt10_messages": """SELECT doc_id, '[' || CASE WHEN doc_id % 2 = 0 THEN '{"role":"system","content":"You answer in ' || lang || '"},' ELSE '' END || '{"role":"user","content":' || to_json(left(text, 80)) || '}]' AS messages FROM documents""",
+    "txt10_messages": """SELECT doc_id, '[' || CASE WHEN doc_id % 2 = 0 THEN '{"role":"system","content":"You answer in ' || lang || '"},' ELSE '' END || '{"role":"user","content":' || to_json(text) || '}]' AS messages FROM documents""",
     "txt11_datekey": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN '2020-02-29' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date_key FROM orders",
     "txt12_timekey": "SELECT event_id, strftime(ts, '%Y-%m-%d %H-%M-%S') AS time_key FROM events",
     "txt14_slug": "SELECT p_partkey, regexp_replace(p_name || ' / ' || p_type, '[^A-Za-z0-9._-]+', '_', 'g') AS slug FROM part",

@@ -33,6 +33,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def latest(spark: SparkSession, folder: str) -> int | None:
+    """The greatest number that names a folder in ``folder``; None if there is none."""
+    if not exists(spark, folder):
+        return None
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
+    return max((int(n) for n in names if n.isdigit()), default=None)
+
+
+def fetched(pages: DataFrame, status: str = "status") -> DataFrame:
+    """``pages`` with ``failure``: null where the fetch succeeded (200 to 299), else why it did not; a null status is none."""
+    reason = F.when(F.col(status).isNull(), "no response").when(~F.col(status).between(200, 299), F.concat(F.lit("HTTP "), F.col(status)))
+    return pages.withColumn("failure", reason)
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: its base name and whole text; a missing path gives no row."""
     if not exists(spark, path):

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text
 from docloom.operators import index
+from docloom.sources import io
 
 #: Seconds after which an unfinished request is given up.
 REQUEST_TIMEOUT = 1200
+#: What is known of a request after each batch.
+SHOWN = "conv_id long, turn long, text string, failed boolean, n_chunks long, given_up boolean"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,17 +35,19 @@ def index_stream(log: DataFrame, out: str, *, key: str = "d", seq: str = "k", va
     Returns the last version after all data now available.
     """
     spark = log.sparkSession
-    state = {"last": None}
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         new = index.upsert(batch, key, seq, value)
         if batch_id:
             new = index.merge(spark.read.parquet(f"{out}/snapshots/{batch_id - 1}"), new, key, value)
         new.write.mode("overwrite").parquet(f"{out}/snapshots/{batch_id}")
-        state["last"] = batch_id
 
     log.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/snapshots/{state['last']}")
+    # a run without new data leaves the version of an earlier one, or none
+    last = io.latest(spark, f"{out}/snapshots")
+    kinds = {f.name: f.dataType.simpleString() for f in log.schema}
+    empty = f"{key} {kinds[key]}, {value} {kinds[value]}, first_seen {kinds[seq]}, last_seen {kinds[seq]}"
+    return spark.createDataFrame([], empty) if last is None else spark.read.parquet(f"{out}/snapshots/{last}")
 
 
 def _assemble(key: tuple, frames: Iterator[pd.DataFrame], state, timed: bool) -> Iterator[pd.DataFrame]:
@@ -79,8 +84,7 @@ def assembled(chunks: DataFrame, *, timed: bool) -> DataFrame:
     is for streams that keep running, as waiting for a timeout keeps a stream alive.
     """
     step = lambda key, frames, state: _assemble(key, frames, state, timed)
-    schema = "conv_id long, turn long, text string, failed boolean, n_chunks long, given_up boolean"
-    return chunks.groupBy("conv_id", "turn").applyInPandasWithState(step, schema, "held string", "update", "ProcessingTimeTimeout" if timed else "NoTimeout")
+    return chunks.groupBy("conv_id", "turn").applyInPandasWithState(step, SHOWN, "held string", "update", "ProcessingTimeTimeout" if timed else "NoTimeout")
 
 
 def chunk_stream(chunks: DataFrame, out: str) -> DataFrame:
@@ -89,10 +93,11 @@ def chunk_stream(chunks: DataFrame, out: str) -> DataFrame:
     rows = assembled(chunks, timed=False)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/updates/{batch_id}")
+        batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/updates/{batch_id}")
 
     rows.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    updates = spark.read.parquet(f"{out}/updates/*")
+    schema = f"{SHOWN}, batch long"
+    updates = spark.read.schema(schema).parquet(f"{out}/updates/*") if io.exists(spark, f"{out}/updates") else spark.createDataFrame([], schema)
     return updates.groupBy("conv_id", "turn").agg(F.max_by(F.struct("text", "failed", "n_chunks"), "batch").alias("s")).select("conv_id", "turn", "s.*")
 
 
@@ -110,8 +115,10 @@ def status_stream(operations: DataFrame, out: str) -> DataFrame:
     latest = operations.groupBy("op_id").agg(F.max_by("done", F.struct("ts", "seq")).alias("done"), F.max("ts").alias("ts"))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/updates/{batch_id}")
+        batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/updates/{batch_id}")
 
     latest.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{out}/updates/*").groupBy("op_id").agg(F.max_by("done", "batch").alias("done"))
+    schema = f"op_id {latest.schema['op_id'].dataType.simpleString()}, done boolean, ts {latest.schema['ts'].dataType.simpleString()}, batch long"
+    updates = spark.read.schema(schema).parquet(f"{out}/updates/*") if io.exists(spark, f"{out}/updates") else spark.createDataFrame([], schema)
+    rows = updates.groupBy("op_id").agg(F.max_by("done", "batch").alias("done"))
     return rows.select("op_id", F.when(F.col("done"), "done").otherwise("pending").alias("status"))
