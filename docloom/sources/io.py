@@ -61,8 +61,9 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if not exists(spark, path):
         empty = spark.createDataFrame([], schema)
         return empty.drop("_corrupt"), empty.select("_corrupt")
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    rows = rows.select("date", "title", "tags", "_corrupt")
+    # parsed from lines and not by the JSON reader, which allows no query of corrupt records alone
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
     return rows.where("_corrupt IS NULL AND date IS NOT NULL").drop("_corrupt"), rows.where("_corrupt IS NOT NULL").select("_corrupt")
 
 

@@ -69,5 +69,7 @@ def test_a_hot_source_is_read_in_bounded_files(spark, sf_dir, tmp_path, monkeypa
     hot = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("source", F.lit("hot"))
     monkeypatch.setattr(flows, "table", lambda *_: hot)
     rows = flows.src3_texts(spark, sf_dir, file_rows=20).collect()
-    files = [p.read_text().count("\n") for p in (tmp_path / "texts").rglob("*.txt")]
-    assert [r.lines for r in rows] == [hot.count()] == [sum(files)] and max(files) <= 60
+    texts = [r.text for r in hot.select("text").collect()]
+    files = [p.read_text() for p in (tmp_path / "texts").rglob("*.txt")]
+    assert [r.lines for r in rows] == [sum(t.count("\n") + 1 for t in texts)] and [r.chars for r in rows] == [sum(len(t) + 1 for t in texts)]
+    assert len(files) >= 8 and sum(map(len, files)) == rows[0].chars and max(map(len, files)) < rows[0].chars / 3
