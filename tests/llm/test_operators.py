@@ -370,10 +370,9 @@ def test_vectors_of_the_table(spark, sf_dir):
 # --- op8
 
 
-def test_class_sizes_cover_each_length():
-    for n in range(0, 5000):
-        sizes = packing.class_sizes(n)
-        assert sum(sizes) == n and all(2048 // (2048 // s) == s for s in sizes)
+def test_class_plans_cover_each_length():
+    for n, plan in enumerate(packing.class_plans()):
+        assert sum(x for x, _ in plan) == n and all(x <= size and 2048 // (2048 // size) == size for x, size in plan)
 
 
 def test_packing_keeps_every_token_once(spark, sf_dir):
