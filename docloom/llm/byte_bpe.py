@@ -10,6 +10,7 @@ library, all of a batch at once.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -66,6 +67,8 @@ class Codec:
     """
 
     def __init__(self, path: str, special: bool = False) -> None:
+        # a task has one core: threads of the library would take those of other tasks, and hold memory each
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
