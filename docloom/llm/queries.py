@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import byte_bpe, embedding_dedup, html_consensus, line_dedup, minhash, packing, quality_rules, toxicity, url_graph, warc_fixity
+from docloom.llm import byte_bpe, collocation, embedding_dedup, html_consensus, line_dedup, minhash, packing, quality_rules, toxicity, url_graph, warc_fixity
 from docloom.llm.common import table
 from docloom.llm.sql import ORACLES  # noqa: F401
 
@@ -92,6 +92,11 @@ def op10_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_consensus.main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of each lang among phrases that occur 100 times."""
+    return collocation.collocations(table(spark, sf_dir, "documents"), least=100, best=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,5 +114,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_warc_fixity": op9_warc_fixity,
     "op10_html_consensus": op10_html_consensus,
+    "op12_collocations": op12_collocations,
     "pipeline": pipeline,
 }

@@ -85,4 +85,17 @@ _BYTES = f"({_FIXED} + strlen(coalesce(url, '')) + length(({{0}})::VARCHAR) + {{
 OP9 = f"""WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS n, coalesce(page_id % 211 <> 5, true) AS there, coalesce(page_id % 89 = 7, false) AS hurt FROM pages)
  SELECT page_id, CASE WHEN there THEN 'changed' ELSE 'missing' END AS status, {_BYTES.format("n")} AS length_one, CASE WHEN there THEN {_BYTES.format("(n + 1)")} END AS length_two FROM p WHERE hurt OR NOT there"""
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op5_minhash": OP5, "op6_url_filters": OP6, "op7_embedding_dedup": OP7, "op9_warc_fixity": OP9}
+#: Phrases that are in a longer one are found by listing all phrases inside those of three words or more.
+OP12 = r"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+ p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+ g AS (SELECT lang, size, array_to_string(list_slice(ws, i, i + size - 1), ' ') AS phrase, count(*) AS f FROM p, unnest(range(1, 6)) AS a(size), unnest(range(1, len(ws) - size + 2)) AS b(i) GROUP BY 1, 2, 3),
+ n AS (SELECT lang, sum(f)::HUGEINT AS n FROM g WHERE size = 1 GROUP BY lang),
+ h AS MATERIALIZED (SELECT lang, size, phrase, string_split(phrase, ' ') AS ws, f FROM g WHERE f >= 100),
+ inner_ AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, array_to_string(list_slice(ws, i, i + s - 1), ' ') AS phrase FROM h, unnest(range(2, size)) AS a(s), unnest(range(1, size - s + 2)) AS b(i)) GROUP BY 1, 2),
+ cut AS (SELECT h.lang, h.phrase, k, h.f AS a, x.f AS l, y.f AS r, n.n, (1000 * h.f::HUGEINT * n.n) // (x.f::HUGEINT * y.f) AS score FROM (SELECT *, unnest(range(1, size)) AS k FROM h WHERE size > 1) AS h
+  JOIN h AS x ON x.lang = h.lang AND x.phrase = array_to_string(list_slice(h.ws, 1, k), ' ') JOIN h AS y ON y.lang = h.lang AND y.phrase = array_to_string(list_slice(h.ws, k + 1, h.size), ' ') JOIN n ON n.lang = h.lang
+  WHERE NOT EXISTS (SELECT 1 FROM inner_ WHERE inner_.lang = h.lang AND inner_.phrase = h.phrase AND inner_.f >= h.f)),
+ one AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM one QUALIFY rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op5_minhash": OP5, "op6_url_filters": OP6, "op7_embedding_dedup": OP7, "op9_warc_fixity": OP9, "op12_collocations": OP12}
