@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import byte_bpe, collocation, embedding_dedup, html_consensus, line_dedup, minhash, packing, quality_rules, toxicity, url_graph, warc_fixity
+from docloom.llm import byte_bpe, collocation, embedding_dedup, fingerprint, html_consensus, line_dedup, minhash, packing, quality_rules, toxicity, url_graph, warc_fixity
 from docloom.llm.common import table
 from docloom.llm.sql import ORACLES  # noqa: F401
 
@@ -97,6 +97,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(table(spark, sf_dir, "documents"), least=100, best=2000)
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and how alike they and the next document's are."""
+    done = fingerprint.edited(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -115,5 +121,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_fixity": op9_warc_fixity,
     "op10_html_consensus": op10_html_consensus,
     "op12_collocations": op12_collocations,
+    "op13_fingerprints": op13_fingerprints,
     "pipeline": pipeline,
 }
