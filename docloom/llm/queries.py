@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import byte_bpe, collocation, embedding_dedup, fingerprint, html_consensus, line_dedup, minhash, packing, quality_rules, toxicity, url_graph, warc_fixity
+from docloom.llm import byte_bpe, collocation, dialog_repair, embedding_dedup, fingerprint, html_consensus, line_dedup, minhash, packing, quality_rules, toxicity, url_graph, warc_fixity
 from docloom.llm.common import table
 from docloom.llm.sql import ORACLES  # noqa: F401
 
@@ -92,6 +92,17 @@ def op10_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_consensus.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired: its faults, the cheapest edits and the hash of the repaired text."""
+    given = table(spark, sf_dir, "conversations")
+    damaged = dialog_repair.damage(given)
+    audits = dialog_repair.audit(dialog_repair.repair(damaged))
+    # rows of a conversation meet by grouping, which takes a null id for an id
+    parts = given.select("conv_id").distinct().unionByName(dialog_repair.gaps(damaged), True).unionByName(audits, True)
+    counts = [F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return parts.groupBy("conv_id").agg(*counts, F.coalesce(F.max("audit"), F.lit("")).alias("audit"), F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 best collocations of each lang among phrases that occur 100 times."""
     return collocation.collocations(table(spark, sf_dir, "documents"), least=100, best=2000)
@@ -120,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_warc_fixity": op9_warc_fixity,
     "op10_html_consensus": op10_html_consensus,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_collocations": op12_collocations,
     "op13_fingerprints": op13_fingerprints,
     "pipeline": pipeline,
