@@ -1,65 +1,10 @@
-"""Markdown as data: lines, pipe tables, key-value bullets, headings, tags and lists."""
+"""Marks inside Markdown text: tags, numbered points and annotations; its lines are the matter of ``blocks``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PLACEHOLDER = "[待填写]"
-
-
-def lines(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """One row per line with its number."""
-    return docs.select(*key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-
-
-def is_row(line: Column) -> Column:
-    return F.ltrim(line).startswith("|")
-
-
-def is_alignment(line: Column) -> Column:
-    return line.rlike(r"^\s*\|(\s*:?-+:?\s*\|)+\s*$")
-
-
-def cells(line: Column) -> Column:
-    """Trimmed cells of a table row, without bold marks; an escaped pipe belongs to its cell."""
-    inner = F.regexp_replace(F.trim(line), r"^\||\|$", "")
-    return F.transform(F.split(inner, r"(?<!\\)\|"), lambda c: F.trim(F.regexp_replace(F.replace(c, F.lit("\\|"), F.lit("|")), r"\*\*(.*?)\*\*", "$1")))
-
-
-def table_rows(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """Body rows of each text's pipe tables: line number, number of the table, cells.
-
-    A table begins at a row whose line before is none; its first row is the header, and the
-    alignment row, if there is one, is dropped.
-    """
-    rows = lines(docs, key, text)
-    order = Window.partitionBy(*key).orderBy("line_no")
-    rows = rows.withColumn("row", is_row(F.col("line"))).withColumn("head", F.col("row") & ~F.coalesce(F.lag("row").over(order), F.lit(False)))
-    rows = rows.withColumn("table_no", F.sum(F.col("head").cast("int")).over(order)).where("row AND NOT head")
-    return rows.where(~is_alignment(F.col("line"))).select(*key, "table_no", "line_no", cells(F.col("line")).alias("cells"))
-
-
-def bullet_value(text: Column, name: str) -> Column:
-    """The value of ``- **name**: value``; a placeholder or a missing bullet gives null."""
-    value = F.trim(F.regexp_extract(text, rf"(?m)^- \*\*{name}\*\*: *(.*)$", 1))
-    return F.nullif(F.nullif(value, F.lit("")), F.lit(PLACEHOLDER))
-
-
-def heading(line: Column) -> Column:
-    """The title of a heading in any of the styles ``1. x``, ``## x`` and ``### x``; else null."""
-    return F.nullif(F.trim(F.regexp_extract(line, r"^(?:#{2,3}|\d+\.) +(.*)$", 1)), F.lit(""))
-
-
-def sections(docs: DataFrame, key: list[str], titles: list[str], text: str = "text") -> DataFrame:
-    """Lines with the section they stand in; only headings with a known title begin one."""
-    rows = lines(docs, key, text)
-    title = F.when(heading(F.col("line")).isin(titles), heading(F.col("line")))
-    order = Window.partitionBy(*key).orderBy("line_no")
-    rows = rows.withColumn("is_heading", title.isNotNull()).withColumn("section", F.last(title, ignorenulls=True).over(order))
-    return rows.where("section IS NOT NULL AND NOT is_heading").select(*key, "section", "line_no", "line")
-
-
 def hash_tags(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"#([^\s#*]+)"), F.lit(1))
 

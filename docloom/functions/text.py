@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 REDACTED = " [链接已移除] "
 DEFAULT_TITLE = "AI 日报 "
 URLS = r"https?://\S+|www\.\S+|ftp://\S+"
-BLANKS = r"[ \t\n\f\r]+"
+#: All characters that count as white space, as text and as a pattern: those of Unicode and the four separators before the space.
+WHITE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANKS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def body_of(html: Column) -> Column:
@@ -20,15 +22,34 @@ def body_of(html: Column) -> Column:
     return F.when(clean.rlike(r"(?i)<body\b"), F.regexp_extract(clean, r"(?is)<body\b[^>]*>(.*?)(</body\s*>|\z)", 1)).otherwise(html)
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends; null stays null."""
+    return F.trim(text, F.lit(WHITE))
+
+
 def compact(text: Column) -> Column:
-    """Every run of white space as one space, none at the ends."""
+    """Every run of white space, of any kind, as one space, none at the ends; null stays null."""
     return F.trim(F.regexp_replace(text, BLANKS, " "))
 
 
+# One attribute of a tag that is not href; quoted values may hold ">".
+_ATTRIBUTE = r"""[\s/]*+(?!href[\s=>])[^\s=>"'/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
+_BEFORE_HREF = rf"(?i)(<a(?=[\s/])(?:{_ATTRIBUTE})*+[\s/]*+href\s*+=\s*+"
+
+
 def absolute_links(html: Column, url: Column) -> Column:
-    """Anchor links that begin with one slash, made absolute by the scheme and host of ``url``."""
-    base = F.concat(F.parse_url(url, F.lit("PROTOCOL")), F.lit("://"), F.parse_url(url, F.lit("AUTHORITY")))
-    return F.regexp_replace(html, F.lit(r'(<a\b[^>]*?\bhref=")(/[^/"][^"]*|/)"'), F.concat(F.lit("$1"), base, F.lit('$2"')))
+    """Links of anchors that begin with one slash, made absolute by the scheme and authority of ``url``.
+
+    Values may stand in double or single quotes or in none.  Other attributes, such as
+    ``data-href``, and links that begin with two slashes stay.  A page whose url is null,
+    malformed or without a scheme comes back as it is, and so does null html.
+    """
+    base = F.concat(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))), F.lit("://"), F.try_parse_url(url, F.lit("AUTHORITY")))
+    into = F.concat(F.lit("$1"), F.regexp_replace(base, r"([\\$])", r"\\$1"), F.lit("$2"))
+    done = html
+    for value in (r'")(/(?!/)[^"]*")', r"')(/(?!/)[^']*')", r""")(/(?!/)[^\s"'>]*)"""):
+        done = F.regexp_replace(done, F.lit(_BEFORE_HREF + value), into)
+    return F.coalesce(done, html)
 
 
 def truncate(text: Column, limit: int = 30_000) -> Column:
@@ -85,8 +106,8 @@ def slug(title: Column) -> Column:
 
 
 def split_list(text: Column, separator: str = ",") -> Column:
-    """Trimmed, non-empty items; null gives an empty list."""
-    items = F.transform(F.split(text, separator), lambda x: F.trim(x))
+    """Items without outer white space, those that are empty left out; null gives an empty list."""
+    items = F.transform(F.split(text, separator), strip)
     return F.coalesce(F.filter(items, lambda x: x != ""), F.array().cast("array<string>"))
 
 
@@ -124,8 +145,8 @@ def is_junk(signals: dict[str, Column], least: int = 40, symbols: float = 0.05,
 
 
 def tail(text: Column, separator: str) -> Column:
-    """The last piece of a trimmed text."""
-    return F.element_at(F.split(F.trim(text), separator), -1)
+    """The last piece of a text without outer white space."""
+    return F.element_at(F.split(strip(text), separator), -1)
 
 
 def concat_all(parts: Sequence[Column]) -> Column:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.text import strip
+
 # What a user says to end a session.
 STOP_WORDS = ("退出", "exit", "stop")
 
 
 def is_stop(text: Column) -> Column:
-    return F.lower(F.trim(text)).isin(*STOP_WORDS)
+    return F.lower(strip(text)).isin(*STOP_WORDS)
 
 
 def before_first(turns: DataFrame, flag: Column, *, inclusive: bool = False) -> DataFrame:
@@ -25,7 +27,7 @@ def until_stop(turns: DataFrame) -> DataFrame:
 
 
 def drop_blank(turns: DataFrame) -> DataFrame:
-    return turns.where(F.trim("text") != "")
+    return turns.where(strip(F.col("text")) != "")
 
 
 def with_status(turns: DataFrame, is_error: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions import markdown
+from docloom.functions import blocks as md
 
 # The weight of each domain in the exam, and its chapters.
 WEIGHTS = (15, 10, 13, 13, 13, 12, 13, 11)
@@ -17,17 +17,32 @@ def domains(spark) -> DataFrame:
     return spark.createDataFrame([(f"D{i + 1}", w, lo, hi) for i, (w, (lo, hi)) in enumerate(zip(WEIGHTS, CHAPTERS, strict=True))], "domain string, weight int, lo int, hi int")
 
 
-def typed_rows(trackers: DataFrame, key: str) -> DataFrame:
-    """Domain rows and the chapter rows under them; a chapter takes the domain of the row above it."""
-    rows = markdown.table_rows(trackers, [key])
-    c = F.col("cells")
-    name = F.regexp_extract(c[0], r"^(D\d+)$", 1)
-    chapter = F.regexp_extract(c[0], r"^- Ch (\d+):", 1)
-    order = Window.partitionBy(key).orderBy("line_no")
-    rows = rows.select(key, "line_no", F.nullif(name, F.lit("")).alias("own"), F.nullif(chapter, F.lit("")).cast("int").alias("chapter"), c.alias("c"))
-    rows = rows.withColumn("domain", F.last("own", ignorenulls=True).over(order))
-    stated = F.regexp_extract(F.col("c")[1], r"^(\d+)%$", 1)
-    return rows.select(key, "domain", "chapter", F.nullif(stated, F.lit("")).cast("int").alias("stated"), F.regexp_extract(F.col("c")[2], r"`([^`]*)`", 1).alias("file"), (F.col("c")[3] == "✅").alias("done"))
+def typed_rows(rows: DataFrame, key: str) -> DataFrame:
+    """Domain rows and the chapter rows under them, from the tables among the blocks of trackers.
+
+    Cells count by their header, wherever it stands: domain or chapter, weight, progress
+    (``n/m``), mastery (percent) and status.  A domain row begins with ``D`` and a number; a chapter
+    row (``Ch n: title (`file`)``) takes the domain of the row above it in its table.
+    What is missing or a placeholder is null; a chapter is done if its status says so.
+    """
+    name, status = md.cell("domain|chapter"), md.cell("status")
+    part = lambda c, p, g=1: F.nullif(F.regexp_extract(c, p, g), F.lit(""))
+    order = Window.partitionBy(key, "table_no").orderBy("line_no")
+    found = rows.where("kind = 'row'").select(key, "table_no", "line_no", name.alias("name"), md.cell("weight").alias("weight"), md.cell("progress").alias("progress"), md.cell("mastery").alias("mastery"), status.alias("status"))
+    found = found.withColumns({"own": part(F.col("name"), r"^(D\d+)\b"), "chapter": part(F.col("name"), r"^[-*]?\s*Ch\.?\s*(\d+)\b").cast("int")})
+    found = found.withColumn("domain", F.last("own", ignorenulls=True).over(order)).where("own IS NOT NULL OR chapter IS NOT NULL")
+    share = r"(\d+)\s*/\s*(\d+)"
+    return found.select(
+        key, "domain", "chapter", F.trim(F.regexp_replace(F.regexp_replace("name", r"^[-*]?\s*(?:D\d+|Ch\.?\s*\d+)\s*:?\s*", ""), r"\s*\(`[^`]*`\)\s*$", "")).alias("title"), part(F.col("name"), "`([^`]*)`").alias("file"),
+        part(F.col("weight"), r"(\d+)\s*%").cast("int").alias("weight"), part(F.col("progress"), share).cast("int").alias("finished"), part(F.col("progress"), share, 2).cast("int").alias("parts"),
+        part(F.col("mastery"), r"(\d+)\s*%").cast("int").alias("stated"), "status", F.coalesce(F.col("status").rlike("(?i)completed|✅"), F.lit(False)).alias("done"),
+    )
+
+
+def stated_overall(rows: DataFrame, key: str) -> DataFrame:
+    """The overall percentage that each tracker states (``Overall Progress: n%``); the first one counts."""
+    percent = F.nullif(F.regexp_extract("value", r"(\d+)\s*%", 1), F.lit("")).cast("int")
+    return rows.where(F.col("label").rlike("(?i)overall progress")).groupBy(key).agg(F.min_by(percent, "line_no").alias("stated"))
 
 
 def rollup(rows: DataFrame, key: str) -> DataFrame:
@@ -52,15 +67,49 @@ def severity(domain):
     return F.when(domain.isin(*HIGH_RISK), "High").otherwise("Normal")
 
 
-def session_rows(notes: DataFrame) -> DataFrame:
-    """Gap and mastered rows of session notes with the learner and day of their bullets; a note without any has one row of nulls."""
-    head = notes.select("session_id", markdown.bullet_value(F.col("text"), "Learner").cast("long").alias("learner_id"), markdown.bullet_value(F.col("text"), "Date").alias("day"), markdown.bullet_value(F.col("text"), "Topic").alias("topic"), "text")
-    found = F.regexp_extract_all("text", F.lit(r"(?m)^\| (gap|mastered) \| Ch (\d+) \|$"), F.lit(0))
-    rows = head.select("session_id", "learner_id", "day", "topic", F.explode_outer(found).alias("r"))
-    return rows.select("session_id", "learner_id", "day", "topic", F.nullif(F.regexp_extract("r", r"^\| (\w+)", 1), F.lit("")).alias("kind"), F.nullif(F.regexp_extract("r", r"Ch (\d+)", 1), F.lit("")).cast("int").alias("chapter"))
+def _head(rows: DataFrame, key: str, **labels: str) -> DataFrame:
+    """One row for each note: the first value of each label, a pattern, among items and lines outside of logs and lists of findings."""
+    at = {n: F.when(F.col("label").rlike(f"(?i)^(?:{p})"), F.col("line_no")) for n, p in labels.items()}
+    return rows.groupBy(key).agg(*[F.min_by("value", at[n]).alias(n) for n in labels])
+
+
+def session_heads(rows: DataFrame, key: str = "session_id") -> DataFrame:
+    """Of each note: learner, day, duration, chapter (the first one named), file and domain; placeholders and what is missing are null."""
+    head = _head(rows.where(md.under("overview") | (F.size("path") <= 1)), key, learner="learner", day="date", duration="duration", chapters=".*chapter", file="resource", domain=".*domain")
+    number = lambda c: F.nullif(F.regexp_extract(c, r"(\d+)", 1), F.lit(""))
+    day = F.when(F.col("day").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("day"))
+    return head.select(key, number(F.col("learner")).cast("long").alias("learner_id"), day.alias("day"), "duration", number(F.regexp_replace("chapters", r"^.*?(?:Chapter|Ch\.?)\s*", "")).cast("int").alias("chapter"), "file", "domain")
+
+
+def session_findings(rows: DataFrame, key: str = "session_id") -> DataFrame:
+    """Gap and mastered rows of the notes' tables: kind, topic, chapter, severity or confidence, notes.
+
+    The heading above a table tells its kind.  A row without a chapter of its own takes
+    the one of its note; a topic that is a placeholder is null.
+    """
+    kind = F.when(md.under("gaps identified"), "gap").when(md.under("mastered today"), "mastered")
+    found = rows.where("kind = 'row'").select(key, "line_no", kind.alias("kind"), md.cell("topic").alias("topic"), F.nullif(F.regexp_extract(md.cell("chapter"), r"(\d+)", 1), F.lit("")).cast("int").alias("own"), F.coalesce(md.cell("severity"), md.cell("confidence")).alias("grade"), md.cell("notes").alias("notes")).where("kind IS NOT NULL")
+    heads = session_heads(rows, key)
+    return found.join(heads.select(key, "learner_id", "day", F.col("chapter").alias("of_note")), key).select(key, "learner_id", "day", "kind", "topic", F.coalesce("own", "of_note").alias("chapter"), "grade", "notes")
+
+
+def session_topics(rows: DataFrame, key: str = "session_id") -> DataFrame:
+    """The logged statements of each topic: topic, label, value and whether it stands under another item, in order of ``line_no``; unanswered ones have a null value."""
+    topic = F.element_at("path", -1)
+    return rows.where(md.under("learning log") & (F.col("kind") == "item")).select(key, "line_no", F.regexp_replace(topic, r"^Topic\s*\d+\s*:\s*", "").alias("topic"), "label", "value", F.col("parent").isNotNull().alias("nested"))
+
+
+def action_items(rows: DataFrame, key: str = "session_id") -> DataFrame:
+    """Items with a check box: label, value (null for a placeholder), done."""
+    return rows.where("checked IS NOT NULL").select(key, "line_no", "label", "value", F.col("checked").alias("done"))
+
+
+def concepts(rows: DataFrame, key: str = "session_id") -> DataFrame:
+    """Concepts and their definitions; placeholders go."""
+    return rows.where(md.under("concepts") & F.col("value").isNotNull()).select(key, F.col("label").alias("concept"), F.col("value").alias("definition"))
 
 
 def sync(rows: DataFrame) -> DataFrame:
     """The latest state of each learner's chapters; on one day a gap outweighs mastery."""
     order = F.struct("day", (F.col("kind") == "gap").cast("int"))
-    return rows.where("kind IS NOT NULL").groupBy("learner_id", "chapter").agg(F.max_by("kind", order).alias("state"), F.max("day").alias("day"))
+    return rows.where("kind IS NOT NULL AND chapter IS NOT NULL").groupBy("learner_id", "chapter").agg(F.max_by("kind", order).alias("state"), F.max("day").alias("day"))

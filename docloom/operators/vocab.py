@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions import blocks as md
 from docloom.functions import markdown
 from docloom.operators.report import top_k
 
@@ -42,20 +43,41 @@ def phrases(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int
     return top_k(counts, [key], [F.desc("uses"), F.asc("phrase")], k)
 
 
-def records(notes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Vocabulary records (word, ipa, gloss, context, use) from pipe tables and from numbered lists alike."""
-    table = markdown.table_rows(notes, [key]).where(F.size("cells") == 5)
-    from_table = table.select(key, *[F.col("cells")[i].alias(n) for i, n in enumerate(("word", "ipa", "gloss", "context", "use"))])
-    pattern = r"(?m)^\d+\. \*\*([^*]+)\*\* /([^/]*)/ ([^\n]*)\n +- Context: ([^\n]*)\n +- Use: ([^\n]*)$"
-    group = lambda i: F.regexp_extract_all("text", F.lit(pattern), F.lit(i))
-    zipped = F.arrays_zip(*[group(i + 1).alias(n) for i, n in enumerate(("word", "ipa", "gloss", "context", "use"))])
-    return from_table.unionByName(notes.select(key, F.inline(zipped)))
+# What notes call the parts of a record, in English and in the reference language of the notes.
+WORD, IPA, GLOSS, CONTEXT, USE, SENTENCE_OF = "单词|^word", "音标|ipa", "释义|核心中文|gloss", "语境|context", "商务|日常|^use", "例句|sentence|example|^use"
 
 
-def phrase_records(notes: DataFrame, key: str = "doc_id") -> DataFrame:
-    pattern = r"(?m)^\* \*\*([^*]+)\*\*: ([^\n]*)\n +> ([^\n]*)$"
-    group = lambda i: F.regexp_extract_all("text", F.lit(pattern), F.lit(i))
-    return notes.select(key, F.inline(F.arrays_zip(*[group(i + 1).alias(n) for i, n in enumerate(("phrase", "gloss", "sentence"))])))
+def records(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Vocabulary records (word, ipa, gloss, context, use) from the blocks of notes, whatever their layout.
+
+    They stand under a heading that names a vocabulary: as rows of a table with named
+    columns in any order, or as items whose parts stand under them as labelled items; the
+    word is the item's bold term or the value of its label.  The ipa loses its slashes; a part
+    that is missing or a placeholder is null, a record without a word is none.
+    """
+    here = rows.where(md.under("vocabulary"))
+    bare = lambda c: F.regexp_replace(c, "^/(.*)/$", "$1")
+    table = here.where("kind = 'row'").select(key, md.cell(WORD).alias("word"), bare(md.cell(IPA)).alias("ipa"), md.cell(GLOSS).alias("gloss"), md.cell(CONTEXT).alias("context"), md.cell(USE).alias("use"))
+    named = F.when(F.col("label").rlike(f"(?i){WORD}|本身"), F.col("value")).otherwise(F.col("label"))
+    items = md.children(here, [key]).select(key, named.alias("word"), F.coalesce(F.col("ipa"), bare(md.field(IPA))).alias("ipa"), md.field(GLOSS, CONTEXT, USE).alias("gloss"), md.field(CONTEXT).alias("context"), md.field(USE, CONTEXT).alias("use"))
+    return table.unionByName(items).where("word IS NOT NULL")
+
+
+def phrase_records(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Phrase records (phrase, gloss, sentence) from the items under a heading that names phrases; the gloss may stand behind the phrase in parentheses."""
+    here = rows.where(md.under("phrases"))
+    named = F.when(F.col("label").rlike("(?i)短语|^phrase|本身"), F.col("value")).otherwise(F.col("label"))
+    items = md.children(here, [key]).select(key, named.alias("phrase"), F.coalesce(F.col("aside"), md.field(GLOSS)).alias("gloss"), md.field(SENTENCE_OF, "释义|gloss").alias("sentence"))
+    return items.where("phrase IS NOT NULL")
+
+
+def entities(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Terms and definitions under a heading that names entities, as items or plain lines, with the ``link`` that the document names as its source (null if none)."""
+    address = md.link(F.col("content"))
+    source = F.col("label").rlike("(?i)来源|source|^link") & address.isNotNull()
+    links = rows.where(source).groupBy(key).agg(F.min_by(address, "line_no").alias("link"))
+    terms = rows.where(md.under("entities") & F.col("kind").isin("item", "text") & F.col("label").isNotNull() & ~source)
+    return terms.select(key, F.col("label").alias("term"), F.col("value").alias("definition")).join(links, key, "left")
 
 
 def faithful(source: Column, annotated: Column) -> Column:

@@ -5,22 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions import markdown, text
+from docloom.functions import blocks, markdown, text
 from docloom.operators import audit, infer, vocab
 from docloom.plans.support import Query, table
 from docloom.sources import io
 
-VOCABULARY_FIELDS = ("word", "ipa", "gloss", "context", "use")
-
 
 def notes_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes of each document's distinct words: a pipe table for even ids, a numbered list for odd ones, then phrases."""
+    """Notes of each document's distinct words in four layouts: two tables, a list with parts below, a list with labelled words; then phrases.
+
+    Glosses of words of 4, 9, … letters are placeholders, and tables lack their alignment row in one layout.
+    """
     d = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")).alias("w"))
-    row = F.transform("w", lambda w: F.concat(F.lit("| **"), w, F.lit("** | i"), w, F.lit(" | g "), w, F.lit(" | c "), w, F.lit(" | u "), w, F.lit(" |")))
-    item = F.transform("w", lambda w, i: F.concat((i + 1).cast("string"), F.lit(". **"), w, F.lit("** /i"), w, F.lit("/ g "), w, F.lit("\n   - Context: c "), w, F.lit("\n   - Use: u "), w))
-    words = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("| Word | IPA | Gloss | Context | Use |\n|---|---|---|---|---|\n"), F.array_join(row, "\n"))).otherwise(F.array_join(item, "\n"))
-    phrase = F.array_join(F.transform("w", lambda w: F.concat(F.lit("* **at "), w, F.lit("**: g "), w, F.lit("\n  > s "), w)), "\n")
-    return d.select("doc_id", F.concat(F.lit("## Vocabulary\n\n"), words, F.lit("\n\n## Phrases\n\n"), phrase, F.lit("\n")).alias("text"))
+    gloss = lambda w: F.when(F.length(w) % 5 == 4, "[待填写]").otherwise(F.concat(F.lit("g "), w))
+    row = lambda *parts: F.concat(F.lit("| "), F.concat_ws(" | ", *parts), F.lit(" |"))
+    said = lambda p, w: F.concat(F.lit(p), w)
+    bold = lambda w: F.concat(F.lit("**"), w, F.lit("**"))
+    ipa = lambda w: F.concat(F.lit("/i"), w, F.lit("/"))
+    layout = F.col("doc_id") % 4
+    below = lambda sep: lambda w, i: F.concat(F.lit(f"    *   **IPA{sep[0]} "), ipa(w), F.lit(f"\n    *   **核心中文释义{sep[0]} "), gloss(w), F.lit(f"\n    *   **基于视频语境的英文例句{sep[0]} c "), bold(w), F.lit(f"\n    *   **适用于商务或日常交流的英文例句{sep[0]} u "), w)
+    number = lambda i: (i + 1).cast("string")
+    words = (
+        F.when(layout == 0, F.concat(F.lit("| 单词 | 国际音标 | 核心中文释义 | 视频语境例句 | 商务或日常交流例句 |\n| :--- | :--- | :--- | :--- | :--- |\n"), F.array_join(F.transform("w", lambda w, i: row(bold(w), ipa(w), gloss(w), F.concat(F.lit("c "), bold(w)), said("u ", w))), "\n")))
+        .when(layout == 1, F.concat(F.lit("| Gloss | Word | Use | IPA | Context |\n"), F.array_join(F.transform("w", lambda w, i: row(gloss(w), w, said("u ", w), said("i", w), said("c ", w))), "\n")))
+        .when(layout == 2, F.array_join(F.transform("w", lambda w, i: F.concat(number(i), F.lit(".  "), bold(w), F.lit("\n"), below((":**",))(w, i), F.lit("\n"))), "\n"))
+        .otherwise(F.array_join(F.transform("w", lambda w, i: F.concat(number(i), F.lit(". **单词:** "), bold(w), F.lit("\n"), below(("**：",))(w, i))), "\n"))
+    )
+    phrase = (
+        F.when(layout < 2, F.transform("w", lambda w, i: F.concat(number(i), F.lit(".  **at "), w, F.lit("** (g "), w, F.lit(")\n    *   **例句:** s "), w)))
+        .otherwise(F.transform("w", lambda w, i: F.concat(number(i), F.lit(".  **短语/表达本身:** **at "), w, F.lit("**\n    *   核心中文释义：g "), w, F.lit("\n    *   **英文例句**: s "), w)))
+    )
+    head = lambda n, title: F.when(layout == 0, f"## {n}. {title}").when(layout == 1, f"### {title}").when(layout == 2, f"{n}. {title}").otherwise(f"📌 {title}")
+    return d.select("doc_id", F.concat(head(2, "精讲词汇表（Vocabulary Deep Dive）"), F.lit("\n\n"), words, F.lit("\n\n"), head(3, "精选短语（Key Phrases）"), F.lit("\n\n"), F.array_join(phrase, "\n\n"), F.lit("\n")).alias("text"))
+
+
+def _note_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.blocks(notes_corpus(spark, sf_dir), ["doc_id"])
 
 
 def annotated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +61,11 @@ def voc2_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voc3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.records(notes_corpus(spark, sf_dir))
+    return vocab.records(_note_blocks(spark, sf_dir))
 
 
 def voc4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.phrase_records(notes_corpus(spark, sf_dir))
+    return vocab.phrase_records(_note_blocks(spark, sf_dir))
 
 
 def voc5_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +162,7 @@ ORACLES = {
     "src7_models": _MODELS + "SELECT name, actions FROM m",
     "voc1_segments": _SEG + "SELECT doc_id, seg_no, segment FROM g",
     "voc2_annotations": r"WITH x AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '[*()/]', '', 'g'), '[ \t\n\r\f\v]+') AS w FROM documents), a AS (SELECT doc_id, i - 1 AS i, w[i] AS term FROM x, unnest(range(1, len(w) + 1)) AS u(i) WHERE (i - 1) % 7 = 3 AND w[i] <> '') SELECT doc_id, count(*) AS terms, count(*) FILTER (WHERE i % 2 = 0) AS with_ipa, max(term) AS last_term FROM a GROUP BY doc_id",
-    "voc3_records": _W4 + "SELECT doc_id, w AS word, 'i' || w AS ipa, 'g ' || w AS gloss, 'c ' || w AS context, 'u ' || w AS use FROM v",
+    "voc3_records": _W4 + "SELECT doc_id, w AS word, 'i' || w AS ipa, CASE WHEN length(w) % 5 <> 4 THEN 'g ' || w END AS gloss, 'c ' || w AS context, 'u ' || w AS use FROM v",
     "voc4_phrases": _W4 + "SELECT doc_id, 'at ' || w AS phrase, 'g ' || w AS gloss, 's ' || w AS sentence FROM v",
     "voc5_words": f"WITH t AS (SELECT doc_id, w AS word, count(*) AS tf FROM documents, unnest({_SPLIT}) AS u(w) WHERE length(w) >= 4 GROUP BY ALL), f AS (SELECT word, count(*) AS df FROM t GROUP BY word), s AS (SELECT doc_id, t.word, round(tf * ln(1 + (SELECT count(*) FROM documents)::DOUBLE / df), 6) AS score FROM t JOIN f ON t.word = f.word) SELECT * FROM (SELECT doc_id, word, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, word)::INTEGER AS rank FROM s) WHERE rank <= 15",
     "voc6_phrases": f"WITH x AS (SELECT doc_id, {_SPLIT} AS ws FROM documents), g AS (SELECT doc_id, ws[i] || ' ' || ws[i + 1] AS phrase, count(*) AS uses FROM x, unnest(range(1, len(ws))) AS u(i) GROUP BY ALL) SELECT * FROM (SELECT doc_id, phrase, uses, row_number() OVER (PARTITION BY doc_id ORDER BY uses DESC, phrase)::INTEGER AS rank FROM g) WHERE rank <= 10",
