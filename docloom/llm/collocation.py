@@ -1,7 +1,8 @@
 """Phrase collocations: counts of all frequent word sequences, and those whose parts meet far more often than by chance.
 
 Texts are read three times: for words, for pairs and for three to five words.  Each block of
-texts sorts its phrases and builds count automata of them (``transducer``), one for each prefix range.
+texts sorts its phrases and builds count automata of them (``transducer``), one for each prefix
+range; those of the blocks of a task are joined as they come.
 The automata of a range meet in one task, which sums up their weights.  A phrase can only be
 as frequent as what it is made of, so sequences with a rare word or pair are left out early;
 that filter has a fixed greatest size and lets some rare ones through, which the sums then
@@ -29,6 +30,8 @@ LONGEST = 5
 BLOCK = 4 << 20
 #: Occurrences in the prefix range of one group, and prefix ranges at most; above that, ranges are cut by the second word.
 SHARE, MOST_RANGES = 1 << 21, 1 << 16
+#: Phrases that a task holds before it sends on their automata.
+HELD = 1 << 20
 #: Bits of the filter of frequent phrases for each of these, and at most (16 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 27
 _BLANK, _CUT = np.zeros(256, bool), np.zeros(256, bool)
@@ -98,6 +101,8 @@ class Block:
         for k in range(2, width + 1):
             # k words from i on: k - 1 from i on, joined to what the filter holds up to there
             last = k - frequent.words
+            if n <= last:
+                break
             if last > 0:
                 alive[: n - 1] &= self.joined[: n - 1]
                 alive[: n - last] &= ok[last:] & (self.joined[k - 2 : n - last + k - 2] if frequent.words == 1 else True)
@@ -245,15 +250,29 @@ def _shards(docs: DataFrame, frequent: Filter, sizes: tuple[int, int], ranges: R
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, ranges = held.value
+        waiting: dict[tuple[str, int, int], list[Transducer]] = {}
+        size = 0
         for b in slices(batches, "text", rows=1 << 16, size=BLOCK):
             own = Block(b)
-            parts = [p for lang, rows, counts in own.phrases(frequent, sizes) for p in _by_range(lang, own.labels, rows, counts, ranges)]
-            for i in range(0, len(parts), 64):
-                yield _rows(parts[i : i + 64])
+            for lang, rows, counts in own.phrases(frequent, sizes):
+                for *key, part in _by_range(lang, own.labels, rows, counts, ranges):
+                    waiting.setdefault(tuple(key), []).append(part)
+                    size += len(part.weights)
+            if size > HELD:
+                yield from _united(waiting)
+                waiting, size = {}, 0
+        yield from _united(waiting)
 
     return docs.mapInArrow(count, _SHARDS)
 
 
+def _united(waiting: dict[tuple[str, int, int], list[Transducer]]) -> Iterator[pa.RecordBatch]:
+    """What the blocks of a task have counted so far, one automaton for each range and slice."""
+    for key in list(waiting):
+        parts = waiting.pop(key)
+        yield _rows([(*key, parts[0] if len(parts) == 1 else transducer.union(parts))])
+
+
 def _unite(shards: DataFrame, least: int) -> DataFrame:
     """One automaton for each range and slice, with the sums of all shards, without phrases below ``least``."""
 
@@ -262,10 +281,11 @@ def _unite(shards: DataFrame, least: int) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 waiting += transducer.read(b.slice(i, 1))
-                # shards are few at a time in memory as phrases; what is rare so far may become frequent, so nothing is dropped yet
-                if sum(len(t.weights) for t in waiting) > 1 << 20:
+                # a few shards at a time are spelled out; what is rare so far may become frequent, so nothing is dropped yet
+                if sum(len(t.weights) for t in waiting) > max(HELD // 2, len(whole.weights) if whole else 0):
                     whole = transducer.union([*([whole] if whole else []), *waiting])
                     waiting = []
+                    pa.default_memory_pool().release_unused()
         whole = transducer.union([*([whole] if whole else []), *waiting], least)
         yield _rows([(key[0].as_py(), key[1].as_py(), key[2].as_py(), whole)])
 
