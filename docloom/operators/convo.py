@@ -35,16 +35,31 @@ def with_status(turns: DataFrame, is_error: Column) -> DataFrame:
     return before_first(turns, is_error, inclusive=True).withColumn("status", F.when(is_error, "error").otherwise("ok"))
 
 
-def context(turns: DataFrame, history: int | None = None) -> DataFrame:
-    """What each user turn sees of earlier turns: their number, their characters and their texts.
+#: Characters of earlier turns that a turn sees, if nothing else is said.
+BUDGET = 30_000
 
-    ``history`` bounds the number of turns; None takes the whole conversation.
+
+def context(turns: DataFrame, history: int | None = None, budget: int | None = BUDGET) -> DataFrame:
+    """What each user turn sees of earlier turns: their number, their characters and their texts (``role: text``, one a line).
+
+    It sees the latest turns that, written out, fit into ``budget`` characters together with those
+    after them, and ``history`` turns at most; None sets no bound, and without a budget the
+    texts of a conversation grow with the square of its turns.  Null texts and roles are empty.
     """
     order = Window.partitionBy("conv_id").orderBy("turn")
-    seen = order.rowsBetween(Window.unboundedPreceding if history is None else -history, -1)
-    text = F.array_join(F.collect_list(F.concat_ws(": ", "role", "text")).over(seen), "\n")
-    rows = turns.select("conv_id", "turn", "role", F.count("*").over(seen).alias("n_before"), F.coalesce(F.sum(F.length("text")).over(seen), F.lit(0)).alias("chars_before"), text.alias("context"))
-    return rows.where("role = 'user'").drop("role")
+    said = F.concat_ws(": ", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    # where each turn begins in the conversation written out; every turn takes a character at least
+    begin = F.coalesce(F.sum(F.length("_said") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("_text"), said.alias("_said")).withColumns({"_begin": begin, "_number": F.row_number().over(order)})
+    if history is None:
+        by, low = "_begin", Window.unboundedPreceding if budget is None else -budget
+        seen = Window.partitionBy("conv_id").orderBy(by).rangeBetween(low, -1)
+    else:
+        seen = Window.partitionBy("conv_id").orderBy("_number").rowsBetween(-history, -1)
+    items = F.collect_list(F.struct(F.col("_begin").alias("b"), F.length("_text").alias("n"), F.col("_said").alias("s"))).over(seen)
+    rows = rows.withColumn("_items", items if history is None or budget is None else F.filter(items, lambda x: F.col("_begin") - x["b"] <= budget))
+    told = rows.where("role = 'user'")
+    return told.select("conv_id", "turn", F.size("_items").cast("long").alias("n_before"), F.aggregate("_items", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("chars_before"), F.array_join(F.transform("_items", lambda x: x["s"]), "\n").alias("context"))
 
 
 def pairs(turns: DataFrame) -> DataFrame:

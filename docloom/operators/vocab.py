@@ -13,25 +13,46 @@ SENTENCE = r"(?<=[.!?])\s+"
 WORDS = r"[^\p{L}]+"
 
 
-def segments(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Sentences of each text with their number; joined they are the text but for white space."""
+def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Sentences of each text with their number, without the white space between them; a null text has none."""
     return docs.select(key, F.posexplode(F.split(text, SENTENCE)).alias("seg_no", "segment"))
 
 
+def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 1000) -> DataFrame:
+    """Each text cut between sentences into segments of up to ``most`` characters; joined, they are the text.
+
+    A segment takes as many sentences as fit.  White space after a sentence begins the
+    next one; a sentence longer than ``most`` is a segment by itself.  An empty text has one
+    empty segment, a null text none.
+    """
+    lengths = F.transform(F.split(text, r"(?<=[.!?])(?=\s)"), lambda s: F.length(s))
+    none = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("begin"), F.lit(0).alias("end"))
+
+    def fold(held: Column, n: Column) -> Column:
+        full = (held["end"] + n - held["begin"] > most) & (held["end"] > held["begin"])
+        return F.struct(F.when(full, F.concat(held["starts"], F.array(held["end"]))).otherwise(held["starts"]).alias("starts"), F.when(full, held["end"]).otherwise(held["begin"]).alias("begin"), (held["end"] + n).alias("end"))
+
+    starts = F.aggregate(lengths, none, fold, lambda held: held["starts"])
+    rows = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text"), starts.alias("_starts"))
+    cuts = rows.select(key, "_text", "_starts", F.posexplode("_starts").alias("seg_no", "_at"))
+    stop = F.coalesce(F.get("_starts", F.col("seg_no") + 1), F.length("_text"))
+    return cuts.select(key, "seg_no", F.substring("_text", F.col("_at") + 1, stop - F.col("_at")).alias("segment"))
+
+
 def vocabulary(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 15, shortest: int = 4) -> DataFrame:
     """The ``k`` words of each document with the highest tf-idf (rounded to 6 places, ties by word) and the first sentence with each.
 
     Counts run over all documents; each is a grouped aggregate that sums up before its shuffle.
     """
-    sentences = segments(docs, key, text)
-    words = sentences.select(key, "seg_no", F.explode(F.split(F.lower("segment"), WORDS)).alias("word")).where(F.length("word") >= shortest)
+    parts = sentences(docs, key, text)
+    words = parts.select(key, "seg_no", F.explode(F.split(F.lower("segment"), WORDS)).alias("word")).where(F.length("word") >= shortest)
     tf = words.groupBy(key, "word").agg(F.count("*").alias("tf"), F.min("seg_no").alias("seg_no"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
     scored = tf.join(df, "word").crossJoin(F.broadcast(n))  # one row: a total
     scored = scored.withColumn("score", F.round(F.col("tf") * F.log(1 + F.col("n") / F.col("df")), 6))
     best = top_k(scored.select(key, "word", "score", "seg_no"), [key], [F.desc("score"), F.asc("word")], k)
-    return best.join(sentences, [key, "seg_no"]).select(key, "word", "score", "rank", F.col("segment").alias("context"))
+    return best.join(parts, [key, "seg_no"]).select(key, "word", "score", "rank", F.col("segment").alias("context"))
 
 
 def phrases(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 2, k: int = 10) -> DataFrame:

@@ -9,7 +9,7 @@ from docloom.functions import text
 from docloom.operators import index
 from docloom.plans import logs, pages
 from docloom.plans.support import Query, table
-from docloom.sources import io
+from docloom.sources import io, snapshots
 from docloom.streaming import streams
 
 
@@ -51,20 +51,27 @@ def src3_texts(spark: SparkSession, sf_dir: str, file_rows: int = 2000) -> DataF
 
 
 def src4_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index as JSON, written as a new snapshot and read by the tolerant reader."""
+    """Index files by year, read whole: an indented array, a record a line, or a broken array; dateless and odd records go to quarantine."""
     entries = index.upsert(logs.entry_log(spark, sf_dir), "d", "k", "entry")
-    rows = entries.select(F.col("d").alias("date"), F.concat(F.lit("AI 日报 "), F.col("entry")).alias("title"), F.array(F.lit("a"), F.col("d")).alias("tags"))
-    good, _ = io.read_index(spark, io.write_snapshot(rows, io.work_path(spark, "index"), 1))
-    return good.select("date", "title", F.array_join("tags", ",").alias("tags"))
+    year = F.substring("d", 1, 4)
+    rows = entries.select(year.alias("year"), F.struct(F.when(F.substring("d", 9, 2) != "13", F.col("d")).alias("date"), F.concat(F.lit("AI 日报 "), F.col("entry")).alias("title"), F.array(F.lit("标签"), F.col("d")).alias("tags")).alias("e"), "d")
+    items = rows.groupBy("year").agg(F.array_sort(F.collect_list(F.struct("d", F.to_json("e").alias("j")))).getField("j").alias("j"))
+    indented = F.concat(F.lit("[\n    "), F.array_join(F.transform("j", lambda x: F.replace(F.replace(x, F.lit(","), F.lit(",\n        ")), F.lit("{"), F.lit("{\n        "))), ",\n    "), F.lit("\n]"))
+    body = F.when(F.col("year") % 3 == 0, indented).when(F.col("year") % 3 == 1, F.concat(F.array_join("j", "\n"), F.lit("\n7\n{broken\n"))).otherwise(F.concat(F.lit("["), F.array_join("j", ", "), F.lit(", ")))
+    path = io.work_path(spark, "index")
+    items.select("year", body.alias("value")).repartition("year").write.partitionBy("year").text(path)
+    good, bad = io.read_index(spark, path)
+    kept = good.select("date", "title", F.array_join("tags", ",").alias("tags"), F.lit(None).cast("string").alias("reason"), F.lit(1).cast("long").alias("n"))
+    return kept.unionByName(bad.groupBy("reason").agg(F.count("*").alias("n")), allowMissingColumns=True)
 
 
 def snk2_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two versions of the index, each written whole beside the other; the reader takes the second."""
+    """Two versions of the index, each written whole as JSON; the reader takes the one of the last manifest."""
     entries = index.upsert(logs.entry_log(spark, sf_dir), "d", "k", "entry").select(F.col("d").alias("date"), F.concat(F.lit("AI 日报 "), F.col("entry")).alias("title"), F.array(F.lit("标签")).alias("tags"))
     root = io.work_path(spark, "snapshots")
-    io.write_snapshot(entries.where("date < '1995-01-01'"), root, 1)
-    good, _ = io.read_index(spark, io.write_snapshot(entries, root, 2))
-    return good.select("date", "title", F.array_join("tags", ",").alias("tags"))
+    snapshots.replace(entries.where("date < '1995-01-01'"), root)
+    snapshots.replace(entries, root)
+    return snapshots.read(spark, root).select("date", "title", F.array_join("tags", ",").alias("tags"))
 
 
 def snk1_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +114,11 @@ ORACLES = {
     "str3_pages": pages._PREPARED + "SELECT page_id, substring(c, 1, 30000) AS body FROM z",
     "str4_status": "SELECT user_id AS op_id, CASE WHEN arg_max(event_type, (ts, event_id)) = 'purchase' THEN 'done' ELSE 'pending' END AS status FROM events GROUP BY user_id",
     "src3_texts": "SELECT sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(length(text) + 1)::BIGINT AS chars FROM documents GROUP BY source",
-    "src4_index": logs._INDEX + "SELECT d AS date, 'AI 日报 ' || entry AS title, 'a,' || d AS tags FROM x",
+    "src4_index": logs._INDEX + """, y AS (SELECT d, entry, substr(d, 1, 4)::INTEGER AS y, substr(d, 9, 2) = '13' AS dateless FROM x)
+ SELECT d AS date, 'AI 日报 ' || entry AS title, '标签,' || d AS tags, NULL AS reason, 1::BIGINT AS n FROM y WHERE NOT dateless AND y % 3 < 2
+ UNION ALL SELECT NULL, NULL, NULL, 'no date', count(*) FROM y WHERE dateless AND y % 3 < 2 HAVING count(*) > 0
+ UNION ALL SELECT NULL, NULL, NULL, 'not an object', count(DISTINCT y) FROM y WHERE y % 3 = 1 HAVING count(*) > 0
+ UNION ALL SELECT NULL, NULL, NULL, 'malformed', count(DISTINCT y) FROM y WHERE y % 3 > 0 HAVING count(*) > 0""",
     "snk2_snapshot": logs._INDEX + "SELECT d AS date, 'AI 日报 ' || entry AS title, '标签' AS tags FROM x",
     "snk1_reports": "SELECT CASE WHEN month(o_orderdate) <= 6 THEN 'second' ELSE 'first' END AS body, count(*) AS orders, strftime(o_orderdate, '%Y-%m') AS report_date FROM orders GROUP BY ALL",
     "snk3_append": "SELECT doc_id, text AS summary, '2024-01-31 10-00-00' AS run_ts FROM documents UNION ALL SELECT doc_id, text, '2024-02-01 10-00-00' FROM documents WHERE doc_id % 2 = 0",

@@ -52,7 +52,7 @@ def annotated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voc1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.segments(table(spark, sf_dir, "documents"))
+    return vocab.segments(table(spark, sf_dir, "documents"), most=500)
 
 
 def voc2_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,10 @@ def aud4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (src7_models, voc1_segments, voc2_annotations, voc3_records, voc4_phrases, voc5_words, voc6_phrases, voc7_fidelity, inf1_requests, inf2_complete, inf3_chain, aud1_capability, aud2_outcome, aud3_report, aud4_classes)}
 _W4 = r"WITH x AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: w <> '')) AS ws FROM documents), v AS (SELECT doc_id, w FROM x, unnest(ws) AS u(w)) "
 _SPLIT = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: w <> '')"
-_SEG = r"WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents), g AS (SELECT doc_id, (i - 1)::INTEGER AS seg_no, p[i] AS segment FROM s, unnest(range(1, len(p) + 1)) AS u(i)) "
+_SEG = r"""WITH RECURSIVE p AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?])([ \t\n\r\f\v])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ps FROM documents),
+ s AS MATERIALIZED (SELECT doc_id, sum(length(ps[i])) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS e FROM p, unnest(range(1, len(ps) + 1)) AS u(i)),
+ r(doc_id, seg_no, b, e) AS (SELECT doc_id, 0, 0::BIGINT, coalesce(max(e) FILTER (WHERE e <= 500), min(e)) FROM s GROUP BY doc_id UNION ALL SELECT s.doc_id, r.seg_no + 1, r.e, coalesce(max(s.e) FILTER (WHERE s.e - r.e <= 500), min(s.e)) FROM r JOIN s ON s.doc_id = r.doc_id AND s.e > r.e GROUP BY s.doc_id, r.seg_no, r.e),
+ g AS (SELECT doc_id, seg_no, substring(text, (b + 1)::BIGINT, (r.e - b)::BIGINT) AS segment FROM r JOIN p USING (doc_id)) """
 _MODELS = "WITH m AS (SELECT 'models/' || (['flash', 'vision', 'embedding', 'aqa', 'pro'])[(p_partkey % 5 + 1)::INTEGER] || '-' || p_partkey AS name, CASE WHEN p_size % 3 = 0 THEN 'embedContent' ELSE 'generateContent,countTokens' END AS actions FROM part) "
 _OUTCOME = "WITH o AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN 'usable' WHEN event_id % 4 IN (0, 1) THEN 'no_quota' WHEN event_id % 4 = 2 THEN 'no_permission' ELSE 'failed' END AS outcome FROM events) "
 _REQUEST = """'[{{"role":"user","content":' || to_json(text) || '}}]' AS messages, {model} AS model, {t}::DOUBLE AS temperature, {j} AS json_mode, '{s}' AS status FROM documents WHERE {where}"""

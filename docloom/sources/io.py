@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from docloom.functions.text import strip
+
 INDEX = StructType([StructField("date", StringType()), StructField("title", StringType()), StructField("tags", ArrayType(StringType()))])
 
 
@@ -33,12 +35,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def latest(spark: SparkSession, folder: str) -> int | None:
-    """The greatest number that names a folder in ``folder``; None if there is none."""
+def latest(spark: SparkSession, folder: str, suffix: str = "") -> int | None:
+    """The greatest number that names an entry of ``folder``, before ``suffix``; None if there is none."""
     if not exists(spark, folder):
         return None
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    names = [s.getPath().getName() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
+    names = [s.getPath().getName().removesuffix(suffix) for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
     return max((int(n) for n in names if n.isdigit()), default=None)
 
 
@@ -56,15 +58,31 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entries, quarantine) of a JSON index; absent and empty files have no entry, corrupt records go to quarantine."""
-    schema = StructType([*INDEX.fields, StructField("_corrupt", StringType())])
+    """(entries, quarantine) of a JSON index; every record is in one of them, those of the quarantine with ``record`` and ``reason``.
+
+    A file holds one array of records, one record, or a record a line, however it is
+    indented.  Reasons: ``malformed`` (a file that begins as an array or a record and does not end as one, or
+    a line that is no JSON; an array beyond the size of a VARIANT too), ``not an object``, ``no date``.  Absent and
+    empty files have no entry.
+    """
     if not exists(spark, path):
-        empty = spark.createDataFrame([], schema)
-        return empty.drop("_corrupt"), empty.select("_corrupt")
-    # parsed from lines and not by the JSON reader, which allows no query of corrupt records alone
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    rows = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
-    return rows.where("_corrupt IS NULL AND date IS NOT NULL").drop("_corrupt"), rows.where("_corrupt IS NOT NULL").select("_corrupt")
+        return spark.createDataFrame([], INDEX), spark.createDataFrame([], "record string, reason string")
+    files = spark.read.text(path, wholetext=True).select(strip(F.regexp_replace("value", "^\ufeff", "")).alias("text")).where("text <> ''")
+    # the parser stops behind a first value, so what a file is shows in its ends: an array, lines, or one record over many lines
+    array, first = F.col("text").startswith("["), strip(F.element_at(F.split("text", r"\r?\n"), 1))
+    by_line = ~array & (F.try_parse_json(first).isNotNull() | ~F.col("text").startswith("{"))
+    ends = F.when(array, F.col("text").endswith("]")).otherwise(F.col("text").endswith("}"))
+    files = files.withColumn("by_line", by_line).withColumn("v", F.when(~F.col("by_line") & ends, F.try_parse_json("text")))
+    lines = files.where("by_line").select(F.explode(F.split("text", r"\r?\n")).alias("record")).where(strip(F.col("record")) != "").select("record", F.try_parse_json("record").alias("v"))
+    listed = F.schema_of_variant("v").startswith("ARRAY")
+    items = spark.sql("SELECT to_json(e.value) AS record, e.value AS v FROM {arrays}, LATERAL variant_explode(v) AS e", arrays=files.where(~F.col("by_line") & listed))
+    rest = files.where(~F.col("by_line") & ~F.coalesce(listed, F.lit(False))).select(F.col("text").alias("record"), "v")
+    get = lambda p, t: F.try_variant_get("v", p, t)
+    rows = lines.unionByName(items).unionByName(rest)
+    kind = F.schema_of_variant("v")
+    reason = F.when(F.col("v").isNull(), "malformed").when(~kind.startswith("OBJECT"), "not an object").when(F.coalesce(get("$.date", "string"), F.lit("")) == "", "no date")
+    rows = rows.select("record", reason.alias("reason"), F.when(kind.startswith("OBJECT"), F.struct(get("$.date", "string").alias("date"), get("$.title", "string").alias("title"), get("$.tags", "array<string>").alias("tags"))).alias("e"))
+    return rows.where("reason IS NULL").select("e.*"), rows.where("reason IS NOT NULL").select("record", "reason")
 
 
 def write_by_date(df: DataFrame, path: str, date: str = "report_date") -> None:
@@ -72,13 +90,6 @@ def write_by_date(df: DataFrame, path: str, date: str = "report_date") -> None:
     df.repartition(F.col(date)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
 
 
-def write_snapshot(df: DataFrame, root: str, version: int) -> str:
-    """A whole new version beside the old ones; readers switch to its path when it is complete."""
-    path = f"{root}/version={version}"
-    df.write.mode("overwrite").json(path)
-    return path
-
-
 def append_run(df: DataFrame, path: str, run_ts: str) -> None:
     df.withColumn("run_ts", F.lit(run_ts)).write.mode("append").partitionBy("run_ts").parquet(path)
 

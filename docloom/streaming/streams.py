@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from docloom.functions import text
 from docloom.operators import index
-from docloom.sources import io
+from docloom.sources import io, snapshots
 
 #: Seconds after which an unfinished request is given up.
 REQUEST_TIMEOUT = 1200
@@ -28,77 +29,144 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def index_stream(log: DataFrame, out: str, *, key: str = "d", seq: str = "k", value: str = "entry") -> DataFrame:
-    """The keyed index of an endless log: each batch merges into a new version of the snapshot.
+def index_stream(log: DataFrame, out: str, *, key: str = "d", seq: str = "k", value: str = "entry", buckets: int = 64) -> DataFrame:
+    """The keyed index of an endless log, as a versioned table: a batch rewrites the buckets of its keys and no others.
 
-    A version is written under its batch's number, so a repeated batch writes the same again.
-    Returns the last version after all data now available.
+    What a batch writes follows the batch and the buckets it meets, not the index; a
+    repeated batch changes nothing, and one without data makes no version.  Returns the
+    present version after all data now available.
     """
     spark = log.sparkSession
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
+    def combine(old: DataFrame | None, batch: DataFrame) -> DataFrame:
         new = index.upsert(batch, key, seq, value)
-        if batch_id:
-            new = index.merge(spark.read.parquet(f"{out}/snapshots/{batch_id - 1}"), new, key, value)
-        new.write.mode("overwrite").parquet(f"{out}/snapshots/{batch_id}")
+        return new if old is None else index.merge(old, new, key, value)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        snapshots.change(batch, f"{out}/index", [key], combine, batch_id=batch_id, buckets=buckets)
 
     log.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    # a run without new data leaves the version of an earlier one, or none
-    last = io.latest(spark, f"{out}/snapshots")
     kinds = {f.name: f.dataType.simpleString() for f in log.schema}
-    empty = f"{key} {kinds[key]}, {value} {kinds[value]}, first_seen {kinds[seq]}, last_seen {kinds[seq]}"
-    return spark.createDataFrame([], empty) if last is None else spark.read.parquet(f"{out}/snapshots/{last}")
-
-
-def _assemble(key: tuple, frames: Iterator[pd.DataFrame], state, timed: bool) -> Iterator[pd.DataFrame]:
-    """Keep the joined text and what came too early; chunks after an error count no more."""
-    if state.hasTimedOut:
-        (held,) = state.get
-        s = json.loads(held)
-        state.remove()
-        yield pd.DataFrame([(*key, s["text"], True, s["n"], True)], columns=["conv_id", "turn", "text", "failed", "n_chunks", "given_up"])
-        return
-    s = json.loads(state.get[0]) if state.exists else {"text": "", "next": 0, "n": 0, "early": {}, "error": None}
-    for frame in frames:
-        for r in frame.itertuples(index=False):
-            s["early"][str(int(r.seq))] = [r.text if isinstance(r.text, str) else "", r.error if isinstance(r.error, str) else None]
-    while s["error"] is None and str(s["next"]) in s["early"]:
-        piece, error = s["early"].pop(str(s["next"]))
-        s["next"] += 1
-        if error is not None:
-            s["error"] = error
-        elif piece:
-            s["text"] += piece
-            s["n"] += 1
-    state.update((json.dumps(s),))
-    if timed:
-        state.setTimeoutDuration(REQUEST_TIMEOUT * 1000)
-    shown = f"request failed: {s['error']}" if s["error"] is not None and not s["text"] else s["text"]
-    yield pd.DataFrame([(*key, shown, s["error"] is not None, s["n"], False)], columns=["conv_id", "turn", "text", "failed", "n_chunks", "given_up"])
-
-
-def assembled(chunks: DataFrame, *, timed: bool) -> DataFrame:
+    found = snapshots.read(spark, f"{out}/index")
+    return spark.createDataFrame([], f"{key} {kinds[key]}, {value} {kinds[value]}, first_seen {kinds[seq]}, last_seen {kinds[seq]}") if found is None else found
+
+
+def _newest(keys: list[str]):
+    """The rows of a batch in place of those with the same keys."""
+
+    def combine(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        if old is None:
+            return batch
+        same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+        cond = same[0]
+        for c in same[1:]:
+            cond = cond & c
+        return old.alias("o").join(batch.select(*keys).alias("n"), cond, "left_anti").unionByName(batch)
+
+    return combine
+
+
+def latest_state(rows: DataFrame, out: str, keys: list[str], schema: str, mode: str = "update") -> DataFrame:
+    """The last row that a stream has given for each of its keys, kept in a versioned table under ``out``; what is outdated goes with later batches."""
+    spark = rows.sparkSession
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch = io.stored(batch, "batch")  # its state is read once, however often the batch is
+        snapshots.change(batch, f"{out}/state", keys, _newest(keys), batch_id=batch_id)
+
+    rows.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = snapshots.read(spark, f"{out}/state")
+    return spark.createDataFrame([], schema) if found is None else found
+
+
+class Assembly(StatefulProcessor):
+    """The chunks of one request: a number that is due, those that came too early, and what has been told of it.
+
+    A chunk costs one entry of state, whatever has come before: pieces stand in a list
+    in their order, and early ones in a map by number until their turn.  A chunk that came
+    already or comes after an error counts no more.  With ``timed`` a request without news for ``seconds`` is given up;
+    what comes later then begins a new one.
+    """
+
+    def __init__(self, timed: bool = False, seconds: int = REQUEST_TIMEOUT) -> None:
+        self.timed, self.wait = timed, seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", "due long, n long, error string, waiting long, deadline long")
+        self.early = handle.getMapState("early", "seq long", "text string, error string")
+        self.pieces = handle.getListState("pieces", "text string")
+
+    def _shown(self, key: tuple, n: int, error: str | None, given_up: bool) -> Iterator[pd.DataFrame]:
+        text = "".join(p[0] for p in self.pieces.get()) if self.pieces.exists() else ""
+        shown = f"request failed: {error}" if error is not None and not text else text
+        yield pd.DataFrame([(*key, shown, error is not None or given_up, n, given_up)], columns=["conv_id", "turn", "text", "failed", "n_chunks", "given_up"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        due, n, error, waiting, deadline = self.head.get() if self.head.exists() else (0, 0, None, 0, None)
+        fresh: list[tuple[str]] = []
+
+        def take(piece: str | None, failure: str | None) -> None:
+            nonlocal due, n, error
+            due, error = due + 1, failure if isinstance(failure, str) else None
+            if error is None and isinstance(piece, str) and piece:
+                fresh.append((piece,))
+                n += 1
+
+        for frame in rows:
+            for r in frame.sort_values("seq", kind="stable").itertuples(index=False):
+                seq = int(r.seq)
+                if error is not None or seq < due:
+                    continue
+                if seq > due:
+                    waiting += not self.early.containsKey((seq,))
+                    self.early.updateValue((seq,), (r.text if isinstance(r.text, str) else None, r.error if isinstance(r.error, str) else None))
+                    continue
+                take(r.text, r.error)
+                while error is None and waiting and self.early.containsKey((due,)):
+                    held = self.early.getValue((due,))
+                    self.early.removeKey((due,))
+                    waiting -= 1
+                    take(*held)
+        if fresh:
+            self.pieces.appendList(fresh)
+        if error is not None and waiting:
+            self.early.clear()
+            waiting = 0
+        if self.timed:
+            if deadline is not None:
+                self.handle.deleteTimer(deadline)
+            deadline = timerValues.getCurrentProcessingTimeInMs() + self.wait
+            self.handle.registerTimer(deadline)
+        self.head.update((due, n, error, waiting, deadline))
+        yield from self._shown(key, n, error, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.head.exists():
+            _, n, error, _, deadline = self.head.get()
+            if deadline == expiredTimerInfo.getExpiryTimeInMs():
+                yield from self._shown(key, n, error, True)
+                self.head.clear()
+                self.early.clear()
+                self.pieces.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def assembled(chunks: DataFrame, *, timed: bool, seconds: int = REQUEST_TIMEOUT) -> DataFrame:
     """Updates of each request as its chunks (conv_id, turn, seq, text, error) come, in whatever order.
 
-    With ``timed`` a request without news for REQUEST_TIMEOUT seconds is given up; this
-    is for streams that keep running, as waiting for a timeout keeps a stream alive.
+    With ``timed`` a request without news for ``seconds`` is given up; this is for streams
+    that keep running, as waiting for a timeout keeps a stream alive.  State lies in RocksDB.
     """
-    step = lambda key, frames, state: _assemble(key, frames, state, timed)
-    return chunks.groupBy("conv_id", "turn").applyInPandasWithState(step, SHOWN, "held string", "update", "ProcessingTimeTimeout" if timed else "NoTimeout")
+    chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return chunks.groupBy("conv_id", "turn").transformWithStateInPandas(Assembly(timed, seconds), SHOWN, "Update", "ProcessingTime" if timed else "None")
 
 
 def chunk_stream(chunks: DataFrame, out: str) -> DataFrame:
     """The requests as far as all chunks now available bring them."""
-    spark = chunks.sparkSession
-    rows = assembled(chunks, timed=False)
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/updates/{batch_id}")
-
-    rows.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    schema = f"{SHOWN}, batch long"
-    updates = spark.read.schema(schema).parquet(f"{out}/updates/*") if io.exists(spark, f"{out}/updates") else spark.createDataFrame([], schema)
-    return updates.groupBy("conv_id", "turn").agg(F.max_by(F.struct("text", "failed", "n_chunks"), "batch").alias("s")).select("conv_id", "turn", "s.*")
+    return latest_state(assembled(chunks, timed=False), out, ["conv_id", "turn"], SHOWN).select("conv_id", "turn", "text", "failed", "n_chunks")
 
 
 def page_stream(pages: DataFrame, out: str) -> DataFrame:
@@ -111,14 +179,6 @@ def page_stream(pages: DataFrame, out: str) -> DataFrame:
 
 def status_stream(operations: DataFrame, out: str) -> DataFrame:
     """The latest status of each operation (op_id, ts, seq, done); one not done is pending."""
-    spark = operations.sparkSession
-    latest = operations.groupBy("op_id").agg(F.max_by("done", F.struct("ts", "seq")).alias("done"), F.max("ts").alias("ts"))
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/updates/{batch_id}")
-
-    latest.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    schema = f"op_id {latest.schema['op_id'].dataType.simpleString()}, done boolean, ts {latest.schema['ts'].dataType.simpleString()}, batch long"
-    updates = spark.read.schema(schema).parquet(f"{out}/updates/*") if io.exists(spark, f"{out}/updates") else spark.createDataFrame([], schema)
-    rows = updates.groupBy("op_id").agg(F.max_by("done", "batch").alias("done"))
+    latest = operations.groupBy("op_id").agg(F.max_by("done", F.struct("ts", "seq")).alias("done"))
+    rows = latest_state(latest, out, ["op_id"], f"op_id {latest.schema['op_id'].dataType.simpleString()}, done boolean")
     return rows.select("op_id", F.when(F.col("done"), "done").otherwise("pending").alias("status"))
