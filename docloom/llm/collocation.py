@@ -208,8 +208,8 @@ def _ranges(words: DataFrame, total: int) -> Ranges:
     return Ranges([(r.lang, r.phrase) for r in rows], [max(1, -(-r.f // SHARE)) for r in rows])
 
 
-def _by_range(lang: str, labels: pa.StringArray, rows: np.ndarray, counts: np.ndarray, ranges: Ranges) -> Iterator[tuple[str, int, int, Transducer]]:
-    """Automata of sorted phrases, one for each prefix range and slice."""
+def _cut(lang: str, labels: pa.StringArray, rows: np.ndarray, counts: np.ndarray, ranges: Ranges) -> Iterator[tuple[tuple[str, int, int], tuple]]:
+    """Sorted phrases by prefix range and slice: the key and (labels, rows, counts), still sorted."""
     heads = np.unique(rows[:, 0])
     at, cuts = ranges.of(lang, labels.take(pa.array(heads)).to_pylist())
     place = np.searchsorted(heads, rows[:, 0])
@@ -224,7 +224,13 @@ def _by_range(lang: str, labels: pa.StringArray, rows: np.ndarray, counts: np.nd
     new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
     for a, b in zip(new, [*new[1:], len(rows)], strict=True):
         part = order[a:b]  # stable, so the rows stay sorted
-        yield lang, int(keys[a, 0]), int(keys[a, 1]), transducer.build(labels, rows[part], counts[part])
+        yield (lang, int(keys[a, 0]), int(keys[a, 1])), (*transducer.trimmed(labels, rows[part]), counts[part])
+
+
+def _by_range(lang: str, labels: pa.StringArray, rows: np.ndarray, counts: np.ndarray, ranges: Ranges) -> Iterator[tuple[str, int, int, Transducer]]:
+    """Automata of sorted phrases, one for each prefix range and slice."""
+    for key, piece in _cut(lang, labels, rows, counts, ranges):
+        yield *key, transducer.build(*piece)
 
 
 def _rows(parts: list[tuple[str, int, int, Transducer]]) -> pa.RecordBatch:
@@ -250,14 +256,14 @@ def _shards(docs: DataFrame, frequent: Filter, sizes: tuple[int, int], ranges: R
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, ranges = held.value
-        waiting: dict[tuple[str, int, int], list[Transducer]] = {}
+        waiting: dict[tuple[str, int, int], list[tuple]] = {}
         size = 0
         for b in slices(batches, "text", rows=1 << 16, size=BLOCK):
             own = Block(b)
             for lang, rows, counts in own.phrases(frequent, sizes):
-                for *key, part in _by_range(lang, own.labels, rows, counts, ranges):
-                    waiting.setdefault(tuple(key), []).append(part)
-                    size += len(part.weights)
+                for key, piece in _cut(lang, own.labels, rows, counts, ranges):
+                    waiting.setdefault(key, []).append(piece)
+                    size += len(piece[2])
             if size > HELD:
                 yield from _united(waiting)
                 waiting, size = {}, 0
@@ -266,11 +272,10 @@ def _shards(docs: DataFrame, frequent: Filter, sizes: tuple[int, int], ranges: R
     return docs.mapInArrow(count, _SHARDS)
 
 
-def _united(waiting: dict[tuple[str, int, int], list[Transducer]]) -> Iterator[pa.RecordBatch]:
+def _united(waiting: dict[tuple[str, int, int], list[tuple]]) -> Iterator[pa.RecordBatch]:
     """What the blocks of a task have counted so far, one automaton for each range and slice."""
     for key in list(waiting):
-        parts = waiting.pop(key)
-        yield _rows([(*key, parts[0] if len(parts) == 1 else transducer.union(parts))])
+        yield _rows([(*key, transducer.add_up(waiting.pop(key)))])
 
 
 def _unite(shards: DataFrame, least: int) -> DataFrame:

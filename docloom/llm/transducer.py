@@ -89,10 +89,7 @@ def build(labels: pa.StringArray, rows: np.ndarray, weights: np.ndarray) -> Tran
     of (accepting, arcs), in which equal ones meet.
     """
     n, width = rows.shape
-    used = np.unique(rows[rows >= 0])
-    if len(used) < len(labels):
-        labels = labels.take(pa.array(used))
-        rows = np.where(rows >= 0, np.searchsorted(used, rows), -1).astype(np.int32)
+    labels, rows = trimmed(labels, rows)
     sizes = (rows >= 0).sum(1)
     fresh = np.ones((n, width + 1), bool)  # row i is the first of its prefix of d words
     fresh[1:, 0] = False
@@ -144,6 +141,18 @@ def build(labels: pa.StringArray, rows: np.ndarray, weights: np.ndarray) -> Tran
     return Transducer(labels, np.concatenate(first), np.concatenate([*arc_label, empty]), np.concatenate([*arc_target, empty.astype(np.int64)]), np.array(accept), np.asarray(weights, np.int64))
 
 
+def trimmed(labels: pa.StringArray, rows: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+    """Only the labels that ``rows`` mention, and the rows with their new numbers."""
+    there = np.zeros(len(labels) + 1, bool)
+    there[rows] = True  # -1 is the last place
+    there[-1] = False
+    if there[:-1].all():
+        return labels, rows
+    number = (np.cumsum(there) - 1).astype(np.int32)
+    number[-1] = -1
+    return labels.take(pa.array(np.flatnonzero(there))), number[rows]
+
+
 def read(batch: pa.RecordBatch | pa.Table) -> list[Transducer]:
     """The automata of the rows of Arrow data."""
     out = []
@@ -156,21 +165,19 @@ def read(batch: pa.RecordBatch | pa.Table) -> list[Transducer]:
 
 def union(parts: list[Transducer], least: int = 0) -> Transducer:
     """All phrases of ``parts`` with their weights summed up; those of a sum below ``least`` go."""
-    table = pa.chunked_array([p.labels for p in parts], pa.string()).combine_chunks()
-    labels, rank = sorted_labels(table)
-    width, base, rows, weights = 1, 0, [], []
-    for p in parts:
-        r, w = p.phrases()
-        rows.append(np.where(r >= 0, rank[base + np.maximum(r, 0)] if len(p.labels) else -1, -1).astype(np.int32))
-        weights.append(w)
-        width, base = max(width, r.shape[1]), base + len(p.labels)
-    full = np.full((sum(len(r) for r in rows), width), -1, np.int32)
-    end = 0
-    for r in rows:
-        full[end : end + len(r), : r.shape[1]] = r
-        end += len(r)
-    weight = np.concatenate([*weights, np.zeros(0, np.int64)])
-    full, weight = summed(full, weight)
+    return add_up([(p.labels, *p.phrases()) for p in parts], least)
+
+
+def add_up(pieces: list[tuple[pa.StringArray, np.ndarray, np.ndarray]], least: int = 0) -> Transducer:
+    """The automaton of (labels, rows, weights) of several sources, each sorted by itself."""
+    labels, rank = sorted_labels(pa.chunked_array([p[0] for p in pieces], pa.string()).combine_chunks())
+    width, total = max([1, *(r.shape[1] for _, r, _ in pieces)]), sum(len(r) for _, r, _ in pieces)
+    full, base, end = np.full((total, width), -1, np.int32), 0, 0
+    for words, r, _ in pieces:
+        if len(words):
+            full[end : end + len(r), : r.shape[1]] = np.where(r >= 0, rank[base + np.maximum(r, 0)], -1)
+        base, end = base + len(words), end + len(r)
+    full, weight = summed(full, np.concatenate([*(w for _, _, w in pieces), np.zeros(0, np.int64)]))
     keep = weight >= least
     return build(labels, full[keep], weight[keep])
 
