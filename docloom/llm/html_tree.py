@@ -17,6 +17,10 @@ TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
 QUOTE = re.compile(r"""=\s*+(["'])""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""", re.IGNORECASE)
+#: Attributes that keep an element from the reader's eyes, in a tag without its quoted values and with them.
+HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)", re.IGNORECASE)
+UNSEEN = re.compile(r"""\saria-hidden\s*=\s*["']?true|\sstyle\s*=\s*(?:"[^"]*?(?:display\s*:\s*none|visibility\s*:\s*hidden)|'[^']*?(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.IGNORECASE)
+QUOTED = re.compile(r"""=\s*(?:"[^"]*+"|'[^']*+')""")
 SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
 _LONG_NUMBER = re.compile(r"&#\d{8,}")
 # HTML elements by their part in a page.
@@ -33,19 +37,22 @@ IN_HEAD = frozenset("meta link title style script base noscript template head ht
 NOISE_TAGS = frozenset("nav footer aside menu search dialog button head select datalist template noscript canvas audio video svg annotation annotation-xml".split())
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies respond "
-    "search share sharing sidebar sidenav signup social sponsor sponsored subscribe toolbar topbar widget widgets".split()
+    "search share sharing sidebar sidenav signup social sponsor sponsored subscribe toolbar topbar widget widgets adsbygoogle taboola outbrain paywall notification notifications responses discussion "
+    "werbung anzeige anzeigen kommentar kommentare publicite annonce annonces commentaire commentaires publicidad anuncio anuncios comentario comentarios seitenleiste fusszeile kopfzeile".split()
 )
 #: Words that may stand beside one of those in a name; any other word gives the name a meaning of its own.
 PLAIN_NAMES = frozenset(
     "a area article articles aside bar block body bottom box btn button buttons card cards center class col column content css desktop entry first fixed footer global head icon icons id inner item items last left line link links list lists main mini mobile module open page panel post posts primary right root "
-    "row rows secondary section site slot small static sticky stories story teaser teasers text thread title top ui unit units view wide wp".split()
+    "row rows secondary section site slot small google gpt dfp x reader readers user users visitor visitors static sticky stories story teaser teasers text thread title top ui unit units view wide wp".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: A first word that says something about another element, and a last one that names a layout wrapper: neither makes noise.
 ABOUT = frozenset("has with no without is".split())
 WRAPPERS = frozenset("wrap wrapper container layout".split())
 #: Readers' talk can be longer than the page's own text, so only an article or main inside frees it.
-TALK = frozenset("comment comments commentlist disqus reply replies respond".split())
+TALK = frozenset("comment comments commentlist disqus reply replies respond responses discussion kommentar kommentare commentaire commentaires comentario comentarios".split())
+#: A wrapper named after one of these wraps nothing else.
+SELF_WRAPPED = TALK | frozenset("ad ads advert adverts advertisement advertising adsbygoogle cookie cookies consent gdpr newsletter notification notifications paywall popup modal promo sponsor sponsored subscribe taboola outbrain werbung anzeige anzeigen publicite annonce annonces publicidad anuncio anuncios".split())
 #: Elements whose own class never makes them noise: themes put all kinds of names there.
 TRUSTED = frozenset("html body main article".split())
 _WORDS = re.compile(r"[a-z]+")
@@ -126,6 +133,13 @@ def _names(attributes: dict[str, str]) -> Iterator[list[str]]:
                 yield words
 
 
+def unseen(tag: str, body: str) -> bool:
+    """Whether the attributes of a tag hide it; the page's outer elements and its article never count as hidden."""
+    if tag in TRUSTED or ("hidden" not in body.lower() and "none" not in body.lower()):
+        return False
+    return UNSEEN.search(body) is not None or HIDDEN.search(QUOTED.sub("=", body)) is not None
+
+
 def doubtful(tag: str, attributes: dict[str, str], inside_article: bool) -> tuple[bool, bool]:
     """Whether a name says that the element is noise, and whether one says that it is readers' talk.
 
@@ -133,7 +147,9 @@ def doubtful(tag: str, attributes: dict[str, str], inside_article: bool) -> tupl
     """
     noise = talk = False
     for words in _names(attributes):
-        if words[0] in ABOUT or words[-1] in WRAPPERS or (inside_article and words[-1] == "header"):
+        if words[-1] in WRAPPERS and not SELF_WRAPPED.isdisjoint(words):
+            words = [w for w in words if w not in WRAPPERS]
+        if words[0] in ABOUT or words[-1] in WRAPPERS or (inside_article and words[-1] == "header") or (tag == "section" and words == ["discussion"]):
             continue
         if all(w in NOISE_NAMES or w in PLAIN_NAMES for w in words):
             noise = noise or not NOISE_NAMES.isdisjoint(words)
@@ -212,7 +228,7 @@ class _Reader:
             return
         top = self.stack[-1]
         attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(body)} if "=" in body else {}
-        noise = top.noise or tag in NOISE_TAGS or (tag == "header" and not top.article) or attributes.get("role", "").lower() in NOISE_ROLES
+        noise = top.noise or tag in NOISE_TAGS or (tag == "header" and not top.article) or attributes.get("role", "").lower() in NOISE_ROLES or unseen(tag, body)
         named, talk = (False, False) if noise or not attributes else doubtful(tag, attributes, top.article)
         doubt = top.doubt
         if (named or tag == "form") and not noise:
