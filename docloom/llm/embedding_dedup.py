@@ -27,6 +27,8 @@ SAMPLE, MOST_CELLS, BLOCK = 20_000, 4096, 4096
 SETS, NEAREST = 2, 4
 #: Rows of a block that are multiplied at a time.
 STRIP = 512
+#: Pairs that are looked at together, and doubles of their vectors.
+PAIRS, PRODUCTS = 1 << 18, 1 << 21
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 11) -> np.ndarray:
@@ -148,6 +150,17 @@ def _first_shared(cells: np.ndarray, i: np.ndarray, j: np.ndarray, cell: int) ->
     return ~earlier
 
 
+def _join(group: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Bring the rows of each pair into one group, named after its first row."""
+    while len(i):
+        a, b = group[i], group[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(group, np.maximum(a, b), np.minimum(a, b))
+        while (group[group] != group).any():
+            group[:] = group[group]
+
+
 def _compare(cosine: float) -> Callable[[pa.Table], pa.Table]:
     def apply(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -160,33 +173,34 @@ def _compare(cosine: float) -> Callable[[pa.Table], pa.Table]:
         single = (x / norm[:, None]).astype(np.float32)
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
         count = np.zeros(len(own), np.int64)
-        root: dict[int, int] = {}
-
-        def find(a: int) -> int:
-            while root.setdefault(a, a) != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            return a
+        group = np.arange(len(own))
+        # a sum of so many single-precision products may be off by that much
+        pairs, margin = max(1, PRODUCTS // x.shape[1]), max(1e-5, x.shape[1] * 2.0**-23)
 
         for at in range(0, len(left), STRIP):
             rows = left[at : at + STRIP]
-            i, j = np.nonzero(single[rows] @ single[right].T >= cosine - 1e-5)
-            i, j = rows[i], right[j]
-            once = i < j if low == high else slice(None)
-            i, j = i[once], j[once]
-            # what the product finds is held against the definition
-            near = (x[i] * x[j]).sum(axis=1) / (norm[i] * norm[j]) >= cosine
-            i, j = i[near], j[near]
-            first = _first_shared(cells, i, j, cell)
-            i, j = i[first], j[first]
-            np.add.at(count, i, copies[j])
-            np.add.at(count, j, copies[i])
-            for a, b in np.unique(np.stack([reps[i], reps[j]], axis=1), axis=0).tolist() if len(i) else ():
-                p, q = find(a), find(b)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
+            product = single[rows] @ single[right].T
+            hits = np.flatnonzero(product >= cosine - margin)  # a place of the strip each, in one number
+            for begin in range(0, len(hits), PAIRS):
+                i, j = np.divmod(hits[begin : begin + PAIRS], len(right))
+                sure = product[i, j] >= cosine + margin
+                i, j = rows[i], right[j]
+                # what the product leaves open is held against the definition, in doubles
+                for a in range(0, len(open_ := np.flatnonzero(~sure)), pairs):
+                    part = open_[a : a + pairs]
+                    sure[part] = (x[i[part]] * x[j[part]]).sum(axis=1) / (norm[i[part]] * norm[j[part]]) >= cosine
+                if low == high:
+                    sure &= i < j
+                i, j = i[sure], j[sure]
+                first = _first_shared(cells, i, j, cell)
+                i, j = i[first], j[first]
+                np.add.at(count, i, copies[j])
+                np.add.at(count, j, copies[i])
+                _join(group, i, j)
         counted = [(label, int(gid[k]), int(reps[k]), int(count[k]), None) for k in np.flatnonzero(count)]
-        forest = [(label, 0, a, 0, find(a)) for a in list(root) if find(a) != a]
+        smallest = np.full(len(own), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, group, reps)
+        forest = sorted({(label, 0, int(a), 0, int(b)) for a, b in zip(reps, smallest[group], strict=True) if a != b})
         columns = list(zip(*(counted + forest), strict=True)) or [()] * 5
         return pa.table({"label": pa.array(columns[0], pa.string())} | {n: pa.array(c, pa.int64()) for n, c in zip(("gid", "rep", "links", "other"), columns[1:], strict=True)})
 
