@@ -56,6 +56,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Queries that one round of ``vector_top_k`` sends to every task, and vectors that are multiplied at a time.
 ROUND_QUERIES, STRIP = 20_000, 2048
+#: Queries whose scores with a strip are sorted at once.
+SORTED = 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -99,13 +101,17 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 3) -> DataF
                     for at in range(0, part.num_rows, STRIP):
                         strip = part.slice(at, STRIP)
                         ids, x = strip.column("vec_id").to_numpy(), np.asarray(strip.column("embedding").flatten(), float).reshape(strip.num_rows, width)
-                        sims = np.round(q @ (x / np.sqrt((x * x).sum(1))[:, None]).T, 6)
-                        sims[q_ids[:, None] == ids[None, :]] = -2
-                        # the k best so far and those of this strip, best first and ties by id
-                        old_s, old_i = held.get(width, (np.full((len(q_ids), 0), -2.0), np.full((len(q_ids), 0), -1)))
-                        s, i = np.hstack([old_s, sims]), np.hstack([old_i, np.broadcast_to(ids, sims.shape)])
-                        order = np.lexsort((i, -s), axis=1)[:, :k]
-                        held[width] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                        x = (x / np.sqrt((x * x).sum(1))[:, None]).T
+                        best_s, best_i = held.setdefault(width, (np.full((len(q_ids), k), -2.0), np.full((len(q_ids), k), -1)))
+                        # some queries at a time, so that what is sorted stays small however many there are
+                        for a in range(0, len(q_ids), SORTED):
+                            some = slice(a, a + SORTED)
+                            sims = np.round(q[some] @ x, 6)
+                            sims[q_ids[some, None] == ids[None, :]] = -2
+                            # the k best so far and those of this strip, best first and ties by id
+                            s, i = np.hstack([best_s[some], sims]), np.hstack([best_i[some], np.broadcast_to(ids, sims.shape)])
+                            order = np.lexsort((i, -s), axis=1)[:, :k]
+                            best_s[some], best_i[some] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
             for width, (s, i) in held.items():
                 q_ids = np.repeat(sent.value[width][0], s.shape[1])
                 real = s.ravel() > -2
