@@ -93,7 +93,8 @@ def inf1_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inf2_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.complete(_requests(spark, sf_dir, F.col("text")), infer.digest_backend)
+    """All requests by a ledger: equal ones are asked once, failures that may pass three times."""
+    return infer.ask_once(_requests(spark, sf_dir, F.col("text")), infer.digest_backend, io.work_path(spark, "ledger"))
 
 
 def inf3_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
