@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,26 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("shared") >= percent * (F.size("s_a") + F.size("s_b") - F.col("shared"))).select("a", "b")
 
 
+def _candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different groups that a common token allows to be similar enough.
+
+    ``rows``: token ``x``, ``node``, its size ``n``, ``place`` of the token in its order, group ``g``.  Where the
+    first common token of two sets stands at places i and j, they share 1 + min(n - i, m - j)
+    tokens at most, and need percent * (n + m) / (100 + percent).  So a place bounds the sizes of
+    the sets that it can be similar to: the larger set goes to the sizes below it that its place
+    allows, by steps of a tenth, and the smaller one waits at its own if its place allows any
+    as large.  A token that many sets have near the end of their order, as they have the
+    words of a notice, thus brings none of them together.
+    """
+    reach = F.floor((1 + F.col("n") - F.col("place")) * (100 + percent) / percent + 1e-9) - F.col("n")
+    step = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.1)).cast("int")
+    large = rows.select("x", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("g").alias("g_a"), F.ceil(F.col("n") * percent / 100 - 1e-9).alias("low"), F.least("n", reach).alias("high")).where("low <= high")
+    large = large.withColumn("step", F.explode(F.sequence(step(F.col("low")), step(F.col("high")))))
+    less = rows.select("x", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("g").alias("g_b"), reach.alias("reach")).where("reach >= n_b").withColumn("step", step(F.col("n_b")))
+    met = large.join(less, ["x", "step"]).where("g_a <> g_b AND n_b BETWEEN low AND high AND n_a <= reach AND (n_b < n_a OR a < b)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_items(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", width: int = 3, percent: int = 50) -> DataFrame:
     """Classes of similar items, one row per item: ``id``, ``n_shingles``, ``class_id``, ``members``, ``linked``, ``head``.
 
@@ -47,7 +69,8 @@ def near_items(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", widt
     similar enough share one among the first of each (prefix filter).  Equal sets are
     one node.  In each bucket of such a shingle all nodes are held against its smallest
     node first, so a group of n copies costs about n comparisons; only where members
-    then still lie in different groups are they compared with each other.
+    then still lie in different groups are they compared with each other, and there only those
+    that the token's places allow to be similar (position filter).
     """
     rows = stored(shingles(docs, id_, text, width), "near-rows").withColumn("n_shingles", F.size("s").cast("long"))
     rows = rows.withColumn("key", F.when(F.col("id").isNotNull() & (F.size("s") > 0), F.sha2(F.array_join(F.col("s").cast("array<string>"), " "), 256)))
@@ -56,23 +79,22 @@ def near_items(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", widt
     sets = stored(reps.select(F.xxhash64("key").alias("node"), "key", F.col("at.id").alias("first"), F.col("at.s").alias("s")), "near-sets")
 
     tokens = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("x"))
-    often = tokens.groupBy("x").agg(F.count("*").alias("df"))
+    # what is joined by token is stored first: both sides are then shuffled for the join, and a frequent token's rows can be split
+    often = stored(tokens.groupBy("x").agg(F.count("*").alias("df")), "near-tokens")
     order = Window.partitionBy("node").orderBy("df", "x")
     first = tokens.join(often, "x").withColumn("place", F.row_number().over(order))
     kept = F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    members = stored(first.where(kept & (F.col("df") > 1)).select("x", "node", "n"), "near-buckets")
+    members = stored(first.where(kept & (F.col("df") > 1)).select("x", "node", "n", "place"), "near-buckets")
 
-    heads = members.groupBy("x").agg(F.min("node").alias("a"))
+    heads = stored(members.groupBy("x").agg(F.min("node").alias("a")), "near-heads")
     tried = members.join(heads, "x").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     links = stored(_similar(tried, sets, percent), "near-links")
     found = groups(links)
 
-    placed = stored(members.join(found, "node", "left").select("x", "node", "n", F.coalesce("group", "node").alias("g")), "near-placed")
-    open_ = placed.groupBy("x").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("x")
+    placed = stored(members.join(found, "node", "left").select("x", "node", "n", "place", F.coalesce("group", "node").alias("g")), "near-placed")
+    open_ = stored(placed.groupBy("x").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("x"), "near-open-tokens")
     todo = stored(placed.join(open_, "x"), "near-open")
-    side = lambda c: todo.select("x", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("g").alias(f"g_{c}"))
-    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b"))
-    rest = side("a").join(side("b"), "x").where(near).select("a", "b").distinct()
+    rest = _candidates(todo, percent)
     more = stored(_similar(rest, sets, percent), "near-links")
     found = groups(links.unionByName(more))
 

@@ -55,6 +55,20 @@ def test_near_items_equal_brute_force(spark):
     assert {i: (r.members, r.linked, r.head) for i, r in got.items()} == {i: (sizes.count(c), sizes.count(c) > 1, c == i) for i, (_, c) in want.items()}
 
 
+def test_documents_that_share_a_notice_form_no_pairs(spark, monkeypatch):
+    formed = []
+    candidates = dedupe._candidates
+    monkeypatch.setattr(dedupe, "_candidates", lambda *a: formed.append(candidates(*a).persist()) or formed[-1])
+    rng = random.Random(21)
+    notice = [f"n{''.join(rng.choices('abcdefgh', k=5))}" for _ in range(62)]
+    for n in (200, 400):
+        # six tenths of each text are the notice: its shingles stand in every prefix, and no two texts are alike enough
+        texts = [" ".join(["".join(rng.choices("ijklmnop", k=6)) for _ in range(38 + i % 3)] + notice) for i in range(n)] + ["q r s t", "q r s t u"]
+        got = {r.id: (r.n_shingles, r.class_id) for r in dedupe.near_items(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert got == classes(dict(enumerate(texts)), 3, 50)
+        assert formed[-1].count() <= n
+
+
 def test_inference_sees_whole_texts(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     sent = {i: len(json.dumps([{"role": "user", "content": t}], ensure_ascii=False, separators=(",", ":"))) for i, t in texts.items()}
