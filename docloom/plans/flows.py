@@ -93,7 +93,8 @@ def snk3_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snk4_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "pages").select("page_id", "html")
-    paths = io.write_stages({"raw": raw, "clean": pages.txt2_compact(spark, sf_dir)}, io.work_path(spark, "stages"))
+    clean = raw.select("page_id", text.compact(text.body_of(F.col("html"))).alias("body"))
+    paths = io.write_stages({"raw": raw, "clean": clean}, io.work_path(spark, "stages"))
     stage = lambda n, c: spark.read.parquet(paths[n]).select(F.lit(n).alias("stage"), F.length(c).alias("chars"))
     return stage("raw", "html").unionByName(stage("clean", "body")).groupBy("stage").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"))
 
