@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -146,14 +147,17 @@ def codec(path: str, special: bool = False) -> Codec:
     return Codec(path, special)
 
 
-def encode(docs: DataFrame, vocabulary: str, *, offsets: bool = False) -> DataFrame:
-    """``doc_id``, ``ids`` and, on request, ``starts`` and ``ends`` in characters of the text.
+def encode(docs: DataFrame, vocabulary: str, *, offsets: bool = False, spans: bool = False) -> DataFrame:
+    """``doc_id``, ``ids`` and, on request, ``starts`` and ``ends`` in characters of the text, or what sums them up.
+
+    With ``spans`` that is ``n_split``, the ids that begin inside a character, and ``spans_crc32``,
+    of all starts and then all ends as little-endian 32-bit numbers.
 
     ``vocabulary`` is the path of a byte-level BPE file of the tokenizers library, on
     every worker.  Strings of special tokens are ordinary text.  Null is encoded as
     the empty text, to no id.  Any id may be null or repeated.
     """
-    more = ", starts array<int>, ends array<int>" if offsets else ""
+    more = (", starts array<int>, ends array<int>" if offsets else "") + (", n_split long, spans_crc32 long" if spans else "")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
@@ -161,10 +165,16 @@ def encode(docs: DataFrame, vocabulary: str, *, offsets: bool = False) -> DataFr
             texts = b.column("text").to_pylist()
             ids = own.encode(texts)
             columns = [b.column("doc_id"), ints(ids)]
+            names = ["doc_id", "ids"]
+            found = [own.offsets(t or "", i) for t, i in zip(texts, ids, strict=True)] if offsets or spans else []
             if offsets:
-                spans = [own.offsets(t or "", i) for t, i in zip(texts, ids, strict=True)]
-                columns += [ints([s for s, _ in spans]), ints([e for _, e in spans])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "starts", "ends"][: len(columns)])
+                columns += [ints([s for s, _ in found]), ints([e for _, e in found])]
+                names += ["starts", "ends"]
+            if spans:
+                columns.append(pa.array([int((s[1:] < e[:-1]).sum()) for s, e in found], pa.int64()))
+                columns.append(pa.array([zlib.crc32(e.astype("<i4").tobytes(), zlib.crc32(s.astype("<i4").tobytes())) for s, e in found], pa.int64()))
+                names += ["n_split", "spans_crc32"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(apply, f"doc_id long, ids array<int>{more}")

@@ -28,18 +28,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids, decoded bytes and offsets of every document as digests; a null text is empty, with no id.
 
-    ``n_split`` counts ids that begin inside a character, ``spans_crc32`` is that of the
-    decimal first and last-plus-one characters of all ids, joined by spaces.
+    ``n_split`` counts ids that begin inside a character, ``spans_crc32`` sums up the first and
+    last-plus-one characters of all ids (``byte_bpe.encode``).
     """
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary, offsets=True)
-    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
-    before = F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0)))
-    split = F.size(F.filter(F.zip_with(before, F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), lambda e, s: s < e), lambda x: x))
-    # offsets are summed up before decoding, so that they do not travel through a second worker
-    spans = encoded.select("doc_id", "ids", split.cast("long").alias("n_split"), F.crc32(F.concat_ws(" ", joined("starts"), joined("ends"))).alias("spans_crc32"))
-    done = byte_bpe.decode(spans, vocabulary, keep=("n_split", "spans_crc32"))
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined("ids"), 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"), "n_split", "spans_crc32")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary, spans=True)
+    done = byte_bpe.decode(encoded, vocabulary, keep=("n_split", "spans_crc32"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"), "n_split", "spans_crc32")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
