@@ -42,13 +42,25 @@ def replacement(inputs: DataFrame, temp: DataFrame, paths: DataFrame, name: str)
     return rows.withColumn("text", F.coalesce("temp_text", "path_text", "text")).withColumn("origin", origin).drop("temp_text", "path_text")
 
 
+#: Steps that the widest range is cut into at most.
+RANGE_STEPS = 1000
+
+
 def in_range(rows: DataFrame, ranges: DataFrame, value: Column) -> DataFrame:
     """Rows with the range (``lo``, ``hi``, inclusive) that holds ``value``; without one the range is null.
 
-    Ranges are a small table; each is expanded to its whole numbers, so the join is on equality.
+    The line of numbers is cut into steps as wide as a thousandth of the widest range, at least 1;
+    a range is listed at each step that it touches, so however wide it is it has about a thousand rows at most, and the
+    join is on the step.  A null value or a range without a bound meets nothing; a value in two
+    ranges comes twice.
     """
-    points = ranges.select("*", F.explode(F.sequence("lo", "hi")).alias("_at")).drop("lo", "hi")
-    return rows.withColumn("_at", value.cast("int")).join(small(points.withColumn("_at", F.col("_at").cast("int"))), "_at", "left").drop("_at")
+    widest = ranges.agg(F.max(F.col("hi").cast("long") - F.col("lo").cast("long"))).first()[0] or 0
+    width = max(1, -(-widest // RANGE_STEPS))
+    step = lambda c: F.floor(c.cast("long") / width)
+    known = ranges.where("lo <= hi").select("*", F.explode(F.sequence(step(F.col("lo")), step(F.col("hi")))).alias("_step"))
+    given = rows.withColumn("_at", value.cast("long"))
+    known = small(known.withColumnRenamed("lo", "_lo").withColumnRenamed("hi", "_hi"))
+    return given.join(known, (step(F.col("_at")) == F.col("_step")) & F.col("_at").between(F.col("_lo"), F.col("_hi")), "left").drop("_at", "_step", "_lo", "_hi")
 
 
 def union_by_provider(*runs: tuple[str, DataFrame]) -> DataFrame:

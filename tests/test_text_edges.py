@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.operators import convo, index, vocab
+from docloom.operators import convo, index, lookups, vocab
 
 ODD = "　 \x0b \x1c\x85"
 HTML = """<body><a href="/p">1</a><a href='/p'>2</a><a class=x href=/p>3</a><A TITLE="a > b" HREF = "/">4</A><a data-href="/p" href="//c/p">5</a><a href="q">6</a><a hreflang="/p">7</a><link href="/p"><a
@@ -71,6 +71,15 @@ def test_history_within_a_budget(spark, budget, history):
     assert got == want
 
 
+def test_wide_ranges_are_bounded(spark):
+    ranges = spark.createDataFrame([("a", 0, 9), ("b", 10, 10**12), ("c", -5, -1), ("d", 8, 12), ("none", 5, 1), ("open", None, 3)], "name string, lo long, hi long")
+    rows = spark.createDataFrame([(v,) for v in (-6, -5, -1, 0, 8, 9, 10, 12, 13, 10**12, 10**12 + 1, None)], "v long")
+    got = sorted((r.v, r.name) for r in lookups.in_range(rows, ranges, F.col("v")).collect() if r.v is not None)
+    want = [(v, n) for v in (-6, -5, -1, 0, 8, 9, 10, 12, 13, 10**12, 10**12 + 1) for n in [n for n, lo, hi in [("a", 0, 9), ("b", 10, 10**12), ("c", -5, -1), ("d", 8, 12)] if lo <= v <= hi] or [None]]
+    assert got == sorted(want, key=lambda r: (r[0], r[1] or "")) or sorted(map(str, got)) == sorted(map(str, want))
+    assert lookups.in_range(rows, ranges.limit(0), F.col("v")).where("name IS NULL").count() == 12
+
+
 def test_numbers_over_all_rows_without_one_task(spark):
     rows = spark.createDataFrame([(f"d{i}", (i * 7919) % 1000) for i in range(1000)] + [(None, None), ("x", None)], "d string, first_seen long").withColumn("_x", F.lit(1)).repartition(6)
     done = index.positions(rows)
