@@ -27,7 +27,7 @@ from docloom.llm.transducer import Transducer
 #: Words of the longest phrase.
 LONGEST = 5
 #: Bytes of text whose phrases are counted at once.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Occurrences in the prefix range of one group, and prefix ranges at most; above that, ranges are cut by the second word.
 SHARE, MOST_RANGES = 1 << 21, 1 << 16
 #: Phrases that a task holds before it sends on their automata.
@@ -235,14 +235,12 @@ def _by_range(lang: str, labels: pa.StringArray, rows: np.ndarray, counts: np.nd
 
 def _rows(parts: list[tuple[str, int, int, Transducer]]) -> pa.RecordBatch:
     """Automata as rows: their range and the columns of ``transducer.SCHEMA``."""
-    kinds = [pa.list_(pa.string()), *[pa.list_(pa.int32())] * 3, pa.list_(pa.bool_()), pa.list_(pa.int64())]
-    columns = []
-    for i, kind in enumerate(kinds):
-        values = [p[3].columns()[i] for p in parts]
-        off = np.zeros(len(values) + 1, np.int32)
-        np.cumsum([len(v) for v in values], out=off[1:])
-        flat = [v if isinstance(v, pa.Array) else pa.array(v) for v in values]
-        columns.append(pa.ListArray.from_arrays(pa.array(off), pa.concat_arrays(flat).cast(kind.value_type) if flat else pa.array([], kind.value_type)))
+    labels = [p[3].labels for p in parts]
+    off = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(x) for x in labels], out=off[1:])
+    numbers = [p[3].columns()[1:] for p in parts]
+    columns = [pa.ListArray.from_arrays(pa.array(off), pa.concat_arrays(labels).cast(pa.string()) if parts else pa.array([], pa.string()))]
+    columns += [pa.array([n[i] for n in numbers], pa.binary()) for i in range(len(transducer.COLUMNS) - 1)]
     head = [pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.int64()), pa.array([p[2] for p in parts], pa.int64())]
     return pa.RecordBatch.from_arrays([*head, *columns], names=["lang", "range", "slice", *transducer.COLUMNS])
 

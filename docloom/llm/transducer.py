@@ -16,11 +16,21 @@ import pyarrow as pa
 from docloom.llm.common import mix
 
 #: The columns that hold an automaton in a DataFrame.
-SCHEMA = "labels array<string>, first array<int>, arc_label array<int>, arc_target array<int>, accept array<boolean>, weights array<long>"
+SCHEMA = "labels array<string>, first binary, arc_label binary, arc_target binary, accept binary, weights binary"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the greatest needs; the first byte says how many."""
+    width = next(w for w in (1, 2, 4, 8) if not len(numbers) or int(numbers.max()) < 1 << (8 * w))
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def unpacked(raw: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(kind)
+
+
 @dataclass
 class Transducer:
     """``labels`` (sorted words); of state s the arcs ``first[s]`` to ``first[s + 1]``, sorted by label; the last state is the start."""
@@ -79,7 +89,8 @@ class Transducer:
         return [" ".join([words[i] for i in r[:k]]) for r, k in zip(rows.tolist(), sizes.tolist(), strict=True)], sizes, weights
 
     def columns(self) -> list:
-        return [self.labels, self.first.astype(np.int32), self.arc_label.astype(np.int32), self.arc_target.astype(np.int32), self.accept, self.weights]
+        """The labels, and each array of numbers as bytes."""
+        return [self.labels, *(packed(x) for x in (self.first, self.arc_label, self.arc_target, self.accept, self.weights))]
 
 
 def build(labels: pa.StringArray, rows: np.ndarray, weights: np.ndarray) -> Transducer:
@@ -155,12 +166,9 @@ def trimmed(labels: pa.StringArray, rows: np.ndarray) -> tuple[pa.StringArray, n
 
 def read(batch: pa.RecordBatch | pa.Table) -> list[Transducer]:
     """The automata of the rows of Arrow data."""
-    out = []
-    data = {c: batch.column(c).combine_chunks() if isinstance(batch, pa.Table) else batch.column(c) for c in COLUMNS}
-    for i in range(batch.num_rows):
-        values = [data[c][i].values for c in COLUMNS]
-        out.append(Transducer(values[0], *[v.to_numpy(zero_copy_only=False).astype(t) for v, t in zip(values[1:], (np.int64, np.int32, np.int64, bool, np.int64), strict=True)]))
-    return out
+    labels, *numbers = [batch.column(c).combine_chunks() if isinstance(batch, pa.Table) else batch.column(c) for c in COLUMNS]
+    kinds = (np.int64, np.int32, np.int64, bool, np.int64)
+    return [Transducer(labels[i].values, *[unpacked(c[i].as_py(), k) for c, k in zip(numbers, kinds, strict=True)]) for i in range(batch.num_rows)]
 
 
 def union(parts: list[Transducer], least: int = 0) -> Transducer:
