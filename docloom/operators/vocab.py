@@ -57,11 +57,18 @@ def vocabulary(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: i
 
 def phrases(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 2, k: int = 10) -> DataFrame:
     """The ``k`` most frequent word n-grams of each document, ties by phrase."""
-    words = F.filter(F.split(F.lower(text), WORDS), lambda w: w != "")
-    rows = docs.select(key, words.alias("w")).where(F.size("w") >= n)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
-    counts = rows.select(key, F.explode(grams).alias("phrase")).groupBy(key, "phrase").agg(F.count("*").alias("uses"))
-    return top_k(counts, [key], [F.desc("uses"), F.asc("phrase")], k)
+    # a document's texts meet in one row, so its n-grams are counted there, sorted, and never shuffled
+    told = docs.groupBy(key).agg(F.collect_list(text).alias("texts"))
+    words = F.transform("texts", lambda t: F.filter(F.split(F.lower(t), WORDS), lambda w: w != ""))
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    each = F.flatten(F.transform(F.filter(words, lambda w: F.size(w) >= n), grams))
+    # generators of one row keep the optimizer from sorting anew at each use
+    rows = told.select(key, F.inline(F.array(F.struct(F.array_sort(each).alias("s"))))).where(F.size("s") > 0)
+    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    rows = rows.select(key, "s", F.inline(F.array(F.struct(first.alias("at")))))
+    counts = F.transform("at", lambda a, j: F.struct((a - F.coalesce(F.get("at", j + 1), F.size("s"))).cast("long").alias("less"), F.get("s", a).alias("phrase")))
+    best = rows.select(key, F.posexplode(F.slice(F.array_sort(counts), 1, k)).alias("rank", "c"))
+    return best.select(key, "c.phrase", (-F.col("c.less")).alias("uses"), (F.col("rank") + 1).alias("rank"))
 
 
 # What notes call the parts of a record, in English and in the reference language of the notes.
