@@ -83,12 +83,15 @@ def records(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     word is the item's bold term or the value of its label.  The ipa loses its slashes; a part
     that is missing or a placeholder is null, a record without a word is none.
     """
-    here = rows.where(md.under("vocabulary"))
+    row, item = F.col("kind") == "row", (F.col("kind") == "item") & F.col("parent").isNull()
     bare = lambda c: F.regexp_replace(c, "^/(.*)/$", "$1")
-    table = here.where("kind = 'row'").select(key, md.cell(WORD).alias("word"), bare(md.cell(IPA)).alias("ipa"), md.cell(GLOSS).alias("gloss"), md.cell(CONTEXT).alias("context"), md.cell(USE).alias("use"))
     named = F.when(F.col("label").rlike(f"(?i){WORD}|本身"), F.col("value")).otherwise(F.col("label"))
-    items = md.children(here, [key]).select(key, named.alias("word"), F.coalesce(F.col("ipa"), bare(md.field(IPA))).alias("ipa"), md.field(GLOSS, CONTEXT, USE).alias("gloss"), md.field(CONTEXT).alias("context"), md.field(USE, CONTEXT).alias("use"))
-    return table.unionByName(items).where("word IS NOT NULL")
+    either = lambda cell, part, name: F.when(row, cell).otherwise(part).alias(name)
+    found = rows.where((row | item) & md.under("vocabulary")).select(
+        key, either(md.cell(WORD), named, "word"), either(bare(md.cell(IPA)), F.coalesce(F.col("ipa"), bare(md.field(IPA))), "ipa"), either(md.cell(GLOSS), md.field(GLOSS, CONTEXT, USE), "gloss"),
+        either(md.cell(CONTEXT), md.field(CONTEXT), "context"), either(md.cell(USE), md.field(USE, CONTEXT), "use"),
+    )
+    return found.where("word IS NOT NULL")
 
 
 def phrase_records(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -101,11 +104,12 @@ def phrase_records(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def entities(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Terms and definitions under a heading that names entities, as items or plain lines, with the ``link`` that the document names as its source (null if none)."""
-    address = md.link(F.col("content"))
-    source = F.col("label").rlike("(?i)来源|source|^link") & address.isNotNull()
-    links = rows.where(source).groupBy(key).agg(F.min_by(address, "line_no").alias("link"))
-    terms = rows.where(md.under("entities") & F.col("kind").isin("item", "text") & F.col("label").isNotNull() & ~source)
-    return terms.select(key, F.col("label").alias("term"), F.col("value").alias("definition")).join(links, key, "left")
+    source = lambda b: F.coalesce(b["label"].rlike("(?i)来源|source|^link") & md.link(b["content"]).isNotNull(), F.lit(False))
+    term = lambda b: md.under("entities", b) & b["kind"].isin("item", "text") & b["label"].isNotNull() & ~source(b)
+    link = md.link(F.get(F.filter("blocks", source), F.lit(0))["content"])
+    terms = F.transform(F.filter("blocks", term), lambda b: F.struct(b["label"].alias("term"), b["value"].alias("definition")))
+    docs = md.gathered(rows, [key]).select(key, F.inline(F.array(F.struct(link.alias("link"), terms.alias("terms")))))
+    return docs.select(key, F.inline("terms"), "link")
 
 
 def faithful(source: Column, annotated: Column) -> Column:
