@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import dedupe, retrieve
-from docloom.plans.support import Query, table
+from docloom.plans.support import Query, spread, table
 
 STORES = ["src0", "src3", "src7"]
 
@@ -26,7 +26,7 @@ def rag1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return retrieve.bm25(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), table(spark, sf_dir, "benchmark"))
 
 
 def rag2_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,8 @@ def rag3_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rag4_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.bm25(retrieve.in_stores(table(spark, sf_dir, "documents"), STORES), table(spark, sf_dir, "benchmark"))
+    docs = retrieve.in_stores(table(spark, sf_dir, "documents"), STORES)
+    return retrieve.bm25(spread(docs.select("doc_id", "text"), "doc_id"), table(spark, sf_dir, "benchmark"))
 
 
 def rag5_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
