@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import dedupe, retrieve
+from docloom.operators.lookups import small
 from docloom.plans.support import Query, spread, table
+from docloom.sources.io import stored
 
 STORES = ["src0", "src3", "src7"]
 
@@ -52,7 +54,8 @@ def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits as chunk lists with gaps: text null for odd documents, content null for ids divisible by 3."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("t"))
     c = F.struct(F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("t")).alias("text"), F.when(F.col("doc_id") % 3 != 0, F.col("t")).alias("content"), F.concat(F.lit("kb/"), "doc_id").alias("uri"))
-    lists = _hits(spark, sf_dir).join(docs, "doc_id").groupBy("item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", c.alias("c")))), lambda x: x["c"]).alias("chunks"))
+    # the few hits go to the documents, whose texts stay where they lie
+    lists = small(stored(_hits(spark, sf_dir), "hits")).join(docs, "doc_id").groupBy("item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", c.alias("c")))), lambda x: x["c"]).alias("chunks"))
     empty = F.filter("chunks", lambda _: F.lit(False))
     return lists.select("item_id", F.when(F.col("item_id") % 8 == 7, None).when(F.col("item_id") % 8 == 6, empty).otherwise(F.col("chunks")).alias("chunks"))
 
