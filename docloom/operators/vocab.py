@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import blocks as md
 from docloom.functions import markdown
+from docloom.operators.lookups import small
 from docloom.operators.report import top_k
+from docloom.sources.io import stored
 
 SENTENCE = r"(?<=[.!?])\s+"
 WORDS = r"[^\p{L}]+"
@@ -39,20 +41,37 @@ def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int
     return cuts.select(key, "seg_no", F.substring("_text", F.col("_at") + 1, stop - F.col("_at")).alias("segment"))
 
 
-def vocabulary(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 15, shortest: int = 4) -> DataFrame:
-    """The ``k`` words of each document with the highest tf-idf (rounded to 6 places, ties by word) and the first sentence with each.
+#: Characters of text whose words a task counts, on average, and words whose numbers of documents every task gets.
+PART_CHARS, OFTEN = 16_000_000, 50_000
+
+
+def key_words(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 15, shortest: int = 4) -> DataFrame:
+    """The ``k`` words of each document with the highest tf-idf (rounded to 6 places, ties by word) and ``seg_no``, the first sentence with each.
 
-    Counts run over all documents; each is a grouped aggregate that sums up before its shuffle.
+    Texts are dealt by document into parts of a bounded size, where words are counted and ranked.
+    The numbers of documents of the most frequent words go to all tasks, so only rare words,
+    each in few documents, are shuffled.
     """
-    parts = sentences(docs, key, text)
-    words = parts.select(key, "seg_no", F.explode(F.split(F.lower("segment"), WORDS)).alias("word")).where(F.length("word") >= shortest)
+    parts = max(4 * docs.sparkSession.sparkContext.defaultParallelism, (docs.agg(F.sum(F.length(text))).first()[0] or 0) // PART_CHARS + 1)
+    placed = sentences(docs.select(key, text).repartition(parts, key), key, text)
+    words = placed.select(key, "seg_no", F.explode(F.split(F.lower("segment"), WORDS)).alias("word")).where(F.length("word") >= shortest)
     tf = words.groupBy(key, "word").agg(F.count("*").alias("tf"), F.min("seg_no").alias("seg_no"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    scored = tf.join(df, "word").crossJoin(F.broadcast(n))  # one row: a total
-    scored = scored.withColumn("score", F.round(F.col("tf") * F.log(1 + F.col("n") / F.col("df")), 6))
-    best = top_k(scored.select(key, "word", "score", "seg_no"), [key], [F.desc("score"), F.asc("word")], k)
-    return best.join(parts, [key, "seg_no"]).select(key, "word", "score", "rank", F.col("segment").alias("context"))
+    df = stored(tf.groupBy("word").agg(F.count("*").alias("df")), "word-docs")
+    n = docs.count()
+    often = stored(df.orderBy(F.desc("df"), "word").limit(OFTEN), "frequent-words")
+    score = F.round(F.col("tf") * F.log(1 + F.lit(n) / F.col("df")), 6).alias("score")
+    order = Window.partitionBy(key).orderBy(F.desc_nulls_last("score"), "word")
+    # ranked where they were counted, but for rare words, which have no score yet
+    met = tf.join(small(often), "word", "left").select(key, "word", "tf", "seg_no", score).withColumn("rank", F.row_number().over(order))
+    met = stored(met.where(F.col("score").isNull() | (F.col("rank") <= k)), "key-words")
+    rare = met.where("score IS NULL").drop("score").join(df, "word").select(key, "word", score, "seg_no")
+    return top_k(met.where("score IS NOT NULL").select(key, "word", "score", "seg_no").unionByName(rare), [key], [F.desc("score"), F.asc("word")], k)
+
+
+def vocabulary(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 15, shortest: int = 4) -> DataFrame:
+    """``key_words`` with the first sentence of each as ``context``."""
+    best = key_words(docs, key=key, text=text, k=k, shortest=shortest)
+    return best.join(sentences(docs, key, text), [key, "seg_no"]).select(key, "word", "score", "rank", F.col("segment").alias("context"))
 
 
 def phrases(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 2, k: int = 10) -> DataFrame:
