@@ -82,8 +82,8 @@ def latest_state(rows: DataFrame, out: str, keys: list[str], schema: str, mode:
 class Assembly(StatefulProcessor):
     """The chunks of one request: a number that is due, those that came too early, and what has been told of it.
 
-    A chunk costs one entry of state, whatever has come before: pieces stand in a list
-    in their order, and early ones in a map by number until their turn.  A chunk that came
+    Each call of the state is a round trip, so there are few, whatever has come before: the pieces of a batch
+    are one entry of a list, which is read only if the request is known, and early ones stand in a map by number until their turn.  A chunk that came
     already or comes after an error counts no more.  With ``timed`` a request without news for ``seconds`` is given up;
     what comes later then begins a new one.
     """
@@ -97,39 +97,45 @@ class Assembly(StatefulProcessor):
         self.early = handle.getMapState("early", "seq long", "text string, error string")
         self.pieces = handle.getListState("pieces", "text string")
 
-    def _shown(self, key: tuple, n: int, error: str | None, given_up: bool) -> Iterator[pd.DataFrame]:
-        text = "".join(p[0] for p in self.pieces.get()) if self.pieces.exists() else ""
+    def _shown(self, key: tuple, text: str, n: int, error: str | None, given_up: bool) -> pd.DataFrame:
         shown = f"request failed: {error}" if error is not None and not text else text
-        yield pd.DataFrame([(*key, shown, error is not None or given_up, n, given_up)], columns=["conv_id", "turn", "text", "failed", "n_chunks", "given_up"])
+        values = (*key, shown, error is not None or given_up, n, given_up)
+        return pd.DataFrame({c: [v] for c, v in zip(("conv_id", "turn", "text", "failed", "n_chunks", "given_up"), values, strict=True)})
+
+    def _text(self) -> str:
+        return "".join(p[0] for p in self.pieces.get())
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        due, n, error, waiting, deadline = self.head.get() if self.head.exists() else (0, 0, None, 0, None)
-        fresh: list[tuple[str]] = []
+        known = self.head.get()
+        due, n, error, waiting, deadline = (0, 0, None, 0, None) if known is None else known
+        told = self._text() if n else ""
+        fresh: list[str] = []
 
         def take(piece: str | None, failure: str | None) -> None:
             nonlocal due, n, error
             due, error = due + 1, failure if isinstance(failure, str) else None
             if error is None and isinstance(piece, str) and piece:
-                fresh.append((piece,))
+                fresh.append(piece)
                 n += 1
 
         for frame in rows:
-            for r in frame.sort_values("seq", kind="stable").itertuples(index=False):
-                seq = int(r.seq)
+            if not frame["seq"].is_monotonic_increasing:
+                frame = frame.sort_values("seq", kind="stable")
+            for seq, text, failure in zip(frame["seq"].tolist(), frame["text"].tolist(), frame["error"].tolist(), strict=True):
                 if error is not None or seq < due:
                     continue
                 if seq > due:
                     waiting += not self.early.containsKey((seq,))
-                    self.early.updateValue((seq,), (r.text if isinstance(r.text, str) else None, r.error if isinstance(r.error, str) else None))
+                    self.early.updateValue((seq,), (text if isinstance(text, str) else None, failure if isinstance(failure, str) else None))
                     continue
-                take(r.text, r.error)
+                take(text, failure)
                 while error is None and waiting and self.early.containsKey((due,)):
                     held = self.early.getValue((due,))
                     self.early.removeKey((due,))
                     waiting -= 1
                     take(*held)
         if fresh:
-            self.pieces.appendList(fresh)
+            self.pieces.appendValue(("".join(fresh),))
         if error is not None and waiting:
             self.early.clear()
             waiting = 0
@@ -139,13 +145,13 @@ class Assembly(StatefulProcessor):
             deadline = timerValues.getCurrentProcessingTimeInMs() + self.wait
             self.handle.registerTimer(deadline)
         self.head.update((due, n, error, waiting, deadline))
-        yield from self._shown(key, n, error, False)
+        yield self._shown(key, told + "".join(fresh), n, error, False)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.head.exists():
             _, n, error, _, deadline = self.head.get()
             if deadline == expiredTimerInfo.getExpiryTimeInMs():
-                yield from self._shown(key, n, error, True)
+                yield self._shown(key, self._text() if n else "", n, error, True)
                 self.head.clear()
                 self.early.clear()
                 self.pieces.clear()
