@@ -92,32 +92,31 @@ def phrases(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int
 
 # What notes call the parts of a record, in English and in the reference language of the notes.
 WORD, IPA, GLOSS, CONTEXT, USE, SENTENCE_OF = "单词|^word", "音标|ipa", "释义|核心中文|gloss", "语境|context", "商务|日常|^use", "例句|sentence|example|^use"
+RECORD = {"ipa": (IPA,), "gloss": (GLOSS, CONTEXT, USE), "context": (CONTEXT,), "use": (USE, CONTEXT)}
+COLUMNS = {"word": WORD, "ipa": IPA, "gloss": GLOSS, "context": CONTEXT, "use": USE}
+PHRASE = {"gloss": (GLOSS,), "sentence": (SENTENCE_OF, "释义|gloss")}
 
 
 def records(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Vocabulary records (word, ipa, gloss, context, use) from the blocks of notes, whatever their layout.
+    """Vocabulary records (word, ipa, gloss, context, use) from notes, given as documents or as their blocks, whatever their layout.
 
     They stand under a heading that names a vocabulary: as rows of a table with named
     columns in any order, or as items whose parts stand under them as labelled items; the
     word is the item's bold term or the value of its label.  The ipa loses its slashes; a part
     that is missing or a placeholder is null, a record without a word is none.
     """
-    row, item = F.col("kind") == "row", (F.col("kind") == "item") & F.col("parent").isNull()
-    bare = lambda c: F.regexp_replace(c, "^/(.*)/$", "$1")
+    row = F.col("kind") == "row"
     named = F.when(F.col("label").rlike(f"(?i){WORD}|本身"), F.col("value")).otherwise(F.col("label"))
-    either = lambda cell, part, name: F.when(row, cell).otherwise(part).alias(name)
-    found = rows.where((row | item) & md.under("vocabulary")).select(
-        key, either(md.cell(WORD), named, "word"), either(bare(md.cell(IPA)), F.coalesce(F.col("ipa"), bare(md.field(IPA))), "ipa"), either(md.cell(GLOSS), md.field(GLOSS, CONTEXT, USE), "gloss"),
-        either(md.cell(CONTEXT), md.field(CONTEXT), "context"), either(md.cell(USE), md.field(USE, CONTEXT), "use"),
-    )
+    ipa = F.coalesce(F.col("ipa"), F.regexp_replace("its_ipa", "^/(.*)/$", "$1"))
+    found = md.parts(rows, [key], "vocabulary", RECORD, COLUMNS)
+    found = found.select(key, F.when(row, F.col("its_word")).otherwise(named).alias("word"), ipa.alias("ipa"), *[F.col(f"its_{n}").alias(n) for n in ("gloss", "context", "use")])
     return found.where("word IS NOT NULL")
 
 
 def phrase_records(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Phrase records (phrase, gloss, sentence) from the items under a heading that names phrases; the gloss may stand behind the phrase in parentheses."""
-    here = rows.where(md.under("phrases"))
+    """Phrase records (phrase, gloss, sentence) from the items under a heading that names phrases, in documents or their blocks; the gloss may stand behind the phrase in parentheses."""
     named = F.when(F.col("label").rlike("(?i)短语|^phrase|本身"), F.col("value")).otherwise(F.col("label"))
-    items = md.children(here, [key]).select(key, named.alias("phrase"), F.coalesce(F.col("aside"), md.field(GLOSS)).alias("gloss"), md.field(SENTENCE_OF, "释义|gloss").alias("sentence"))
+    items = md.parts(rows, [key], "phrases", PHRASE).select(key, named.alias("phrase"), F.coalesce("aside", "its_gloss").alias("gloss"), F.col("its_sentence").alias("sentence"))
     return items.where("phrase IS NOT NULL")
 
 
