@@ -107,7 +107,9 @@ def records(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     row = F.col("kind") == "row"
     named = F.when(F.col("label").rlike(f"(?i){WORD}|本身"), F.col("value")).otherwise(F.col("label"))
-    ipa = F.coalesce(F.col("ipa"), F.regexp_replace("its_ipa", "^/(.*)/$", "$1"))
+    its, line_ends = F.col("its_ipa"), "\n\r\x85\u2028\u2029"
+    slashed = its.startswith("/") & its.endswith("/") & (its != "/") & (F.translate(its, line_ends, "") == its)
+    ipa = F.coalesce(F.col("ipa"), F.when(slashed, F.substring(its, F.lit(2), F.length(its) - 2)).otherwise(its))
     found = md.parts(rows, [key], "vocabulary", RECORD, COLUMNS)
     found = found.select(key, F.when(row, F.col("its_word")).otherwise(named).alias("word"), ipa.alias("ipa"), *[F.col(f"its_{n}").alias(n) for n in ("gloss", "context", "use")])
     return found.where("word IS NOT NULL")
